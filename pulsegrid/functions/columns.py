@@ -14,6 +14,15 @@ def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside an array lambda an outer expression would be computed again for every
+    element; as the variable of a one-element transform it is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- numbers -----------------------------------------------------------------
 
 
@@ -43,21 +52,27 @@ def body_mass_over(weight, feet, inches, limit: float = 30.0) -> Column:
 def softmax_last(logits: str | Column) -> Column:
     """Probability of the last class; shifted by the maximum so exp() cannot overflow."""
     logits = _col(logits)
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(exps, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
-    return F.element_at(exps, -1) / total
+    exps = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    total = lambda xs: F.aggregate(xs, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
+    return let(exps, lambda xs: F.element_at(xs, -1) / total(xs))
 
 
 def window_zscore(channel: str | Column) -> Column:
     """(x - mean) / population std inside one array; unchanged when std is 0."""
-    channel = F.transform(_col(channel), lambda x: x.cast("double"))
-    n = F.size(channel)
     zero = F.lit(0.0).cast("double")
-    mean = F.aggregate(channel, zero, lambda acc, x: acc + x) / n
-    square = F.aggregate(channel, zero, lambda acc, x: acc + (x - mean) * (x - mean))
-    std = F.sqrt(square / n)
-    return F.when(std == 0, channel).otherwise(F.transform(channel, lambda x: (x - mean) / std))
+
+    def scale(xs: Column, mean: Column) -> Column:
+        square = F.aggregate(xs, zero, lambda acc, x: acc + (x - mean) * (x - mean))
+        return let(
+            F.sqrt(square / F.size(xs)),
+            lambda std: F.when(std == 0, xs).otherwise(F.transform(xs, lambda x: (x - mean) / std)),
+        )
+
+    total = lambda xs: F.aggregate(xs, zero, lambda acc, x: acc + x)
+    return let(
+        F.transform(_col(channel), lambda x: x.cast("double")),
+        lambda xs: let(total(xs) / F.size(xs), lambda mean: scale(xs, mean)),
+    )
 
 
 # --- missingness and one-hot -------------------------------------------------

@@ -26,15 +26,15 @@ def _text(value) -> Column:
     return value.cast("string") if isinstance(value, Column) else F.lit(str(value))
 
 
-def md5_of(seed: str, *keys) -> Column:
+def md5_of(seed: str | Column, *keys) -> Column:
     """md5 hex of ``seed:key1:key2...``."""
-    parts = [F.lit(seed)]
+    parts = [_text(seed)]
     for key in keys:
         parts += [F.lit(":"), _text(key)]
     return F.md5(F.concat(*parts).cast("binary"))
 
 
-def hash_prefix(seed: str, *keys) -> Column:
+def hash_prefix(seed: str | Column, *keys) -> Column:
     """First 8 hex digits of :func:`md5_of`; uniform and ordered as text."""
     return F.substring(md5_of(seed, *keys), 1, 8)
 

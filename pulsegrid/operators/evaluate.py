@@ -141,7 +141,7 @@ def binned_pr_curve(preds: DataFrame, n_thresholds: int = 50, *, label: str = "l
     meet the histogram, not the rows.
     """
     eps = 1e-6
-    cuts = F.transform(F.sequence(F.lit(0), F.lit(n_thresholds - 1)), lambda i: i / F.lit(float(n_thresholds - 1)))
+    cuts = F.array(*[F.lit(i / (n_thresholds - 1.0)) for i in range(n_thresholds)])
     reached = F.size(F.filter(cuts, lambda t: t <= F.col(score)))
     bins = preds.groupBy(reached.alias("bin")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg")

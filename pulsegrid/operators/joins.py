@@ -154,10 +154,18 @@ def _side(df: DataFrame, suffix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(c + suffix) for c in df.columns])
 
 
+def attach_sides(pairs: DataFrame, windows: DataFrame, id_col: str = "id") -> DataFrame:
+    """Id pairs with every column of both windows, suffixed ``_l`` and ``_r``.
+
+    Pairing works on ids alone; the wide channel arrays move only here.
+    """
+    return pairs.join(_side(windows, "_l"), f"{id_col}_l").join(_side(windows, "_r"), f"{id_col}_r")
+
+
 def same_participant_pairs(
     windows: DataFrame, *, key: str = "participant_id", id_col: str = "id", rounds: int = 2, seed: str = "same"
 ) -> DataFrame:
-    """Pairs of windows of one participant, each window with itself and its ``rounds`` successors.
+    """Id pairs of windows of one participant: each window with itself and its ``rounds`` successors.
 
     Windows stand in a ring in hash order and round d pairs position i with
     i + d, so every round is a different set of ordered pairs and ``rounds`` =
@@ -165,16 +173,15 @@ def same_participant_pairs(
     participant never yields its square, and the join key (participant,
     position) spreads it.
     """
-    ranked = hash_rank(windows, [id_col], seed, by=[key], alias="_pos")
+    ranked = hash_rank(windows.select(key, id_col), [id_col], seed, by=[key], alias="_pos")
     sizes = windows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    left = (
-        _side(ranked, "_l").withColumnRenamed("_pos_l", "_pos").withColumn("_k", F.col(f"{key}_l"))
-        .join(sizes.withColumnRenamed(key, "_k"), "_k")
-        .withColumn("_d", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(rounds).cast("bigint"), F.col("_n") - 1))))
-        .withColumn("_to", F.pmod(F.col("_pos") - 1 + F.col("_d"), F.col("_n")) + 1)
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(rounds).cast("bigint"), F.col("_n") - 1))
+    left = ranked.join(sizes, key).withColumn("_d", F.explode(steps)).select(
+        key, F.col(id_col).alias(f"{id_col}_l"),
+        (F.pmod(F.col("_pos") - 1 + F.col("_d"), F.col("_n")) + 1).alias("_pos"),
     )
-    right = _side(ranked, "_r").withColumnRenamed("_pos_r", "_to").withColumn("_k", F.col(f"{key}_r"))
-    return left.join(right, ["_k", "_to"]).drop("_k", "_to", "_pos", "_n", "_d")
+    right = ranked.select(key, "_pos", F.col(id_col).alias(f"{id_col}_r"))
+    return left.join(right, [key, "_pos"]).select(f"{id_col}_l", f"{id_col}_r")
 
 
 def sequential_pairs(
@@ -188,29 +195,33 @@ def sequential_pairs(
     )
 
 
-def random_pairs(left: DataFrame, right: DataFrame, *, id_col: str = "id", seed: str = "pair") -> DataFrame:
-    """Left and right rows matched one to one by independent hash orders (inputs carry suffixes)."""
-    l_rank = hash_rank(left, [f"{id_col}_l"], f"{seed}:l", alias="_row")
-    r_rank = hash_rank(right, [f"{id_col}_r"], f"{seed}:r", alias="_row")
-    return l_rank.join(r_rank, "_row").drop("_row")
+def deal_pairs(
+    left: DataFrame, right: DataFrame, *, id_col: str = "id", seed: str | Column = "pair", by: Sequence[str] = ()
+) -> DataFrame:
+    """Left and right ids matched one to one by independent hash orders within ``by``."""
+    by = list(by)
+    l_id, r_id = f"{id_col}_l", f"{id_col}_r"
+    base = F.lit(seed) if isinstance(seed, str) else seed
+    l_rank = hash_rank(left.select(*by, l_id), [l_id], F.concat(base, F.lit(":l")), by, alias="_row")
+    r_rank = hash_rank(right.select(*by, r_id), [r_id], F.concat(base, F.lit(":r")), by, alias="_row")
+    return l_rank.join(r_rank, [*by, "_row"]).select(l_id, r_id)
 
 
 def random_pair_rounds(windows: DataFrame, *, id_col: str = "id", rounds: int = 11, seed: str = "pair") -> DataFrame:
-    """Several rounds of random pairs over one window table."""
-    result = None
-    for i in range(rounds):
-        pairs = random_pairs(_side(windows, "_l"), _side(windows, "_r"), id_col=id_col, seed=f"{seed}{i}")
-        result = pairs if result is None else result.unionByName(pairs)
-    return result
+    """Id pairs of several rounds of random pairing; the round is a key, so all run at once."""
+    numbered = windows.select(id_col).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    left = numbered.select("_round", F.col(id_col).alias(f"{id_col}_l"))
+    right = numbered.select("_round", F.col(id_col).alias(f"{id_col}_r"))
+    round_seed = F.concat(F.lit(seed), F.col("_round").cast("string"))
+    return deal_pairs(left, right, id_col=id_col, seed=round_seed, by=["_round"])
 
 
 def sequential_task_pairs(
     windows: DataFrame, *, id_col: str = "id", offset_days: int = 7, seed: str = "seq"
 ) -> DataFrame:
-    """Half of the sequential pairs as they are, the other half with right sides re-dealt."""
-    pairs = sequential_pairs(windows, offset_days=offset_days)
-    is_kept = hash_below(0.5, seed, F.col(f"{id_col}_l"), F.col(f"{id_col}_r"))
+    """Id pairs: half of the sequential pairs as they are, the other half with right sides re-dealt."""
+    l_id, r_id = f"{id_col}_l", f"{id_col}_r"
+    pairs = sequential_pairs(windows, offset_days=offset_days).select(l_id, r_id)
+    is_kept = hash_below(0.5, seed, F.col(l_id), F.col(r_id))
     broken = pairs.where(~is_kept)
-    left = broken.select(*[c for c in pairs.columns if c.endswith("_l")])
-    right = broken.select(*[c for c in pairs.columns if c.endswith("_r")])
-    return pairs.where(is_kept).unionByName(random_pairs(left, right, id_col=id_col, seed=seed))
+    return pairs.where(is_kept).unionByName(deal_pairs(broken, broken, id_col=id_col, seed=seed))

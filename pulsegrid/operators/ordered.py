@@ -95,7 +95,7 @@ def midrank(df: DataFrame, value: str, by: Sequence[str] = (), alias: str = "mid
 def hash_rank(
     df: DataFrame,
     keys: Sequence[str],
-    seed: str,
+    seed: str | Column,
     by: Sequence[str] = (),
     digits: int = 3,
     alias: str = "hash_rank",

@@ -11,10 +11,14 @@ from pulsegrid.functions.hashing import hash_below, hash_prefix
 from pulsegrid.operators.ordered import hash_rank, prefix_sums, smallest_k
 
 
-def order_by_list(df: DataFrame, column: str, order: Sequence, *then: str) -> DataFrame:
-    """Sort by a given order of values; unlisted values come last."""
+def list_position(column: str, order: Sequence) -> Column:
+    """1-based place of a value in a given order; unlisted values come last."""
     position = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(column))
-    return df.orderBy(F.when(position == 0, len(order) + 1).otherwise(position), *then)
+    return F.when(position == 0, len(order) + 1).otherwise(position)
+
+
+def order_by_list(df: DataFrame, column: str, order: Sequence, *then: str) -> DataFrame:
+    return df.orderBy(list_position(column, order), *then)
 
 
 def row_cap(df: DataFrame, n: int, keys: Sequence[str], seed: str = "cap") -> DataFrame:

@@ -1,6 +1,6 @@
 """Imports every query module so that the registry is complete."""
 
-from pulsegrid.plans import q_rows, q_reshape  # noqa: F401
+from pulsegrid.plans import q_aggregate, q_joins, q_labels, q_ordered, q_reshape, q_rows  # noqa: F401
 from pulsegrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
