@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def normal_log10_two_sided(z: float | None) -> float | None:
@@ -62,6 +63,6 @@ def chi2_upper(x: float | None, dof: int | None) -> float | None:
     return scale * frac
 
 
-normal_log10_two_sided_udf = F.udf(normal_log10_two_sided, "double")
-normal_two_sided_udf = F.udf(normal_two_sided, "double")
-chi2_upper_udf = F.udf(chi2_upper, "double")
+normal_log10_two_sided_udf = F.udf(normal_log10_two_sided, T.DoubleType())
+normal_two_sided_udf = F.udf(normal_two_sided, T.DoubleType())
+chi2_upper_udf = F.udf(chi2_upper, T.DoubleType())

@@ -38,8 +38,7 @@ def fit_label_model(
             VectorAssembler(inputCols=list(features), outputCol="_raw"),
             StandardScaler(inputCol="_raw", outputCol="_features", withMean=True, withStd=True),
             RandomForestClassifier(
-                featuresCol="_features", labelCol=label, probabilityCol="_probability", predictionCol="_prediction",
-                rawPredictionCol="_rawPrediction", featureSubsetStrategy="sqrt", numTrees=n_trees, seed=seed,
+                featuresCol="_features", labelCol=label, featureSubsetStrategy="sqrt", numTrees=n_trees, seed=seed
             ),
         ]
     )
@@ -51,7 +50,7 @@ def fit_label_model(
 def score(model: PipelineModel, df: DataFrame, alias: str = "pred") -> DataFrame:
     """Rows with the positive-class probability of a fitted pipeline."""
     scored = model.transform(df)
-    return scored.select(*df.columns, F.element_at(vector_to_array("_probability"), -1).alias(alias))
+    return scored.select(*df.columns, F.element_at(vector_to_array("probability"), -1).alias(alias))
 
 
 def weak_flu_probability(
@@ -88,8 +87,7 @@ def fit_boosted_trees(
 ) -> PipelineModel:
     """Boosted trees (depth 2, 10 rounds by default) on an array column of features."""
     trees = GBTClassifier(
-        featuresCol="_features", labelCol=label, maxDepth=max_depth, maxIter=rounds, stepSize=step_size, seed=seed,
-        probabilityCol="_probability", predictionCol="_prediction", rawPredictionCol="_rawPrediction",
+        featuresCol="_features", labelCol=label, maxDepth=max_depth, maxIter=rounds, stepSize=step_size, seed=seed
     )
     return Pipeline(stages=[trees]).fit(with_vector(train, features))
 

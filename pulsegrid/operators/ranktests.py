@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.tails import chi2_upper_udf, normal_two_sided_udf
 
@@ -124,4 +125,4 @@ def _maximal_cliques(graph) -> list[list[str]]:
     return sorted(found)
 
 
-_maximal_cliques_udf = F.udf(_maximal_cliques, "array<array<string>>")
+_maximal_cliques_udf = F.udf(_maximal_cliques, T.ArrayType(T.ArrayType(T.StringType())))
