@@ -51,9 +51,11 @@ def hash_below(frac: float, seed: str, *keys) -> Column:
     return hash_prefix(seed, *keys) < F.lit(fraction_threshold(frac))
 
 
-def poisson_weight(seed: str, *keys) -> Column:
-    """Poisson(1) draw: how often a row occurs in one bootstrap resample."""
-    prefix = hash_prefix(seed, *keys)
+def poisson_weight(prefix: Column) -> Column:
+    """Poisson(1) draw from a hash prefix: how often a row occurs in one bootstrap resample.
+
+    ``prefix`` occurs once per threshold here, so pass a column that holds it.
+    """
     weight = F.lit(0)
     for threshold in POISSON1_THRESHOLDS:
         weight = weight + (prefix >= F.lit(threshold)).cast("int")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.tails import normal_log10_two_sided_udf
-from pulsegrid.operators.ordered import midrank, prefix_sums
+from pulsegrid.operators.ordered import midranks, prefix_sums
 
 
 def score_counts(
@@ -35,15 +35,8 @@ def score_counts(
 
 def curve(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Add ``tp``, ``fp`` at ``score >= s``, the class totals and the counts below s."""
-    by = list(by)
     below = prefix_sums(counts, "score", ["pos", "neg"], by)
-    totals = counts.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    if by:
-        joined = below.join(totals, by)
-    else:
-        packed = totals.select(F.struct("n_pos", "n_neg").alias("t")).scalar()
-        joined = below.withColumns({"n_pos": packed["n_pos"], "n_neg": packed["n_neg"]})
-    return joined.withColumns(
+    return below.withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg"}).withColumns(
         {"tp": F.col("n_pos") - F.col("pos_before"), "fp": F.col("n_neg") - F.col("neg_before")}
     )
 
@@ -171,8 +164,7 @@ def regression_metrics(preds: DataFrame, *, target: str = "label", pred: str = "
     pairs = preds.where(F.col(target).isNotNull() & F.col(pred).isNotNull()).select(
         F.col(target).cast("double").alias("y"), F.col(pred).cast("double").alias("p")
     )
-    # Equal pairs collapse first; ranks are looked up per distinct value.
-    ranked = midrank(midrank(pairs, "y", alias="ry"), "p", alias="rp")
+    ranked = midranks(pairs, {"ry": ("y", ()), "rp": ("p", ())})
     return ranked.agg(
         F.corr("y", "p").alias("pearson"), F.corr("ry", "rp").alias("spearman"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae")
     )

@@ -9,7 +9,7 @@ independently and add what lies before each bucket.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -21,30 +21,6 @@ COARSE_BUCKETS = 1024
 ROWS_PER_BUCKET = 1_000_000
 
 
-def _range_buckets(df: DataFrame, value: Column, rows_per_bucket: int) -> DataFrame:
-    """Add ``_b1``, ``_b2``: deterministic buckets that follow the order of ``value``.
-
-    Level 1 cuts the value range into equal steps. Where a step holds more than
-    ``rows_per_bucket`` rows, level 2 cuts the step's own range again, so values
-    crowded in one corner of the range still spread over many tasks.
-    """
-    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
-    share = F.try_divide(value - bounds["lo"], bounds["hi"] - bounds["lo"])
-    bucketed = df.withColumn("_b1", F.coalesce(F.floor(share * COARSE_BUCKETS), F.lit(0)).cast("int"))
-    # At most COARSE_BUCKETS + 1 rows, whatever the input: safe to broadcast.
-    steps = bucketed.groupBy("_b1").agg(
-        F.min(value).alias("_lo"),
-        F.max(value).alias("_hi"),
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).alias("_parts"),
-    )
-    inside = F.floor(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.col("_parts"))
-    return (
-        bucketed.join(F.broadcast(steps), "_b1")
-        .withColumn("_b2", F.when(F.col("_parts") > 1, F.coalesce(inside, F.lit(0))).otherwise(0).cast("int"))
-        .drop("_lo", "_hi", "_parts")
-    )
-
-
 def prefix_sums(
     df: DataFrame,
     order_col: str,
@@ -52,44 +28,84 @@ def prefix_sums(
     by: Sequence[str] = (),
     rows_per_bucket: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
-    """Add ``<c>_before``: the sum of ``c`` over all smaller ``order_col`` within ``by``.
-
-    ``df`` has one row per (``by``, ``order_col``), the order column is numeric
-    and not null. Buckets are scanned in parallel; the only window over a whole
-    ``by`` group runs on bucket totals, at most 1,025 plus rows / rows_per_bucket
-    rows of it.
+    """Add ``<c>_before`` and ``<c>_total``: the sum of ``c`` over smaller ``order_col`` and over all, within ``by``.
+
+    ``df`` has one row per (``by``, ``order_col``); the order column is numeric
+    and not null. Rows fall into buckets that follow the order. Level 1 cuts the
+    value range into equal steps; a step with more than ``rows_per_bucket`` rows
+    is cut again over its own range, so values crowded in one corner still
+    spread over many tasks. Each bucket is scanned on its own, and the sums
+    before it come from the step and bucket totals.
+
+    Only functions of the data decide the buckets, so a recomputed task finds
+    the same ones. All branches read the same columns of ``df``: an aggregate
+    in front of it is computed and shuffled once.
     """
     by = list(by)
-    keys = [*by, "_b1", "_b2"]
     value = F.col(order_col).cast("double")
-    bucketed = _range_buckets(df, value, rows_per_bucket)
-    totals = bucketed.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-    over_buckets = W.partitionBy(*by).orderBy("_b1", "_b2").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, *[F.coalesce(F.sum(f"_t_{c}").over(over_buckets), F.lit(0)).alias(f"_o_{c}") for c in sum_cols]
+    sums = {c: F.sum(c) for c in sum_cols}
+
+    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
+    share = F.try_divide(value - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo"))
+    placed = df.withColumn("_s", bounds).select(
+        *df.columns, F.coalesce(F.floor(share * COARSE_BUCKETS), F.lit(0)).cast("int").alias("_b1")
+    )
+
+    # At most COARSE_BUCKETS + 1 rows per ``by`` group, whatever the input.
+    steps = placed.groupBy(*by, "_b1").agg(
+        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).cast("int").alias("_parts"),
+        *[x.alias(f"_t_{c}") for c, x in sums.items()],
+    )
+    earlier = W.partitionBy(*by).orderBy("_b1").rowsBetween(W.unboundedPreceding, -1)
+    steps = steps.select(
+        *by, "_b1", "_lo", "_hi", "_parts",
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o1_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(W.partitionBy(*by)).alias(f"{c}_total") for c in sum_cols],
+    )
+    within = F.floor(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.col("_parts"))
+    stepped = placed.join(steps if by else F.broadcast(steps), [*by, "_b1"]).withColumn(
+        "_b2", F.when(F.col("_parts") > 1, F.coalesce(within, F.lit(0))).otherwise(F.lit(0)).cast("int")
     )
+
+    # Only crowded steps have a second level; without any this side is empty and AQE drops the join.
+    keys = [*by, "_b1", "_b2"]
+    earlier_part = W.partitionBy(*by, "_b1").orderBy("_b2").rowsBetween(W.unboundedPreceding, -1)
+    parts = stepped.where(F.col("_parts") > 1).groupBy(*keys).agg(*[x.alias(f"_t_{c}") for c, x in sums.items()])
+    parts = parts.select(*keys, *[F.sum(f"_t_{c}").over(earlier_part).alias(f"_o2_{c}") for c in sum_cols])
+
     inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return bucketed.join(offsets, keys).select(
+    return stepped.join(parts, keys, "left").select(
         *df.columns,
         *[
-            (F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before")
+            (
+                F.col(f"_o1_{c}") + F.coalesce(f"_o2_{c}", F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0))
+            ).alias(f"{c}_before")
             for c in sum_cols
         ],
+        *[f"{c}_total" for c in sum_cols],
     )
 
 
-def midrank(df: DataFrame, value: str, by: Sequence[str] = (), alias: str = "midrank") -> DataFrame:
-    """1-based rank with ties averaged; null values get a null rank.
+def midranks(df: DataFrame, ranks: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
+    """Add 1-based ranks with ties averaged: ``{alias: (value column, by columns)}``.
 
     Equal values are counted first, so a value that fills a third of the table
-    is one row in the scan.
+    is one row in the scan. Null values get a null rank.
     """
-    by = list(by)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = prefix_sums(counts, value, ["_n"], by).select(
-        *by, value, (F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(alias)
-    )
-    return df.join(ranked, [*by, value], "left").select(*df.columns, alias)
+    result = df
+    for alias, (value, by) in ranks.items():
+        by = list(by)
+        counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = prefix_sums(counts, value, ["_n"], by).select(
+            *by, value, (F.col("_n_before") + (F.col("_n") + 1) / F.lit(2.0)).alias(alias)
+        )
+        result = result.join(ranked, [*by, value], "left")
+    return result.select(*df.columns, *ranks)
+
+
+def midrank(df: DataFrame, value: str, by: Sequence[str] = (), alias: str = "midrank") -> DataFrame:
+    return midranks(df, {alias: (value, by)})
 
 
 def hash_rank(
@@ -118,10 +134,27 @@ def hash_rank(
     )
 
 
-def smallest_k(df: DataFrame, order_col: str, k: Column, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """The ``k`` rows with the smallest (unique, numeric) ``order_col``."""
-    counted = prefix_sums(df.withColumn("_one", F.lit(1)), order_col, ["_one"], (), rows_per_bucket)
-    return counted.where(F.col("_one_before") < k).drop("_one", "_one_before")
+def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (), alias: str = "quantile") -> DataFrame:
+    """Linearly interpolated quantile per ``by`` over groups of any size.
+
+    ``percentile`` keeps every distinct value of a group in one task's memory;
+    this counts values and reads the two at the wanted position off their
+    prefix counts.
+    """
+    by = list(by)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = prefix_sums(counts, "_v", ["_n"], by)
+    at = F.lit(float(q)) * (F.col("_n_total") - 1)
+    low, high = F.floor(at), F.ceil(at)
+
+    def holds(position: Column) -> Column:
+        return (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))
+
+    picked = placed.where(holds(low) | holds(high)).groupBy(*by).agg(
+        F.max(F.when(holds(low), F.col("_v"))).alias("_a"), F.max(F.when(holds(high), F.col("_v"))).alias("_b"),
+        F.max(at - low).alias("_w"),
+    )
+    return picked.select(*by, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias(alias))
 
 
 # --- runs and islands --------------------------------------------------------

@@ -12,14 +12,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.hashing import hash_prefix, poisson_weight
+from pulsegrid.functions.hashing import POISSON1_THRESHOLDS, hash_prefix, poisson_weight
 from pulsegrid.operators.evaluate import rank_metrics
 
 
 def replicate_weights(df: DataFrame, n_replicates: int, id_col: str = "id", seed: str = "boot") -> DataFrame:
     """Rows times replicates with ``replicate`` and a positive ``weight``."""
     exploded = df.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(n_replicates))))
-    return exploded.withColumn("weight", poisson_weight(seed, F.col("replicate"), F.col(id_col))).where("weight > 0")
+    hashed = exploded.withColumn("_h", hash_prefix(seed, F.col("replicate"), F.col(id_col)))
+    # The smallest threshold is the chance of weight 0: those rows stop before any other work.
+    drawn = hashed.where(F.col("_h") >= POISSON1_THRESHOLDS[0])
+    return drawn.withColumn("weight", poisson_weight(F.col("_h"))).drop("_h")
 
 
 def bootstrap_metrics(

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.hashing import hash_below, hash_prefix
-from pulsegrid.operators.ordered import hash_rank, prefix_sums, smallest_k
+from pulsegrid.operators.ordered import hash_rank, prefix_sums
 
 
 def list_position(column: str, order: Sequence) -> Column:
@@ -118,35 +118,48 @@ def sample_points(df: DataFrame, limit: int, keys: Sequence[str], seed: str = "p
 
 
 def precision_at_k(
-    preds: DataFrame, ks: Mapping[str, int | float] | Sequence[int | float], *, label: str = "label",
+    preds: DataFrame, ks: Sequence[int | float], *, label: str = "label",
     score: str = "pred", id_col: str = "id",
 ) -> DataFrame:
     """Mean label of the k best-scored rows; a float k is a fraction of the rows.
 
-    Ties at the cut go by the smaller id. Scores are counted per distinct value
-    first. Only the rows of the one tied value at the cut are looked at again,
-    in id order and in parallel.
+    Ties at the cut go by hash order of the id. Scores are counted per distinct
+    value first; only the rows of the tied value at a cut are looked at again,
+    ranked in hash buckets.
     """
-    by_score = preds.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("bigint").alias("pos"))
-    ranked = prefix_sums(by_score.withColumn("_down", -F.col(score)), "_down", ["n", "pos"])
-    total = preds.agg(F.count(F.lit(1))).scalar()
-    result = None
-    for k in ks:
-        wanted = F.floor(F.lit(k) * total) if isinstance(k, float) else F.least(F.lit(k).cast("bigint"), total)
-        above = ranked.where(F.col("n_before") + F.col("n") <= wanted)
-        edge = ranked.where((F.col("n_before") < wanted) & (F.col("n_before") + F.col("n") > wanted))
-        edge_row = edge.select(F.struct(F.col(score).alias("s"), (wanted - F.col("n_before")).alias("left")).alias("e"))
-        cut = edge_row.agg(F.max("e")).scalar()
-        tied = preds.where(F.col(score) == cut["s"])
-        hits = F.coalesce(above.agg(F.sum("pos")).scalar(), F.lit(0)) + F.coalesce(
-            smallest_k(tied.select(id_col, label), id_col, cut["left"]).agg(F.sum(label)).scalar(), F.lit(0)
-        )
-        row = preds.sparkSession.range(1).select(
-            F.lit(str(k)).alias("k"), wanted.cast("bigint").alias("n_top"),
-            F.try_divide(hits.cast("double"), wanted).alias("precision_at_k"),
-        )
-        result = row if result is None else result.unionByName(row)
-    return result
+    counts = preds.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(label).cast("bigint").alias("pos"))
+    ranked = prefix_sums(counts.withColumn("_down", -F.col(score)), "_down", ["n", "pos"])
+    total = F.col("n_total")
+    names = [str(k) for k in ks]
+    wanted = [
+        (F.floor(F.lit(k) * total) if isinstance(k, float) else F.least(F.lit(k), total)).cast("bigint") for k in ks
+    ]
+
+    # One row: per k the hits above the cut, the score at the cut and how many of its rows to take.
+    through = F.col("n_before") + F.col("n")
+    cuts = ranked.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(name).alias("k"), F.max(w).alias("n_top"),
+                    F.coalesce(F.sum(F.when(through <= w, F.col("pos"))), F.lit(0)).alias("hits"),
+                    F.max(F.when((F.col("n_before") < w) & (through > w), F.col(score))).alias("_score"),
+                    F.max(F.when((F.col("n_before") < w) & (through > w), w - F.col("n_before"))).alias("_take"),
+                )
+                for name, w in zip(names, wanted)
+            ]
+        ).alias("_cuts")
+    ).select(F.inline("_cuts"))
+    # As many rows as there are k's.
+    tied = preds.join(F.broadcast(cuts.where("_take > 0")), preds[score] == F.col("_score")).select(
+        "k", id_col, label, "_take"
+    )
+    taken = hash_rank(tied, [id_col], "tie", by=["k"]).where(F.col("hash_rank") <= F.col("_take"))
+    extra = taken.groupBy("k").agg(F.sum(label).alias("_extra"))
+    hits = F.col("hits") + F.coalesce("_extra", F.lit(0))
+    return cuts.join(extra, "k", "left").select(
+        "k", "n_top", F.try_divide(hits.cast("double"), "n_top").alias("precision_at_k")
+    )
 
 
 def precision_reference_lines(preds: DataFrame, ks: Sequence[float], *, label: str = "label") -> DataFrame:

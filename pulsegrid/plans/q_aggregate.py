@@ -8,7 +8,7 @@ from pulsegrid.functions.columns import day_of
 from pulsegrid.operators import aggregate as A
 from pulsegrid.operators import labels as L
 from pulsegrid.operators.day_features import ALL_FEATURES, day_features
-from pulsegrid.operators.ordered import day_islands, streak_sizes
+from pulsegrid.operators.ordered import day_islands, exact_quantile, streak_sizes
 from pulsegrid.plans.registry import Tables, query, sql
 from pulsegrid.plans.shared import CHANNELS, RAW, SERIES, WINDOWS, series_rows, week_windows
 
@@ -110,11 +110,12 @@ def table_zscore(t: Tables):
         round(epoch(quantile_cont(ts, 0.5)), 3) AS median_epoch FROM events GROUP BY event_type""",
 )
 def profile(t: Tables):
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6)
-    return t("events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_participants"),
-        F.round(F.percentile(seconds, 0.5), 3).alias("median_epoch"),
+    events = t("events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    counts = events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_participants")
     )
+    median = exact_quantile(events, "seconds", 0.5, ["event_type"], "median_epoch")
+    return counts.join(median, "event_type").withColumn("median_epoch", F.round("median_epoch", 3))
 
 
 @query("a9_class_balance", sql("SELECT label, count(*) AS support FROM fx_predictions GROUP BY label", ["fx_predictions"]))

@@ -68,8 +68,8 @@ def rolling_day_frame(t: Tables):
     ),
 )
 def midrank(t: Tables):
-    overall = O.midrank(t("fx_predictions"), "pred_b")
-    return O.midrank(overall, "pred_b", by=["label"], alias="class_midrank").select("id", "midrank", "class_midrank")
+    ranks = {"midrank": ("pred_b", ()), "class_midrank": ("pred_b", ["label"])}
+    return O.midranks(t("fx_predictions"), ranks).select("id", "midrank", "class_midrank")
 
 
 @query(
@@ -225,7 +225,7 @@ _K = [0.01, 0.1, 25]
         """SELECT CAST(k.name AS VARCHAR) AS k, CAST(k.n_top AS BIGINT) AS n_top, avg(CAST(r.label AS DOUBLE)) AS precision_at_k
         FROM ranked r JOIN cuts k ON r.rank <= k.n_top GROUP BY k.name, k.n_top""",
         ["fx_predictions"],
-        """ranked AS (SELECT label, row_number() OVER (ORDER BY pred_b DESC, id) AS rank FROM fx_predictions),
+        """ranked AS (SELECT label, row_number() OVER (ORDER BY pred_b DESC, md5(concat('tie:', id))) AS rank FROM fx_predictions),
         cuts AS (SELECT '0.01' AS name, floor(CAST(0.01 AS DOUBLE) * count(*)) AS n_top FROM fx_predictions
             UNION ALL SELECT '0.1', floor(CAST(0.1 AS DOUBLE) * count(*)) FROM fx_predictions
             UNION ALL SELECT '25', least(25, count(*)) FROM fx_predictions)""",
