@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def normal_log10_two_sided(z: float | None) -> float | None:
+def normal_log10_two_sided(z):
     """log10 of the two-sided normal p-value; asymptotic beyond erfc's range."""
     if z is None:
         return None
@@ -24,11 +24,11 @@ def normal_log10_two_sided(z: float | None) -> float | None:
     return (math.log(2.0) + log_p) / math.log(10.0)
 
 
-def normal_two_sided(z: float | None) -> float | None:
+def normal_two_sided(z):
     return None if z is None else math.erfc(abs(z) / math.sqrt(2.0))
 
 
-def chi2_upper(x: float | None, dof: int | None) -> float | None:
+def chi2_upper(x, dof):
     """Upper tail of chi-square via the regularised incomplete gamma function."""
     if x is None or dof is None:
         return None

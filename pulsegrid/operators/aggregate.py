@@ -52,26 +52,26 @@ def downsample(
 
 
 def sliding_windows(
-    pages: DataFrame, channels: Sequence[str], days: int, slots_per_day: int, *, key: str = "participant_id"
+    pages: DataFrame, channels: Sequence[str], days: int, slots_per_day: int, *, key: str = "participant_id",
+    counted: str | None = None,
 ) -> DataFrame:
     """Complete ``days``-day windows, one per day, with one array per channel.
 
     Works on day pages (see ``reshape.day_pages``): minutes are shuffled once
     into their day and only whole days take part in the sliding step, instead
     of every minute being copied into each window it belongs to. A window stays
-    when the non-null values of its first channel number ``days *
-    slots_per_day``. ``end`` is exclusive.
+    when the non-null values of ``counted`` (its first channel) number ``days *
+    slots_per_day``; (participant, slot) is unique. ``end`` is exclusive.
+    Without channels only the window keys are built and no array is shuffled.
     """
-    framed = rolling_days(pages, key, "date", channels, days)
-    first = F.flatten(F.col(f"frame.{channels[0]}"))
-    complete = (F.size("frame") == days) & (
-        F.size(F.filter(first, lambda x: x.isNotNull())) == days * slots_per_day
-    )
+    # A window is complete when each of its days is, so other days stop here.
+    counted = counted or channels[0]
+    whole = F.size(F.filter(F.col(counted), lambda x: x.isNotNull())) == slots_per_day
+    framed = rolling_days(pages.where(whole), key, "date", channels, days)
     end = F.date_add("date", 1).cast("timestamp_ntz")
     start = F.date_sub("date", days - 1).cast("timestamp_ntz")
-    return framed.where(complete).select(
-        key, start.alias("start"), end.alias("end"),
-        F.xxhash64(key, "date").alias("id"),
+    return framed.where(F.size("frame") == days).select(
+        key, start.alias("start"), end.alias("end"), F.xxhash64(key, "date").alias("id"),
         *[F.flatten(F.col(f"frame.{c}")).alias(c) for c in channels],
     )
 

@@ -43,12 +43,34 @@ STREAKS = {
 }
 ALL_FEATURES = [*AGGREGATES, *STREAKS]
 
+# Channels each feature reads, so that a series need not carry the others.
+_RESTING = ["heart_rate", "steps", "missing_steps"]
+FEATURE_CHANNELS: dict[str, list[str]] = {
+    "resting_hr_95th_percentile": _RESTING,
+    "resting_hr_50th_percentile": _RESTING,
+    "resting_hr_std": _RESTING,
+    "hr_awake_95th_percentile": ["heart_rate", "sleep_classic_0"],
+    "total_steps": ["steps"],
+    "sleep_minutes": ["sleep_classic_2"],
+    "in_bed_minutes": ["sleep_classic_1"],
+    "missing_hr": ["missing_heart_rate"],
+    "missing_steps": ["missing_steps"],
+    "missing_sleep": ["sleep_classic_0"],
+    **{name: ["steps"] for name in STREAKS},
+}
+
+
+def channels_of(names: Sequence[str]) -> list[str]:
+    """Channels a set of features needs, each once."""
+    return list(dict.fromkeys(c for n in names for c in FEATURE_CHANNELS[n]))
+
 
-def register_feature(name: str, build: Callable[[], Column]) -> None:
+def register_feature(name: str, build: Callable[[], Column], channels: Sequence[str]) -> None:
     """Add a feature: ``build`` returns an aggregate Column over one participant-day."""
     if name in ALL_FEATURES:
         raise ValueError(f"{name} exists")
     AGGREGATES[name] = build
+    FEATURE_CHANNELS[name] = list(channels)
     ALL_FEATURES.append(name)
 
 

@@ -77,11 +77,12 @@ def wilcoxon_pairs(df: DataFrame, alpha: float = 0.05, legacy: bool = False) ->
         "z", F.try_divide(F.col("statistic") - mean, F.sqrt(var))
     ).withColumn("p_value", normal_two_sided_udf("z"))
     # One row per pair of models: a few hundred at most.
-    by_p = W.orderBy("p_value", *pair)
+    by_p = W.orderBy(F.col("p_value").asc_nulls_last(), *pair)
     step = F.row_number().over(by_p) - 1
     pairs = F.count(F.lit(1)).over(W.partitionBy())
     limit = F.lit(alpha) if legacy else F.lit(alpha) / (pairs - step)
-    passed = scored.withColumn("_ok", F.col("p_value") <= limit)
+    # Two models without any difference have no p-value and are not separated.
+    passed = scored.withColumn("_ok", F.coalesce(F.col("p_value") <= limit, F.lit(False)))
     return passed.withColumn(
         "significant", F.min(F.col("_ok").cast("int")).over(by_p.rowsBetween(W.unboundedPreceding, W.currentRow)) == 1
     ).select(*pair, "statistic", "z", "p_value", "significant")
@@ -107,10 +108,10 @@ def inseparable_groups(pairs: DataFrame) -> DataFrame:
     return graph.select(F.posexplode(cliques).alias("group", "members"))
 
 
-def _maximal_cliques(graph) -> list[list[str]]:
+def _maximal_cliques(graph):
     """Bron-Kerbosch on a graph of a few dozen nodes."""
     near = {row["m"]: set(row["friends"]) for row in graph}
-    found: list[list[str]] = []
+    found = []
     stack = [(frozenset(), frozenset(near), frozenset())]
     while stack:
         chosen, open_, closed = stack.pop()

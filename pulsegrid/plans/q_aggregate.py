@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.columns import day_of
 from pulsegrid.operators import aggregate as A
 from pulsegrid.operators import labels as L
-from pulsegrid.operators.day_features import ALL_FEATURES, day_features
+from pulsegrid.operators.day_features import ALL_FEATURES, FEATURE_CHANNELS, day_features
 from pulsegrid.operators.ordered import day_islands, exact_quantile, streak_sizes
 from pulsegrid.plans.registry import Tables, query, sql
 from pulsegrid.plans.shared import CHANNELS, RAW, SERIES, WINDOWS, series_rows, week_windows
@@ -180,7 +180,7 @@ def _register_feature(number: int, name: str) -> None:
 
     @query(f"f{number}_{name}", oracle)
     def build(t: Tables):
-        return day_features(series_rows(t), [name]).select("participant_id", "date", F.round(name, 6).alias(name))
+        return day_features(series_rows(t, FEATURE_CHANNELS[name]), [name]).select("participant_id", "date", F.round(name, 6).alias(name))
 
 
 for _i, _name in enumerate(_FEATURE_SQL, start=1):
@@ -196,6 +196,6 @@ assert set(_FEATURE_SQL) == set(ALL_FEATURES)
     ),
 )
 def run_detection(t: Tables):
-    return streak_sizes(series_rows(t), ["participant_id", "date"], "timestamp", F.col("steps") == 0)
+    return streak_sizes(series_rows(t, ["steps"]), ["participant_id", "date"], "timestamp", F.col("steps") == 0)
 
 

@@ -30,23 +30,26 @@ def hourly_flags(t: Tables) -> DataFrame:
     return hourly_observations(t).select("participant_id", "timestamp", *[c.alias(n) for n, c in flags.items()])
 
 
-def series_pages(t: Tables) -> DataFrame:
-    """Gap-filled hourly series as day pages; an unknown heart rate is 0."""
+def series_pages(t: Tables, channels: list[str] | None = None) -> DataFrame:
+    """Gap-filled hourly series as day pages; an unknown heart rate is 0. Only the named channels travel."""
     observed = hourly_flags(t).withColumn("heart_rate", F.coalesce("heart_rate", F.lit(0)))
-    return gap_filled_pages(observed, spine_defaults(), step_seconds=HOUR)
+    defaults = spine_defaults()
+    return gap_filled_pages(observed, {c: defaults[c] for c in channels or CHANNELS}, step_seconds=HOUR)
 
 
-def series_rows(t: Tables) -> DataFrame:
-    return pages_to_rows(series_pages(t), CHANNELS, step_seconds=HOUR)
+def series_rows(t: Tables, channels: list[str] | None = None) -> DataFrame:
+    return pages_to_rows(series_pages(t, channels), channels or CHANNELS, step_seconds=HOUR)
 
 
 def week_windows(t: Tables, channels: list[str] | None = None) -> DataFrame:
-    return sliding_windows(series_pages(t), channels or ["heart_rate", "steps"], WINDOW_DAYS, 24)
+    channels = channels or ["heart_rate", "steps"]
+    return sliding_windows(series_pages(t, channels), channels, WINDOW_DAYS, 24)
 
 
 def window_keys(t: Tables) -> DataFrame:
     """participant_id, start, end and a readable window id."""
-    return week_windows(t, ["heart_rate"]).select(
+    keys = sliding_windows(series_pages(t, ["heart_rate"]), [], WINDOW_DAYS, 24, counted="heart_rate")
+    return keys.select(
         "participant_id", "start", "end",
         F.concat("participant_id", F.lit(":"), F.date_sub(F.col("end").cast("date"), 1).cast("string")).alias("id"),
     )

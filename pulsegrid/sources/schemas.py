@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "string": T.StringType(), "date": T.DateType(), "timestamp_ntz": T.TimestampNTZType(), "boolean": T.BooleanType(),
+    "smallint": T.ShortType(), "int": T.IntegerType(), "double": T.DoubleType(), "array<double>": T.ArrayType(T.DoubleType()),
+}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """Schema from ``name type, ...``; needs no session, unlike Spark's own DDL reader."""
+    pairs = (field.split() for field in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 RAW_DAY_STRINGS = _struct("id_participant_external string, dt date, minute_level_str string")
