@@ -116,9 +116,12 @@ def det_points(preds: DataFrame, *, label: str = "label", score: str = "pred") -
     Starts at the last threshold with the fewest false positives and stops at
     the first one that finds every positive.
     """
-    points = curve(score_counts(preds, label=label, score=score))
-    fewest = points.agg(F.min("fp")).scalar()
-    start = points.where(F.col("fp") == fewest).agg(F.min("score")).scalar()
+    counts = score_counts(preds, label=label, score=score)
+    top = counts.agg(F.max("score")).scalar()
+    # Below this score the first further negatives come in; the lowest score above it is the start.
+    next_negative = counts.where((F.col("neg") > 0) & (F.col("score") < top)).agg(F.max("score")).scalar()
+    start = counts.where(F.coalesce(F.col("score") > next_negative, F.lit(True))).agg(F.min("score")).scalar()
+    points = curve(counts)
     tp_before, _ = _previous()
     kept = points.where((F.col("score") <= start) & (tp_before < F.col("n_pos")))
     return kept.select(

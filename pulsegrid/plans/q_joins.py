@@ -14,6 +14,7 @@ from pulsegrid.operators.reshape import last_per_slot
 from pulsegrid.operators.setops import concat_tables
 from pulsegrid.plans.registry import Tables, query, sql
 from pulsegrid.plans.shared import HOUR, RAW, WINDOWS, window_keys
+from pulsegrid.session import materialized
 
 
 def _channel(t: Tables, name: str, event_types: tuple[str, ...]) -> DataFrame:
@@ -198,7 +199,7 @@ rounds AS (SELECT unnest(range(0, 11)) AS r), dealt_l AS (
 
 @query("j10_random_pairing", sql("SELECT id_l, id_r FROM dealt", RAW, WINDOWS + ", " + _RANDOM))
 def random_pairing(t: Tables):
-    return J.random_pair_rounds(window_keys(t), rounds=11)
+    return J.random_pair_rounds(materialized(window_keys(t)), rounds=11)
 
 
 @query(
@@ -246,7 +247,7 @@ def append_day_features(t: Tables):
     sql("SELECT id_l, id_r FROM dealt UNION ALL SELECT id_l, id_r FROM same", RAW, WINDOWS + ", " + _SAME + ", " + _RANDOM),
 )
 def pair_union(t: Tables):
-    windows = window_keys(t)
+    windows = materialized(window_keys(t))
     return concat_tables([J.random_pair_rounds(windows, rounds=11), J.same_participant_pairs(windows, rounds=2)])
 
 
@@ -273,7 +274,7 @@ def concat(t: Tables):
     ),
 )
 def same_participant_label(t: Tables):
-    windows = window_keys(t)
+    windows = materialized(window_keys(t))
     pairs = concat_tables([J.random_pair_rounds(windows, rounds=11), J.same_participant_pairs(windows, rounds=2)])
     return J.attach_sides(pairs, windows).select("id_l", "id_r", L.same_participant().alias("label"))
 
@@ -296,6 +297,6 @@ def same_participant_label(t: Tables):
     ),
 )
 def sequential_label(t: Tables):
-    windows = window_keys(t)
+    windows = materialized(window_keys(t))
     pairs = J.attach_sides(J.sequential_task_pairs(windows), windows)
     return pairs.select("id_l", "id_r", L.sequential().alias("label"))

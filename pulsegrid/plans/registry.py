@@ -20,10 +20,13 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._bases: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
         if name not in FIXTURES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            if name not in self._bases:
+                self._bases[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return self._bases[name]
         sql, bases = FIXTURES[name]
         frames = {base: self(base) for base in bases}
         sql = sql.replace("{", "{{").replace("}", "}}")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(
@@ -33,15 +35,19 @@ def build_session(
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession, fallback: str) -> str:
-    """Checkpoint folder of the session, or ``fallback`` where none is set.
+def materialized(df: DataFrame) -> DataFrame:
+    """``df`` computed once and stored, for plans that read it many times.
 
-    On a cluster the shared folder comes from ``spark.checkpoint.dir``; the
-    fallback is for local runs and tests only.
+    Uses a reliable checkpoint in the folder ``spark.checkpoint.dir`` names, so
+    a lost executor costs a re-read and not the whole lineage. A local session
+    without that setting gets a temporary folder; a cluster session without it
+    gets ``df`` back unchanged, which is slower but right.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    folder = configured or fallback
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not context.master.startswith("local"):
+            return df
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pulsegrid-"))
+    return df.checkpoint(eager=True)
