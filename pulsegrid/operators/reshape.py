@@ -93,7 +93,8 @@ def last_per_slot(
     slot = slot_start(F.col(ts_col), step_seconds)
     last = F.max_by(F.struct(*value_cols), F.struct(*order_cols)).alias("_last")
     return (
-        df.groupBy(key, slot.alias("_slot")).agg(last).select(key, F.col("_slot").alias(ts_col), "_last.*")
+        df.where(F.col(ts_col).isNotNull()).groupBy(key, slot.alias("_slot")).agg(last)
+        .select(key, F.col("_slot").alias(ts_col), "_last.*")
     )
 
 

@@ -265,9 +265,25 @@ def delong_variance(t: Tables):
     return stats.select(*[F.round(c, 8).alias(c) for c in stats.columns])
 
 
-@query("e15_delong_test")
+def _two_sided(z: str) -> str:
+    """Two-sided normal p-value by the series of erf; exact to 1e-9 for |z| < 4."""
+    x = f"(abs({z}) / sqrt(2.0))"
+    term = f"(CASE WHEN n % 2 = 0 THEN 1 ELSE -1 END) * pow({x}, 2 * n + 1) / (gamma(n + 1.0) * (2 * n + 1))"
+    return f"(1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 60), lambda n: {term})))"
+
+
+@query(
+    "e15_delong_test",
+    sql(
+        f"""SELECT round(auc_a, 8) AS auc_a, round(auc_b, 8) AS auc_b, round(var_a, 8) AS var_a, round(var_b, 8) AS var_b,
+            round(cov_ab, 8) AS cov_ab, round(z, 6) AS z, round(log10({_two_sided("z")}), 6) AS log10_p
+        FROM (SELECT *, abs(auc_a - auc_b) / sqrt(var_a + var_b - 2 * cov_ab) AS z FROM delong)""",
+        PREDS, _DELONG,
+    ),
+)
 def delong_test(t: Tables):
-    return E.delong_test(t("fx_predictions"), "pred_a", "pred_b")
+    stats = E.delong_test(t("fx_predictions"), "pred_a", "pred_b")
+    return stats.select(*[F.round(c, 6 if c in ("z", "log10_p") else 8).alias(c) for c in stats.columns])
 
 
 _KS = [0.0005, 0.001, 0.005, 0.01, 0.1]
@@ -290,14 +306,58 @@ def _metrics(t: Tables):
     return t("fx_metrics").withColumn("accuracy", F.round("accuracy", 9))
 
 
-@query("e17_friedman_test")
+_RUNS = "runs AS (SELECT classifier_name AS m, dataset_name AS d, round(accuracy, 9) AS v FROM fx_metrics)"
+
+
+@query(
+    "e17_friedman_test",
+    sql(
+        # The chi-square tail has a closed form for an even number of degrees of freedom: here 7 models, 6 degrees.
+        """SELECT round(q, 6) AS statistic, round(exp(-q / 2) * (1 + q / 2 + q * q / 8), 6) AS p_value FROM (
+            SELECT (12.0 / (k * n * (k + 1)) * ss - 3 * n * (k + 1)) / (1 - ties / (k * (k * k - 1) * n)) AS q FROM (
+                SELECT count(*) AS k, sum(rs * rs) AS ss, max(n) AS n, (SELECT sum(t * (t * t - 1)) FROM (SELECT count(*) AS t FROM runs GROUP BY d, v)) AS ties
+                FROM (SELECT m, sum(r) AS rs, count(*) AS n FROM ranked GROUP BY m)))""",
+        ["fx_metrics"],
+        _RUNS + ", ranked AS (SELECT m, rank() OVER (PARTITION BY d ORDER BY v) + (count(*) OVER (PARTITION BY d, v) - 1) / 2.0 AS r FROM runs)",
+    ),
+)
 def friedman_test(t: Tables):
-    return K.friedman(_metrics(t))
+    return K.friedman(_metrics(t)).select(F.round("statistic", 6).alias("statistic"), F.round("p_value", 6).alias("p_value"))
+
+
+_WILCOXON = (
+    _RUNS
+    + f""", diffs AS (
+    SELECT a.m AS model_a, b.m AS model_b, a.v - b.v AS x, abs(a.v - b.v) AS size FROM runs a JOIN runs b ON a.d = b.d AND a.m < b.m
+), sized AS (
+    SELECT *, count(*) OVER (PARTITION BY model_a, model_b, size) AS t,
+        rank() OVER (PARTITION BY model_a, model_b ORDER BY size) + (count(*) OVER (PARTITION BY model_a, model_b, size) - 1) / 2.0 AS r FROM diffs
+), sums AS (
+    SELECT model_a, model_b, least(coalesce(sum(r) FILTER (x > 0), 0), coalesce(sum(r) FILTER (x < 0), 0)) AS statistic,
+        CAST(count(*) AS DOUBLE) AS n, CAST(count(*) FILTER (x = 0) AS DOUBLE) AS o, coalesce(sum(t * t - 1) FILTER (x <> 0), 0) AS ties
+    FROM sized GROUP BY model_a, model_b
+), scored AS (
+    SELECT model_a, model_b, statistic, (statistic - (n * (n + 1) - o * (o + 1)) / 4)
+        / sqrt((n * (n + 1) * (2 * n + 1) - o * (o + 1) * (2 * o + 1) - ties / 2.0) / 24) AS z FROM sums
+), tested AS (
+    SELECT *, {_two_sided("z")} AS p FROM scored
+), wilcoxon AS (
+    SELECT *, min(CAST(p <= 0.05 / (total - i + 1) AS INT)) OVER (ORDER BY i) AS significant FROM (
+        SELECT *, row_number() OVER (ORDER BY round(p, 9), model_a, model_b) AS i, count(*) OVER () AS total FROM tested)
+)"""
+)
 
 
-@query("e18_wilcoxon_holm")
+@query(
+    "e18_wilcoxon_holm",
+    sql(
+        "SELECT model_a, model_b, CAST(statistic AS DOUBLE) AS statistic, round(z, 6) AS z, round(p, 6) AS p_value, significant FROM wilcoxon",
+        ["fx_metrics"], _WILCOXON,
+    ),
+)
 def wilcoxon_holm(t: Tables):
-    return K.wilcoxon_pairs(_metrics(t))
+    pairs = K.wilcoxon_pairs(_metrics(t))
+    return pairs.select("model_a", "model_b", "statistic", F.round("z", 6).alias("z"), F.round("p_value", 6).alias("p_value"), "significant")
 
 
 @query(
@@ -314,9 +374,21 @@ def average_ranks(t: Tables):
     return K.average_ranks(_metrics(t))
 
 
-@query("e20_inseparable_groups")
+@query(
+    "e20_inseparable_groups",
+    sql(
+        # Every subset of the models as a bit mask: cliques without a significant pair, none inside a larger one.
+        """SELECT string_agg(c.m, ',' ORDER BY c.m) AS members FROM cliques q JOIN models c ON (q.s >> c.i) & 1 = 1
+        WHERE NOT EXISTS (SELECT 1 FROM cliques o WHERE o.s <> q.s AND (o.s & q.s) = q.s) GROUP BY q.s""",
+        ["fx_metrics"],
+        _WILCOXON + """, models AS (SELECT m, CAST(row_number() OVER (ORDER BY m) - 1 AS INT) AS i FROM (SELECT DISTINCT m FROM runs)),
+        apart AS (SELECT (1 << a.i) + (1 << b.i) AS bits FROM wilcoxon w JOIN models a ON a.m = w.model_a JOIN models b ON b.m = w.model_b WHERE significant = 1),
+        cliques AS (SELECT CAST(s AS INT) AS s FROM (SELECT unnest(range(1, (1 << (SELECT CAST(count(*) AS INT) FROM models)))) AS s)
+            WHERE NOT EXISTS (SELECT 1 FROM apart WHERE (CAST(s AS INT) & bits) = bits))""",
+    ),
+)
 def inseparable_groups(t: Tables):
-    return K.inseparable_groups(K.wilcoxon_pairs(_metrics(t)))
+    return K.inseparable_groups(K.wilcoxon_pairs(_metrics(t))).select("members")
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,18 +37,19 @@ def build_session(
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """``df`` computed once and stored, for plans that read it many times.
+    """``df`` computed once and stored as Parquet, for plans that read it many times.
 
-    Uses a reliable checkpoint in the folder ``spark.checkpoint.dir`` names, so
-    a lost executor costs a re-read and not the whole lineage. A local session
-    without that setting gets a temporary folder; a cluster session without it
-    gets ``df`` back unchanged, which is slower but right.
+    The table goes to a new folder under the one ``spark.checkpoint.dir`` names,
+    so a lost executor costs a re-read and not the whole lineage. A local
+    session without that setting gets a temporary folder; a cluster session
+    without it gets ``df`` back unchanged, which is slower but right.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        if configured is None and not context.master.startswith("local"):
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
             return df
-        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="pulsegrid-"))
-    return df.checkpoint(eager=True)
+        root = tempfile.mkdtemp(prefix="pulsegrid-")
+    path = f"{root.rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
