@@ -173,10 +173,9 @@ def same_participant_pairs(
     participant never yields its square, and the join key (participant,
     position) spreads it.
     """
-    ranked = hash_rank(windows.select(key, id_col), [id_col], seed, by=[key], alias="_pos")
-    sizes = windows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = hash_rank(windows.select(key, id_col), [id_col], seed, by=[key], alias="_pos", total="_n")
     steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(rounds).cast("bigint"), F.col("_n") - 1))
-    left = ranked.join(sizes, key).withColumn("_d", F.explode(steps)).select(
+    left = ranked.withColumn("_d", F.explode(steps)).select(
         key, F.col(id_col).alias(f"{id_col}_l"),
         (F.pmod(F.col("_pos") - 1 + F.col("_d"), F.col("_n")) + 1).alias("_pos"),
     )

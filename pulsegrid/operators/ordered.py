@@ -115,22 +115,31 @@ def hash_rank(
     by: Sequence[str] = (),
     digits: int = 3,
     alias: str = "hash_rank",
+    total: str | None = None,
+    hash_as: str | None = None,
 ) -> DataFrame:
     """Dense 1-based position of each row in md5 order of its (unique) keys within ``by``.
 
     Buckets are the leading hex digits of the md5, hence even in size. The
-    offsets table has at most 16**digits rows per ``by`` group.
+    offsets table has at most 16**digits rows per ``by`` group. ``total`` names
+    a column for the size of the group and ``hash_as`` one for the md5.
     """
     by = list(by)
     hashed = df.withColumn("_h", md5_of(seed, *[F.col(k) for k in keys])).withColumn(
         "_hb", F.substring("_h", 1, digits)
     )
     totals = hashed.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_t"))
-    before = W.partitionBy(*by).orderBy("_hb").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*by, "_hb", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"))
+    group = W.partitionBy(*by)
+    before = group.orderBy("_hb").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *by, "_hb", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_o"), F.sum("_t").over(group).alias("_n")
+    )
     inside = W.partitionBy(*by, "_hb").orderBy("_h", *keys)
+    extra = [F.col("_n").alias(total)] if total else []
+    if hash_as:
+        extra.append(F.col("_h").alias(hash_as))
     return hashed.join(offsets, [*by, "_hb"]).select(
-        *df.columns, (F.col("_o") + F.row_number().over(inside)).cast("bigint").alias(alias)
+        *df.columns, (F.col("_o") + F.row_number().over(inside)).cast("bigint").alias(alias), *extra
     )
 
 

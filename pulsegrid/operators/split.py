@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.hashing import hash_below, hash_prefix
+from pulsegrid.functions.hashing import hash_below, hash_prefix, md5_of
 from pulsegrid.operators.ordered import hash_rank, prefix_sums
 
 
@@ -43,14 +43,23 @@ def temporal_participant_split(
     return df.withColumn(alias, F.when(before, "train").otherwise(side))
 
 
-def _ranked_participants(participants: DataFrame, key: str, seed: str) -> tuple[DataFrame, Column]:
-    distinct = participants.select(key).distinct()
-    ranked = hash_rank(distinct, [key], seed, alias="_rank")
-    return ranked, distinct.agg(F.count(F.lit(1))).scalar()
+def _hash_cuts(participants: DataFrame, key: str, seed: str, fracs: Sequence[float]) -> list[Column]:
+    """Per fraction the md5 of the last participant inside it, as a scalar.
 
-
-def _cut(frac: float, total: Column) -> Column:
-    return F.floor(F.lit(float(frac)) * total)
+    A participant is among the first ``int(frac * n)`` in hash order exactly
+    when its md5 is not above the cut. The big table is then split by an
+    expression: only the distinct participants are ranked, and no row is joined.
+    """
+    ranked = hash_rank(participants.select(key).distinct(), [key], seed, alias="_rank", total="_n", hash_as="_h")
+    cuts = ranked.agg(
+        F.struct(
+            *[
+                F.max(F.when(F.col("_rank") <= F.floor(F.lit(float(frac)) * F.col("_n")), F.col("_h"))).alias(f"c{i}")
+                for i, frac in enumerate(fracs)
+            ]
+        ).alias("cuts")
+    ).scalar()
+    return [F.coalesce(cuts[f"c{i}"], F.lit("")) for i in range(len(fracs))]
 
 
 def exact_temporal_split(
@@ -65,31 +74,25 @@ def exact_temporal_split(
     if end_at is not None:
         df = df.where(F.col(ts_col) < F.lit(end_at).cast(df.schema[ts_col].dataType))
     late = F.col(ts_col) >= F.lit(split_at).cast(df.schema[ts_col].dataType)
-    ranked, total = _ranked_participants(df.where(late), key, seed)
-    chosen = ranked.where(F.col("_rank") <= _cut(test_frac, total)).select(key, F.lit(True).alias("_test"))
+    (cut,) = _hash_cuts(df.where(late), key, seed, [test_frac])
     rest = F.when(late, "eval").otherwise("train") if separate_train_and_eval else F.lit("train_eval")
-    return df.join(chosen, key, "left").select(
-        *df.columns, F.when(late & F.coalesce(F.col("_test"), F.lit(False)), "test").otherwise(rest).alias("split")
-    )
+    return df.withColumn("split", F.when(late & (md5_of(seed, F.col(key)) <= cut), "test").otherwise(rest))
 
 
 def user_split(
     df: DataFrame, *, eval_frac: float, test_frac: float, seed: str = "user", key: str = "participant_id"
 ) -> DataFrame:
     """Participants into test, eval and train: the first ``eval_frac`` is held out, ``test_frac`` of it is test."""
-    ranked, total = _ranked_participants(df, key, seed)
-    test_end, eval_end = _cut(test_frac * eval_frac, total), _cut(eval_frac, total)
-    side = (
-        F.when(F.col("_rank") <= test_end, "test").when(F.col("_rank") <= eval_end, "eval").otherwise("train")
-    )
-    return df.join(ranked.select(key, side.alias("split")), key)
+    test_cut, eval_cut = _hash_cuts(df, key, seed, [test_frac * eval_frac, eval_frac])
+    place = md5_of(seed, F.col(key))
+    side = F.when(place <= test_cut, "test").when(place <= eval_cut, "eval").otherwise("train")
+    return df.withColumn("split", side)
 
 
 def two_way_split(df: DataFrame, frac: float, *, seed: str = "two", key: str = "participant_id") -> DataFrame:
     """Participants into left (``int(frac * n)`` of them) and right."""
-    ranked, total = _ranked_participants(df, key, seed)
-    side = F.when(F.col("_rank") <= _cut(frac, total), "left").otherwise("right")
-    return df.join(ranked.select(key, side.alias("side")), key)
+    (cut,) = _hash_cuts(df, key, seed, [frac])
+    return df.withColumn("side", F.when(md5_of(seed, F.col(key)) <= cut, "left").otherwise("right"))
 
 
 def keep_positives_sample_negatives(
