@@ -54,11 +54,15 @@ def _areas() -> dict[str, Column]:
     """Aggregates over curve rows. Undefined (null) when a class is empty."""
     n_pos, n_neg = F.max("n_pos"), F.max("n_neg")
     step = F.col("pos").cast("double")
+    # Pairs counted from the positive and from the negative side, then halved: the
+    # same number, but the plan's branches read the same columns and share a shuffle.
+    beaten = F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))
+    beating = F.col("neg") * (F.col("n_pos") - F.col("pos_before") - F.col("pos") / F.lit(2.0))
     here = _precision(F.col("tp"), F.col("fp"))
     before = _precision(*_previous())
     return {
         "roc_auc": F.try_divide(
-            F.sum(F.col("pos") * (F.col("neg_before") + F.col("neg") / F.lit(2.0))), n_pos.cast("double") * n_neg
+            F.sum(beaten + beating), n_pos.cast("double") * n_neg * 2
         ),
         "pr_auc": F.try_divide(F.sum(step * (here + before) / 2), n_pos),
         "average_precision": F.try_divide(F.sum(step * here), n_pos),

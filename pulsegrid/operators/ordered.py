@@ -43,9 +43,10 @@ def prefix_sums(
     """
     by = list(by)
     value = F.col(order_col).cast("double")
-    sums = {c: F.sum(c) for c in sum_cols}
+    totals = [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
 
-    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi")).alias("s")).scalar()
+    # The sums are there to make this read the same shuffle as the other branches.
+    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"), *totals).alias("s")).scalar()
     share = F.try_divide(value - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo"))
     placed = df.withColumn("_s", bounds).select(
         *df.columns, F.coalesce(F.floor(share * COARSE_BUCKETS), F.lit(0)).cast("int").alias("_b1")
@@ -54,14 +55,13 @@ def prefix_sums(
     # At most COARSE_BUCKETS + 1 rows per ``by`` group, whatever the input.
     steps = placed.groupBy(*by, "_b1").agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).cast("int").alias("_parts"),
-        *[x.alias(f"_t_{c}") for c, x in sums.items()],
+        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).cast("int").alias("_parts"), *totals,
     )
     earlier = W.partitionBy(*by).orderBy("_b1").rowsBetween(W.unboundedPreceding, -1)
     steps = steps.select(
         *by, "_b1", "_lo", "_hi", "_parts",
-        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o1_{c}") for c in sum_cols],
-        *[F.sum(f"_t_{c}").over(W.partitionBy(*by)).alias(f"{c}_total") for c in sum_cols],
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(W.partitionBy(*by)).alias(f"_n_{c}") for c in sum_cols],
     )
     within = F.floor(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.col("_parts"))
     stepped = placed.join(steps if by else F.broadcast(steps), [*by, "_b1"]).withColumn(
@@ -70,20 +70,24 @@ def prefix_sums(
 
     # Only crowded steps have a second level; without any this side is empty and AQE drops the join.
     keys = [*by, "_b1", "_b2"]
+    parts = stepped.where(F.col("_parts") > 1).groupBy(*keys).agg(
+        *totals, *[F.max(f"_o_{c}").alias(f"_o_{c}") for c in sum_cols], *[F.max(f"_n_{c}").alias(f"_m_{c}") for c in sum_cols]
+    )
     earlier_part = W.partitionBy(*by, "_b1").orderBy("_b2").rowsBetween(W.unboundedPreceding, -1)
-    parts = stepped.where(F.col("_parts") > 1).groupBy(*keys).agg(*[x.alias(f"_t_{c}") for c, x in sums.items()])
-    parts = parts.select(*keys, *[F.sum(f"_t_{c}").over(earlier_part).alias(f"_o2_{c}") for c in sum_cols])
+    parts = parts.select(
+        *keys,
+        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(f"_t_{c}").over(earlier_part), F.lit(0))).alias(f"_p_{c}") for c in sum_cols],
+        *[f"_m_{c}" for c in sum_cols],
+    )
 
     inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     return stepped.join(parts, keys, "left").select(
         *df.columns,
         *[
-            (
-                F.col(f"_o1_{c}") + F.coalesce(f"_o2_{c}", F.lit(0)) + F.coalesce(F.sum(c).over(inside), F.lit(0))
-            ).alias(f"{c}_before")
+            (F.coalesce(f"_p_{c}", f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before")
             for c in sum_cols
         ],
-        *[f"{c}_total" for c in sum_cols],
+        *[F.coalesce(f"_m_{c}", f"_n_{c}").alias(f"{c}_total") for c in sum_cols],
     )
 
 
