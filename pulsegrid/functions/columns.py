@@ -103,8 +103,21 @@ def minute_flags(heart_rate="heart_rate", steps="steps", sleep="sleep_classic")
 # --- time --------------------------------------------------------------------
 
 
-def as_ntz(value: Column) -> Column:
-    return value.cast("timestamp_ntz")
+def seconds_into_day(ts: str | Column) -> Column:
+    """Whole seconds since the midnight of a zone-free timestamp."""
+    ts = _col(ts)
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
+def epoch_seconds(ts: str | Column) -> Column:
+    """Seconds since 1970 with microseconds, the same in every session time zone.
+
+    Casting a zone-free timestamp to an instant would shift and, around clock
+    changes, even reorder it.
+    """
+    ts = _col(ts)
+    days = F.unix_date(ts.cast("date")).cast("bigint") * 86_400
+    return days + (F.hour(ts) * 3600 + F.minute(ts) * 60) + F.extract(F.lit("SECOND"), ts)
 
 
 def epoch_seconds_to_ts(seconds: str | Column) -> Column:
@@ -135,9 +148,8 @@ def day_of(ts: str | Column) -> Column:
 
 def round_to_step(ts: str | Column, seconds: int = 60) -> Column:
     """Nearest multiple of ``seconds``, half to even, as the device feeds expect."""
-    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
-    elapsed = F.timestamp_diff("MICROSECOND", epoch, _col(ts)) / F.lit(seconds * 1_000_000)
-    return epoch_seconds_to_ts(F.bround(elapsed.cast("decimal(28,8)"), 0) * F.lit(seconds))
+    steps = epoch_seconds(ts).cast("decimal(20,6)") / F.lit(seconds).cast("decimal(9,0)")
+    return epoch_seconds_to_ts(F.bround(steps, 0) * F.lit(seconds))
 
 
 def last_token_timestamp(text: str | Column, separator: str = "|") -> Column:

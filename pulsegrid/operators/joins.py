@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pulsegrid.functions.columns import epoch_seconds
 from pulsegrid.functions.hashing import hash_below
 from pulsegrid.operators.ordered import hash_rank
 
@@ -45,7 +46,7 @@ def asof_backward(
     payload = [right_ts, *right_cols]
 
     def bucket(ts: str) -> Column:
-        return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / F.lit(bucket_seconds * 1_000_000)).cast("bigint")
+        return F.floor(epoch_seconds(ts) / F.lit(bucket_seconds)).cast("bigint")
 
     best_tie = F.max_by(F.struct(*payload), F.col(tie_col)).alias("_r")
     points = (

@@ -159,6 +159,6 @@ def same_participant() -> Column:
 
 def sequential() -> Column:
     """Same participant and the right window starts within a day after the left one ends."""
-    gap = F.timestamp_diff("MICROSECOND", F.col("end_l"), F.col("start_r"))
-    day = 86_400_000_000
-    return ((F.col("participant_id_l") == F.col("participant_id_r")) & (gap >= 0) & (gap < day)).cast("int")
+    end, start = F.col("end_l"), F.col("start_r")
+    follows = (start >= end) & (start < end + F.make_dt_interval(days=F.lit(1)))
+    return ((F.col("participant_id_l") == F.col("participant_id_r")) & follows).cast("int")

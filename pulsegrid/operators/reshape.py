@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import clip, remap, round_to_step, SLEEP_STAGE_CLASS
+from pulsegrid.functions.columns import SLEEP_STAGE_CLASS, clip, remap, round_to_step, seconds_into_day
 
 DAY_SECONDS = 86_400
 
@@ -100,9 +100,8 @@ def last_per_slot(
 
 def slot_start(ts: Column, step_seconds: int) -> Column:
     """Start of the slot that holds ``ts``, counted from its midnight."""
-    day = ts.cast("date").cast("timestamp_ntz")
-    into_day = F.timestamp_diff("SECOND", day, ts)
-    return day + _interval(into_day - F.pmod(into_day, F.lit(step_seconds)))
+    into_day = seconds_into_day(ts)
+    return ts.cast("date").cast("timestamp_ntz") + _interval(into_day - F.pmod(into_day, F.lit(step_seconds)))
 
 
 # --- stage maps --------------------------------------------------------------
@@ -175,11 +174,12 @@ def gap_filled_pages(
     channels = list(defaults)
     last_slot = DAY_SECONDS // step_seconds - 1
     day = F.col(ts_col).cast("date")
-    slot = F.floor(
-        F.timestamp_diff("SECOND", day.cast("timestamp_ntz"), F.col(ts_col)) / F.lit(step_seconds)
-    ).cast("int")
+
+    def slot_of(ts: str) -> Column:
+        return F.floor(seconds_into_day(ts) / F.lit(step_seconds)).cast("int")
+
     observed = df.select(
-        key, day.alias("date"), F.struct(slot.alias("slot"), F.struct(*channels).alias("v")).alias("entry")
+        key, day.alias("date"), F.struct(slot_of(ts_col).alias("slot"), F.struct(*channels).alias("v")).alias("entry")
     )
     entry_type = observed.schema["entry"].dataType
     list_type = f"array<{entry_type.simpleString()}>"
@@ -191,13 +191,6 @@ def gap_filled_pages(
         key, "_lo", "_hi",
         F.explode(F.sequence(F.col("_lo").cast("date"), F.col("_hi").cast("date"))).alias("date"),
     )
-
-    def slot_of(bound: str) -> Column:
-        at = F.col(bound)
-        return F.floor(
-            F.timestamp_diff("SECOND", at.cast("date").cast("timestamp_ntz"), at) / F.lit(step_seconds)
-        ).cast("int")
-
     grid = grid.select(
         key, "date",
         F.when(F.col("date") == F.col("_lo").cast("date"), slot_of("_lo")).otherwise(0).alias("_from"),

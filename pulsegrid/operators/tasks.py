@@ -42,9 +42,17 @@ CLAUSES = {
     "signals_headache": "(daily_symptoms__headache == 'moderate') | (daily_symptoms__headache == 'severe')",
 }
 
+def _weak_flu(tables: Tables, **arguments) -> DataFrame:
+    """Model-based flu probability; fits its model when called."""
+    from pulsegrid.operators.mljobs import weak_flu_probability
+
+    return weak_flu_probability(tables["surveys"], tables["labs"], tables["day_level"], **arguments)
+
+
 # Label builders by task name: (tables, **arguments) -> label table.
 TASKS: dict[str, Callable[..., DataFrame]] = {
     "flu_positive": lambda tables, **a: L.flu_positive(tables["labs"], **a),
+    "flu_positive_weak": _weak_flu,
     "lab_survey_positive": lambda tables, **a: L.lab_survey_positive(tables["labs"], tables["weekly"], **a),
     "diagnosis_date": lambda tables, **a: L.diagnosis_date(tables["diagnoses"], **a),
     "ili": lambda tables, **a: L.ili_window(tables["ili"], **a),

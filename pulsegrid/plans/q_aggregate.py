@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import day_of
+from pulsegrid.functions.columns import day_of, epoch_seconds
 from pulsegrid.operators import aggregate as A
 from pulsegrid.operators import labels as L
 from pulsegrid.operators.day_features import ALL_FEATURES, FEATURE_CHANNELS, day_features
@@ -110,7 +110,7 @@ def table_zscore(t: Tables):
         round(epoch(quantile_cont(ts, 0.5)), 3) AS median_epoch FROM events GROUP BY event_type""",
 )
 def profile(t: Tables):
-    events = t("events").withColumn("seconds", F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    events = t("events").withColumn("seconds", epoch_seconds("ts").cast("double"))
     counts = events.groupBy("event_type").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("user_id").alias("n_participants")
     )

@@ -167,6 +167,14 @@ def task_dataset(t: Tables):
     )
 
 
-@query("t4_channel_length", sql("SELECT 168 AS length, 8 AS n_channels FROM windows LIMIT 1", RAW, WINDOWS))
+@query(
+    "t4_channel_length",
+    sql(
+        """SELECT CAST(CASE WHEN min(n) = max(n) THEN max(n) END AS INT) AS length, 8 AS n_channels FROM (
+            SELECT w.id, count(*) AS n FROM windows w JOIN series s ON w.participant_id = s.participant_id AND s.date BETWEEN w.date - 6 AND w.date
+            GROUP BY w.id)""",
+        RAW, WINDOWS,
+    ),
+)
 def channel_length(t: Tables):
     return T.channel_length(week_windows(t, CHANNELS), CHANNELS)
