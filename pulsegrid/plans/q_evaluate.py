@@ -427,6 +427,13 @@ def prefixed_split_metrics(t: Tables):
     return E.prefixed_metrics(tables).withColumn("value", F.round("value", 8))
 
 
-@query("o11_sampled_curve_points")
+@query(
+    "o11_sampled_curve_points",
+    sql(
+        """SELECT score AS threshold, tp / CAST(tp + fp AS DOUBLE) AS precision, tp / CAST(n_pos AS DOUBLE) AS recall FROM curve
+        ORDER BY substr(md5(concat('points:', CAST(score AS VARCHAR))), 1, 8), score LIMIT 30""",
+        PREDS, _CURVE,
+    ),
+)
 def sampled_curve_points(t: Tables):
-    return S.sample_points(E.roc_points(_preds(t)), 30, ["fpr", "tpr"])
+    return S.sample_points(E.pr_points(_preds(t)), 30, ["threshold"])
