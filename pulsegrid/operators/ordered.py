@@ -129,7 +129,8 @@ def hash_rank(
     a column for the size of the group and ``hash_as`` one for the md5.
     """
     by = list(by)
-    hashed = df.withColumn("_h", md5_of(seed, *[F.col(k) for k in keys])).withColumn(
+    # Never null, so the join below does not have Spark hash every key once more to filter nulls.
+    hashed = df.withColumn("_h", F.coalesce(md5_of(seed, *[F.col(k) for k in keys]), F.lit(""))).withColumn(
         "_hb", F.substring("_h", 1, digits)
     )
     totals = hashed.groupBy(*by, "_hb").agg(F.count(F.lit(1)).alias("_t"))
