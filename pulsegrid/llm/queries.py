@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.language import op1_language_id
+from pulsegrid.llm.pieces import op6_sentencepiece
 from pulsegrid.llm.secret_scan import op9_secret_scan
 from pulsegrid.llm.shards import op3_rendezvous_shards
 
 QUERIES = {
-    "op3_rendezvous_shards": op3_rendezvous_shards,
-    "op9_secret_scan": op9_secret_scan,
+    query.__name__: query
+    for query in (op1_language_id, op3_rendezvous_shards, op6_sentencepiece, op9_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}
