@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.decontaminate import op4_decontamination
 from pulsegrid.llm.language import op1_language_id
 from pulsegrid.llm.pieces import op6_sentencepiece
 from pulsegrid.llm.secret_scan import op9_secret_scan
@@ -9,7 +10,7 @@ from pulsegrid.llm.shards import op3_rendezvous_shards
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_language_id, op3_rendezvous_shards, op6_sentencepiece, op9_secret_scan)
+    for query in (op1_language_id, op3_rendezvous_shards, op4_decontamination, op6_sentencepiece, op9_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}
