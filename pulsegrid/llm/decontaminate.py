@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from pulsegrid.llm.batches import U64, Words, chunks, flat_text, shingles
-from pulsegrid.llm.store import read_table
+from pulsegrid.llm.batches import U64, Words, chunks, flat_text, map_batches, shingles
+from pulsegrid.llm.store import read_table, stored
 
 WIDTH, PERCENT = 5, 75
 BLOCK_SHINGLES = 1 << 21
@@ -88,48 +88,41 @@ class _Index:
         return np.unique(np.concatenate(found))
 
 
-def _search(documents: DataFrame, sets: list, percent: int, schema: str, item_type: T.DataType) -> DataFrame:
-    """Verified pairs of all documents with one broadcast block of items."""
-    spark = documents.sparkSession
-    kind = to_arrow_type(item_type)
-    index = spark.sparkContext.broadcast(
-        ([row["item"] for row in sets], [(row["width"], np.frombuffer(row["hashes"], U64)) for row in sets])
-    )
-
-    def search(batches):
-        names, items = index.value
-        table, words = _Index(items, percent), Words()
-        for batch in batches:
-            flat, offsets = flat_text(batch.column("text"))
-            rows, picked, shared = [], [], []
-            for low, high in chunks(offsets):
-                hashes, counts = words(flat, offsets[low : high + 1])
-                for width in table.bands:
-                    made, sizes = shingles(hashes, counts, width)
-                    row = np.repeat(np.arange(high - low), sizes)
-                    ends = np.cumsum(sizes)
-                    own, at = None, -1
-                    for pair in table.candidates(width, made, row, sizes).tolist():
-                        r, item = divmod(pair, len(names))
-                        if r != at:
-                            own, at = np.unique(made[ends[r] - sizes[r] : ends[r]]), r
-                        q = table.sets[item]
-                        common = int((own[np.minimum(np.searchsorted(own, q), len(own) - 1)] == q).sum())
-                        if 100 * common >= percent * len(q):
-                            rows.append(low + r)
-                            picked.append(item)
-                            shared.append(common)
-            if rows:
-                n_item = [len(table.sets[i]) for i in picked]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc").take(pa.array(rows)), pa.array([names[i] for i in picked], type=kind),
-                        pa.array(n_item, pa.int64()), pa.array(shared, pa.int64()),
-                    ],
-                    names=["doc", "item", "n_item", "n_shared"],
-                )
-
-    return documents.mapInArrow(search, schema)
+class _Searcher:
+    """Finds the items of one block in Arrow batches; one per task."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]], percent: int) -> None:
+        self.table, self.words, self.percent = _Index(items, percent), Words(), percent
+
+    def pairs(self, column: pa.Array):
+        """(row, item, shared shingles) of every verified pair."""
+        flat, offsets = flat_text(column)
+        table, n_items = self.table, len(self.table.sets)
+        for low, high in chunks(offsets):
+            hashes, counts = self.words(flat, offsets[low : high + 1])
+            for width in table.bands:
+                made, sizes = shingles(hashes, counts, width)
+                row = np.repeat(np.arange(high - low), sizes)
+                ends = np.cumsum(sizes)
+                own, at = None, -1
+                for pair in table.candidates(width, made, row, sizes).tolist():
+                    r, item = divmod(pair, n_items)
+                    if r != at:
+                        own, at = np.unique(made[ends[r] - sizes[r] : ends[r]]), r
+                    q = table.sets[item]
+                    common = int((own[np.minimum(np.searchsorted(own, q), len(own) - 1)] == q).sum())
+                    if 100 * common >= self.percent * len(q):
+                        yield low + r, item, common
+
+
+def _blocks(items: DataFrame, item_key: str, item_text: str):
+    """Blocks of about ``BLOCK_SHINGLES`` shingles: (item names, their sets), each small enough to broadcast."""
+    sets = stored(item_sets(items, item_key, item_text), "item-sets")
+    total = sets.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] // 8
+    blocks = max(1, -(-total // BLOCK_SHINGLES))
+    for block in range(blocks):
+        rows = sets.where(F.pmod(F.xxhash64("hashes", "item"), F.lit(blocks)) == block).collect()
+        yield [row["item"] for row in rows], [(row["width"], np.frombuffer(row["hashes"], U64)) for row in rows]
 
 
 def contained_items(
@@ -142,17 +135,47 @@ def contained_items(
     repeat, and further columns of either table are ignored.
     """
     documents = docs.select(F.col(key).alias("doc"), F.col(text).alias("text"))
-    sets = item_sets(items, item_key, item_text).persist()
-    kinds = documents.schema["doc"].dataType.simpleString(), sets.schema["item"].dataType.simpleString()
-    schema = f"doc {kinds[0]}, item {kinds[1]}, n_item long, n_shared long"
-    total = sets.agg(F.coalesce(F.sum(F.length("hashes")), F.lit(0))).first()[0] // 8
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    parts = []
-    for block in range(blocks):
-        rows = sets.where(F.pmod(F.xxhash64("hashes", "item"), F.lit(blocks)) == block).collect()
-        parts.append(_search(documents, rows, percent, schema, sets.schema["item"].dataType))
-    sets.unpersist()
-    return reduce(DataFrame.unionByName, parts)
+    item_type = items.schema[item_key].dataType
+    schema = f"doc {documents.schema['doc'].dataType.simpleString()}, item {item_type.simpleString()}, n_item long, n_shared long"
+
+    def found(block):
+        shared, kind = docs.sparkSession.sparkContext.broadcast(block), to_arrow_type(item_type)
+
+        def search(batches):
+            names, sets = shared.value
+            searcher = _Searcher(sets, percent)
+            for batch in batches:
+                pairs = list(searcher.pairs(batch.column("text")))
+                if pairs:
+                    rows, picked, common = zip(*pairs)
+                    columns = [
+                        batch.column("doc").take(pa.array(rows)), pa.array([names[i] for i in picked], type=kind),
+                        pa.array([len(sets[i][1]) for i in picked], pa.int64()), pa.array(common, pa.int64()),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, names=["doc", "item", "n_item", "n_shared"])
+
+        return documents.mapInArrow(search, schema)
+
+    return reduce(DataFrame.unionByName, [found(block) for block in _blocks(items, item_key, item_text)])
+
+
+def count_contained(
+    docs: DataFrame, text: str, items: DataFrame, item_key: str, item_text: str, percent: int = PERCENT, name: str = "n_items"
+) -> DataFrame:
+    """``docs`` with ``name``: how many items each row contains. All rows stay; a column ``name`` is replaced."""
+    docs = docs.withColumn(name, F.lit(0).cast("long"))
+    for block in _blocks(items, item_key, item_text):
+        shared, state = docs.sparkSession.sparkContext.broadcast(block), {}
+
+        def count(batch, shared=shared, state=state):
+            searcher = state.get("searcher") or state.setdefault("searcher", _Searcher(shared.value[1], percent))
+            n = batch.column(batch.schema.get_field_index(name)).to_numpy().copy()
+            for row, _, _ in searcher.pairs(batch.column(batch.schema.get_field_index(text))):
+                n[row] += 1
+            return {name: n}
+
+        docs = map_batches(docs, count, [(name, T.LongType())])
+    return docs
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from pulsegrid.llm.batches import U64, Words, chunks, flat_text, mix, numbers, shingles
 from pulsegrid.llm.components import components
@@ -42,7 +43,7 @@ _FLUSH = 2_500_000
 _BLOOM_BITS = 1 << 23
 _TAGS = numbers(1 << 12, 7)
 
-_SCHEMA = "bucket int, doc_id long, n long, key long, margin int, gid long, size int, times int, low binary, high binary, owner binary, keys binary, members array<long>"
+_SCHEMA = "bucket int, doc_id long, carry long, n long, key long, margin int, gid long, size int, times int, low binary, high binary, owner binary, keys binary, members array<long>"
 
 
 def _ranges(largest_difference: int) -> int:
@@ -141,13 +142,13 @@ def _signed_documents(buckets: int, width: int):
 
         for batch in batches:
             flat, offsets = flat_text(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
+            ids, carry = batch.column("doc_id").to_pylist(), batch.column("carry").to_pylist()
             for low, high in chunks(offsets):
                 hashes, counts = words(flat, offsets[low : high + 1])
                 made, sizes = shingles(hashes, counts, width)
                 ends = np.cumsum(sizes)
                 columns = _empty(high - low)
-                columns["doc_id"] = ids[low:high]
+                columns["doc_id"], columns["carry"] = ids[low:high], carry[low:high]
                 columns["bucket"] = [x % buckets for x in range(low, high)]
                 columns["n"] = [0] * (high - low)
                 for r in np.flatnonzero(sizes).tolist():
@@ -281,24 +282,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` with an integer ``key``.
+    """(doc_id, n_shingles, component_id, text_hash, set_key) of each row of ``docs`` with an integer ``key``.
 
     Rows are linked when their shingle sets have the given Jaccard similarity (75
     percent, for which the instances are made); the component is the smallest
-    key reachable. A null or empty text, or one without words, has an empty set
-    and is its own component. Rows with a null key take part; a component of them alone
-    has a null id. Repeated rows give a row each. Further columns are ignored.
+    key reachable. A null or empty text, or one without words, has an empty set,
+    a null ``set_key``, and is its own component. Rows with a null key take part; a
+    component of them alone has a null id. Repeated rows give a row each.
+    ``text_hash`` is Spark's xxhash64 of the text. Further columns are ignored.
     """
     if percent != 75:
         raise ValueError("the size bands and differences hold for 75 percent")
     spark = docs.sparkSession
-    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("carry"))
     buckets = 2 * partitions(spark)
     signed = docs.mapInArrow(_signed_documents(buckets, width), _SCHEMA).repartitionById(buckets, F.col("bucket"))
     shared = stored(
-        signed.mapInArrow(_shared_signatures, _SCHEMA).select("doc_id", "n", "key", "margin", "gid", "size", "times", "members"), "shared"
+        signed.mapInArrow(_shared_signatures, _SCHEMA).select("doc_id", "carry", "n", "key", "margin", "gid", "size", "times", "members"), "shared"
     )
-    rows = shared.where(F.col("gid").isNull()).select("doc_id", "n", "key", "margin")
+    rows = shared.where(F.col("gid").isNull()).select("doc_id", "carry", "n", "key", "margin")
     classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("margin").alias("margin"))
     groups = shared.where(F.col("gid").isNotNull()).select("gid", "size", "times", "members")
 
@@ -332,10 +334,33 @@ def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH,
     of_class = labels.join(first, "component").select("key", "component_id")
     of_class = classes.select("key", "doc_id").join(of_class, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.join(of_class, "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+        F.col("carry").alias("text_hash"), F.col("key").alias("set_key"),
     )
 
 
+def one_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``docs`` with one row of each component left, that of the smallest key; rows with empty sets all stay.
+
+    Where a key repeats, the row with the smaller text hash stays, and one of
+    equal rows. Columns are those of ``docs``.
+    """
+    found = jaccard_components(docs, key, text)
+    linked = found.where(F.col("set_key").isNotNull())
+    # A null component holds rows with null keys only, one group per set.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")))
+    first = linked.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    stay = first.select("r.doc_id", "r.text_hash", F.lit(True).alias("once"))
+    empty = found.where(F.col("set_key").isNull()).select("doc_id", "text_hash", F.lit(False).alias("once")).distinct()
+    stay = stay.union(empty).toDF("_id", "_hash", "_once")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    own = own.withColumns({"_id": F.col(f"_row.`{key}`").cast("long"), "_hash": F.xxhash64(F.col(f"_row.`{text}`"))})
+    same = own["_id"].eqNullSafe(stay["_id"]) & (own["_hash"] == stay["_hash"])
+    kept = own.join(stay, same).select("_row", own["_id"], own["_hash"], "_once")
+    place = F.row_number().over(W.partitionBy("_hash", "_id").orderBy(F.xxhash64("_row")))
+    return kept.withColumn("_place", place).where((F.col("_place") == 1) | ~F.col("_once")).select("_row.*")
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents linked by Jaccard similarity of 75 percent of their 5-word shingles."""
     return jaccard_components(read_table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -365,11 +365,11 @@ def encode_digests(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     A null text counts as empty: no tokens, hashes of the empty string. Columns
     of these names are replaced. The model file is read on the driver only.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(read_vocabulary(model_path)))
     state: dict = {}
 
     def digests(batch: pa.RecordBatch) -> dict:
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(shared.value))
+        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(*shared.value)))
         column = batch.column(batch.schema.get_field_index(text))
         _, offsets = flat_text(column)
         column = pc.fill_null(column, "")
@@ -383,11 +383,11 @@ def encode_digests(docs: DataFrame, text: str, model_path: str) -> DataFrame:
 
 def encode_ids(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     """``docs`` with ``ids``, the token ids of the whole ``text``; null counts as empty."""
-    shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(read_vocabulary(model_path)))
     state: dict = {}
 
     def ids(batch: pa.RecordBatch) -> dict:
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(shared.value))
+        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(*shared.value)))
         column = batch.column(batch.schema.get_field_index(text))
         return {"ids": [encoder.encode(t or "") for t in column.to_pylist()]}
 
@@ -396,11 +396,11 @@ def encode_ids(docs: DataFrame, text: str, model_path: str) -> DataFrame:
 
 def decode_ids(rows: DataFrame, ids: str, model_path: str) -> DataFrame:
     """``rows`` with ``decoded``, the text of the token ids; null counts as no ids."""
-    shared = rows.sparkSession.sparkContext.broadcast(read_vocabulary(model_path))
+    shared = rows.sparkSession.sparkContext.broadcast(astuple(read_vocabulary(model_path)))
     state: dict = {}
 
     def texts(batch: pa.RecordBatch) -> dict:
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(shared.value))
+        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(*shared.value)))
         column = batch.column(batch.schema.get_field_index(ids))
         return {"decoded": [encoder.decode(x or []) for x in column.to_pylist()]}
 
@@ -416,4 +416,4 @@ def default_model() -> str:
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text of documents through the 32k BPE model and back."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_digests(docs, "text", default_model())
+    return encode_digests(docs, "text", default_model()).drop("text")
