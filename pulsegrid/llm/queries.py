@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pulsegrid.llm.decontaminate import op4_decontamination
+from pulsegrid.llm.imatch import op7_imatch
 from pulsegrid.llm.jaccard import op2_jaccard_join
 from pulsegrid.llm.language import op1_language_id
 from pulsegrid.llm.pieces import op6_sentencepiece
@@ -11,7 +12,7 @@ from pulsegrid.llm.shards import op3_rendezvous_shards
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_language_id, op2_jaccard_join, op3_rendezvous_shards, op4_decontamination, op6_sentencepiece, op9_secret_scan)
+    for query in (op1_language_id, op2_jaccard_join, op3_rendezvous_shards, op4_decontamination, op6_sentencepiece, op7_imatch, op9_secret_scan)
 }
 
 ORACLES: dict[str, str] = {}
