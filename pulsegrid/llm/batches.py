@@ -113,7 +113,20 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_BYTE = numbers(256, 1)[_LOWER]
+#: A random number for each byte, the same for A-Z and a-z.
+BYTE = numbers(256, 1)[_LOWER]
+
+
+def word_ranges(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the runs without ASCII white space in rows that begin at the offsets ``at``."""
+    word = ~_SPACE[data]
+    first = word.copy()
+    first[1:] &= ~word[:-1]
+    begins = at[:-1][at[:-1] < at[1:]]
+    first[begins] = word[begins]
+    last = word.copy()
+    last[:-1] &= ~word[1:] | first[1:]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
 class Words:
@@ -128,15 +141,8 @@ class Words:
         at = offsets - offsets[0]
         if not len(data):
             return np.zeros(0, U64), np.zeros(len(at) - 1, np.int64)
-        word = ~_SPACE[data]
-        first = word.copy()
-        first[1:] &= ~word[:-1]
-        begins = at[:-1][at[:-1] < at[1:]]
-        first[begins] = word[begins]
-        last = word.copy()
-        last[:-1] &= ~word[1:] | first[1:]
-        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes = self.hasher.ranges(self.hasher.prefix(_BYTE[data]), starts, ends)
+        starts, ends = word_ranges(data, at)
+        hashes = self.hasher.ranges(self.hasher.prefix(BYTE[data]), starts, ends)
         counts = np.diff(np.searchsorted(starts, at))
         return hashes, counts
 
