@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pulsegrid.llm.chat import op10_chat_format
 from pulsegrid.llm.decontaminate import op4_decontamination
 from pulsegrid.llm.imatch import op7_imatch
 from pulsegrid.llm.jaccard import op2_jaccard_join
@@ -14,7 +15,7 @@ from pulsegrid.llm.toxicity import op5_toxicity
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_language_id, op2_jaccard_join, op3_rendezvous_shards, op4_decontamination, op5_toxicity, op6_sentencepiece, op7_imatch, op8_suffix_dedup, op9_secret_scan)
+    for query in (op1_language_id, op2_jaccard_join, op3_rendezvous_shards, op4_decontamination, op5_toxicity, op6_sentencepiece, op7_imatch, op8_suffix_dedup, op9_secret_scan, op10_chat_format)
 }
 
 ORACLES: dict[str, str] = {}
