@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.tails import normal_log10_two_sided_udf
+from pulsegrid.functions.tails import normal_log10_two_sided
 from pulsegrid.operators.ordered import midranks, prefix_sums
 
 
@@ -264,7 +264,7 @@ def delong_test(preds: DataFrame, score_a: str, score_b: str, *, label: str = "l
     stats = delong(preds, score_a, score_b, label=label)
     spread = F.sqrt(F.col("var_a") + F.col("var_b") - 2 * F.col("cov_ab"))
     return stats.withColumn("z", F.try_divide(F.abs(F.col("auc_a") - F.col("auc_b")), spread)).withColumn(
-        "log10_p", normal_log10_two_sided_udf("z")
+        "log10_p", normal_log10_two_sided("z")
     )
 
 

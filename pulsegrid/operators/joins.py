@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -114,9 +116,14 @@ def lookup_labels(
     windows: DataFrame, labels: DataFrame, *, label_col: str = "label", default=0,
     keys: Sequence[str] = ("participant_id", "date"), alias: str = "label",
 ) -> DataFrame:
-    """Windows with the label of their participant and last day, or ``default``."""
+    """Windows with the label of their participant and last day, or ``default`` (a value, a list for a vector label, a Column).
+
+    A label table with several rows for a key counts as the largest of them, so windows are never multiplied.
+    """
     keys = list(keys)
-    table = labels.select(*keys, F.col(label_col).alias("_label"))
+    table = labels.groupBy(*keys).agg(F.max(label_col).alias("_label"))
+    if isinstance(default, (list, tuple)):
+        default = F.array(*[F.lit(float(x)) for x in default])
     fallback = default if isinstance(default, Column) else F.lit(default)
     return windows.join(table, keys, "left").select(
         *windows.columns, F.coalesce(F.col("_label"), fallback).alias(alias)
@@ -163,25 +170,26 @@ def attach_sides(pairs: DataFrame, windows: DataFrame, id_col: str = "id") -> Da
     return pairs.join(_side(windows, "_l"), f"{id_col}_l").join(_side(windows, "_r"), f"{id_col}_r")
 
 
-def same_participant_pairs(
-    windows: DataFrame, *, key: str = "participant_id", id_col: str = "id", rounds: int = 2, seed: str = "same"
+def ring_sample_pairs(
+    windows: DataFrame, rounds: int, *, key: str = "participant_id", id_col: str = "id", seed: str = "same"
 ) -> DataFrame:
-    """Id pairs of windows of one participant: each window with itself and its ``rounds`` successors.
+    """A ring sample of the pairs of windows of one participant, with ``pairs_left_out`` of that participant.
 
     Windows stand in a ring in hash order and round d pairs position i with
-    i + d, so every round is a different set of ordered pairs and ``rounds`` =
-    n - 1 gives all of them. The output is linear in the input: a heavy
-    participant never yields its square, and the join key (participant,
-    position) spreads it.
+    i + d, from d = 0 (the window itself) to ``rounds``; ``rounds`` = n - 1 gives
+    all n * n ordered pairs and leaves none out. The output is linear in the
+    input: a heavy participant never yields its square, and the join key
+    (participant, position) spreads it.
     """
     ranked = hash_rank(windows.select(key, id_col), [id_col], seed, by=[key], alias="_pos", total="_n")
-    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(rounds).cast("bigint"), F.col("_n") - 1))
+    n = F.col("_n")
+    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(rounds).cast("bigint"), n - 1))
     left = ranked.withColumn("_d", F.explode(steps)).select(
-        key, F.col(id_col).alias(f"{id_col}_l"),
-        (F.pmod(F.col("_pos") - 1 + F.col("_d"), F.col("_n")) + 1).alias("_pos"),
+        key, F.col(id_col).alias(f"{id_col}_l"), (n * n - n * F.least(F.lit(rounds + 1).cast("bigint"), n)).alias("pairs_left_out"),
+        (F.pmod(F.col("_pos") - 1 + F.col("_d"), n) + 1).alias("_pos"),
     )
     right = ranked.select(key, "_pos", F.col(id_col).alias(f"{id_col}_r"))
-    return left.join(right, [key, "_pos"]).select(f"{id_col}_l", f"{id_col}_r")
+    return left.join(right, [key, "_pos"]).select(f"{id_col}_l", f"{id_col}_r", "pairs_left_out")
 
 
 def sequential_pairs(
@@ -195,33 +203,39 @@ def sequential_pairs(
     )
 
 
-def deal_pairs(
-    left: DataFrame, right: DataFrame, *, id_col: str = "id", seed: str | Column = "pair", by: Sequence[str] = ()
-) -> DataFrame:
-    """Left and right ids matched one to one by independent hash orders within ``by``."""
-    by = list(by)
-    l_id, r_id = f"{id_col}_l", f"{id_col}_r"
-    base = F.lit(seed) if isinstance(seed, str) else seed
-    l_rank = hash_rank(left.select(*by, l_id), [l_id], F.concat(base, F.lit(":l")), by, alias="_row")
-    r_rank = hash_rank(right.select(*by, r_id), [r_id], F.concat(base, F.lit(":r")), by, alias="_row")
-    return l_rank.join(r_rank, [*by, "_row"]).select(l_id, r_id)
+def ring_offsets(rounds: int, seed: str) -> list[float]:
+    """One distinct shift per round as a share of the ring, drawn by hash within the round's stretch."""
+    draws = [int(hashlib.md5(f"{seed}:{r}".encode()).hexdigest()[:8], 16) / 2**32 for r in range(rounds)]
+    return [round((r + draw) / rounds, 12) for r, draw in enumerate(draws)]
 
 
 def random_pair_rounds(windows: DataFrame, *, id_col: str = "id", rounds: int = 11, seed: str = "pair") -> DataFrame:
-    """Id pairs of several rounds of random pairing; the round is a key, so all run at once."""
-    numbered = windows.select(id_col).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    left = numbered.select("_round", F.col(id_col).alias(f"{id_col}_l"))
-    right = numbered.select("_round", F.col(id_col).alias(f"{id_col}_r"))
-    round_seed = F.concat(F.lit(seed), F.col("_round").cast("string"))
-    return deal_pairs(left, right, id_col=id_col, seed=round_seed, by=["_round"])
+    """Id pairs of several rounds of random pairing.
+
+    Ids are ranked once, in hash order; a round pairs each position with the one
+    a shift further on the ring, and every round has a shift of its own.
+    """
+    ranked = hash_rank(windows.select(id_col), [id_col], seed, alias="_pos", total="_n")
+    shifts = F.explode(F.array(*[F.lit(x) for x in ring_offsets(rounds, seed)]))
+    left = ranked.withColumn("_shift", shifts).select(
+        F.col(id_col).alias(f"{id_col}_l"),
+        (F.pmod(F.col("_pos") - 1 + F.floor(F.col("_shift") * F.col("_n")), F.col("_n")) + 1).alias("_pos"),
+    )
+    right = ranked.select(F.col(id_col).alias(f"{id_col}_r"), "_pos")
+    return left.join(right, "_pos").select(f"{id_col}_l", f"{id_col}_r")
 
 
 def sequential_task_pairs(
     windows: DataFrame, *, id_col: str = "id", offset_days: int = 7, seed: str = "seq"
 ) -> DataFrame:
-    """Id pairs: half of the sequential pairs as they are, the other half with right sides re-dealt."""
+    """Pairs with the columns of both windows: half of the sequential pairs as they are, the right sides of the others re-dealt."""
     l_id, r_id = f"{id_col}_l", f"{id_col}_r"
-    pairs = sequential_pairs(windows, offset_days=offset_days).select(l_id, r_id)
+    pairs = sequential_pairs(windows, offset_days=offset_days)
     is_kept = hash_below(0.5, seed, F.col(l_id), F.col(r_id))
     broken = pairs.where(~is_kept)
-    return pairs.where(is_kept).unionByName(deal_pairs(broken, broken, id_col=id_col, seed=seed))
+    left = [c for c in pairs.columns if c.endswith("_l")]
+    right = [c for c in pairs.columns if c.endswith("_r")]
+    l_rank = hash_rank(broken.select(*left), [l_id], f"{seed}:l", alias="_row")
+    r_rank = hash_rank(broken.select(*right), [r_id], f"{seed}:r", alias="_row")
+    dealt = l_rank.join(r_rank, "_row").select(*pairs.columns)
+    return pairs.where(is_kept).unionByName(dealt)

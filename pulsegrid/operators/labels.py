@@ -110,12 +110,11 @@ def obesity(screener: DataFrame, order_cols: Sequence[str] = ("response_id",)) -
 
 
 def default_day_vector(columns: Sequence[str], days: int) -> list[float]:
-    """0 for values and 1 for missing flags, repeated per day."""
-    flags = [1.0 if "missing" in c else 0.0 for c in columns]
-    return [*[0.0] * flags.count(0.0), *[1.0] * flags.count(1.0)] * days
+    """0 for each value and 1 for each missing flag, in the order of the columns, repeated per day."""
+    return [float("missing" in c) for c in columns] * days
 
 
-def rolling_day_vectors(day_level: DataFrame, columns: Sequence[str], days: int = 7) -> DataFrame:
+def rolling_day_vectors(day_level: DataFrame, columns: Sequence[str] = DAY_FEATURE_COLUMNS, days: int = 7) -> DataFrame:
     """(participant, day, features): the vectors of ``days`` consecutive days, oldest first."""
     vector = F.array(*[F.col(c).cast("double") for c in columns])
     daily = day_level.select(*KEY, vector.alias("vector"))

@@ -17,8 +17,26 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.hashing import md5_of
 
-COARSE_BUCKETS = 1024
+MAX_BUCKETS = 1024
 ROWS_PER_BUCKET = 1_000_000
+SAMPLE_ROWS = 16 * MAX_BUCKETS
+
+
+def _splitters(sample: Column, parts: Column) -> Column:
+    """``parts`` - 1 values that cut the sorted ``sample`` evenly."""
+    places = F.sequence(F.lit(1), parts - 1)
+    cut = F.transform(places, lambda k: F.get(sample, F.floor(k * F.size(sample) / parts).cast("int")))
+    return F.when(parts > 1, F.array_distinct(F.filter(cut, lambda x: x.isNotNull())))
+
+
+def _bucket(value: Column, splitters: Column) -> Column:
+    """How many splitters are at most ``value``, in two short scans of the sorted array."""
+    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(splitters)))).cast("int")
+    starts = F.sequence(F.lit(0), F.floor((F.size(splitters) - 1) / width).cast("int"))
+    block = F.size(F.filter(starts, lambda b: F.get(splitters, b * width) <= value)) - 1
+    first = F.greatest(block, F.lit(0)) * width
+    inside = F.size(F.filter(F.slice(splitters, first + 1, width), lambda x: x <= value))
+    return F.when(splitters.isNull() | (F.size(splitters) == 0), 0).otherwise(first + inside).cast("int")
 
 
 def prefix_sums(
@@ -30,64 +48,55 @@ def prefix_sums(
 ) -> DataFrame:
     """Add ``<c>_before`` and ``<c>_total``: the sum of ``c`` over smaller ``order_col`` and over all, within ``by``.
 
-    ``df`` has one row per (``by``, ``order_col``); the order column is numeric
-    and not null. Rows fall into buckets that follow the order. Level 1 cuts the
-    value range into equal steps; a step with more than ``rows_per_bucket`` rows
-    is cut again over its own range, so values crowded in one corner still
-    spread over many tasks. Each bucket is scanned on its own, and the sums
-    before it come from the step and bucket totals.
+    ``df`` has one row per (``by``, ``order_col``); the order column is not
+    null. A group with more than ``rows_per_bucket`` rows is cut into ordered
+    buckets at even places of a sorted sample of its values, so buckets are
+    even in size for any distribution. The sample only places the cuts: each
+    bucket is scanned on its own, and exact bucket totals give what lies before it.
 
-    Only functions of the data decide the buckets, so a recomputed task finds
-    the same ones. All branches read the same columns of ``df``: an aggregate
-    in front of it is computed and shuffled once.
+    The sample holds the values with the smallest hashes, about ``SAMPLE_ROWS``
+    per group, so it is a function of the data and a recomputed task finds the
+    same buckets. All branches read the same columns of ``df``: an aggregate in
+    front of it is computed and shuffled once.
     """
     by = list(by)
-    value = F.col(order_col).cast("double")
     totals = [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
-
-    # The sums are there to make this read the same shuffle as the other branches.
-    bounds = df.agg(F.struct(F.min(value).alias("lo"), F.max(value).alias("hi"), *totals).alias("s")).scalar()
-    share = F.try_divide(value - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo"))
-    placed = df.withColumn("_s", bounds).select(
-        *df.columns, F.coalesce(F.floor(share * COARSE_BUCKETS), F.lit(0)).cast("int").alias("_b1")
-    )
-
-    # At most COARSE_BUCKETS + 1 rows per ``by`` group, whatever the input.
-    steps = placed.groupBy(*by, "_b1").agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.ceil(F.count(F.lit(1)) / F.lit(rows_per_bucket)).cast("int").alias("_parts"), *totals,
-    )
-    earlier = W.partitionBy(*by).orderBy("_b1").rowsBetween(W.unboundedPreceding, -1)
-    steps = steps.select(
-        *by, "_b1", "_lo", "_hi", "_parts",
+    value = F.col(order_col)
+
+    # Group sizes; the sums are there to make this read the same shuffle as the other branches.
+    size = F.struct(F.count(F.lit(1)).alias("n"), *totals)
+    draw = F.pmod(F.xxhash64(value), F.lit(1 << 32))
+
+    def sampled(rows: DataFrame) -> DataFrame:
+        large = F.col("_g.n") > rows_per_bucket
+        return rows.where(large & (draw * F.col("_g.n") < F.lit(SAMPLE_ROWS << 32).cast("double")))
+
+    taken = F.struct(F.sort_array(F.collect_list(value)).alias("v"), *totals)
+    parts = F.least(F.ceil(F.col("_g.n") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
+    if by:
+        sized = df.groupBy(*by).agg(size.alias("_g"))
+        sample = sampled(df.join(sized, by)).groupBy(*by).agg(taken.alias("_v"))
+        cuts = sized.join(sample, by, "left").select(*by, _splitters(F.col("_v.v"), parts).alias("_c"))
+        located = df.join(cuts, by)
+    else:
+        with_size = df.withColumn("_g", df.agg(size).scalar())
+        located = with_size.withColumn("_v", sampled(with_size).agg(taken).scalar())
+        located = located.withColumn("_c", _splitters(F.col("_v.v"), parts))
+    located = located.select(*df.columns, _bucket(value, F.col("_c")).alias("_b"))
+
+    # At most MAX_BUCKETS rows per ``by`` group, whatever the input.
+    sums = located.groupBy(*by, "_b").agg(*totals)
+    earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(
+        *by, "_b",
         *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
         *[F.sum(f"_t_{c}").over(W.partitionBy(*by)).alias(f"_n_{c}") for c in sum_cols],
     )
-    within = F.floor(F.try_divide(value - F.col("_lo"), F.col("_hi") - F.col("_lo")) * F.col("_parts"))
-    stepped = placed.join(steps if by else F.broadcast(steps), [*by, "_b1"]).withColumn(
-        "_b2", F.when(F.col("_parts") > 1, F.coalesce(within, F.lit(0))).otherwise(F.lit(0)).cast("int")
-    )
-
-    # Only crowded steps have a second level; without any this side is empty and AQE drops the join.
-    keys = [*by, "_b1", "_b2"]
-    parts = stepped.where(F.col("_parts") > 1).groupBy(*keys).agg(
-        *totals, *[F.max(f"_o_{c}").alias(f"_o_{c}") for c in sum_cols], *[F.max(f"_n_{c}").alias(f"_m_{c}") for c in sum_cols]
-    )
-    earlier_part = W.partitionBy(*by, "_b1").orderBy("_b2").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select(
-        *keys,
-        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(f"_t_{c}").over(earlier_part), F.lit(0))).alias(f"_p_{c}") for c in sum_cols],
-        *[f"_m_{c}" for c in sum_cols],
-    )
-
-    inside = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return stepped.join(parts, keys, "left").select(
+    inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    return located.join(sums if by else F.broadcast(sums), [*by, "_b"]).select(
         *df.columns,
-        *[
-            (F.coalesce(f"_p_{c}", f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before")
-            for c in sum_cols
-        ],
-        *[F.coalesce(f"_m_{c}", f"_n_{c}").alias(f"{c}_total") for c in sum_cols],
+        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sum_cols],
+        *[F.col(f"_n_{c}").alias(f"{c}_total") for c in sum_cols],
     )
 
 

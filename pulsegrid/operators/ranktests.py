@@ -9,9 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from pulsegrid.functions.tails import chi2_upper_udf, normal_two_sided_udf
+from pulsegrid.functions.tails import chi2_upper, normal_two_sided
 
 MODEL, DATASET, VALUE = "classifier_name", "dataset_name", "accuracy"
 
@@ -43,7 +42,7 @@ def friedman(df: DataFrame) -> DataFrame:
     raw = F.lit(12.0) / (k * n * (k + 1)) * F.col("ss") - 3 * n * (k + 1)
     correction = F.lit(1.0) - F.try_divide(ties, k * (k * k - 1) * n)
     return stats.withColumn("statistic", F.try_divide(raw, correction)).select(
-        "statistic", chi2_upper_udf("statistic", (k - 1).cast("int")).alias("p_value")
+        "statistic", chi2_upper("statistic", (k - 1).cast("int")).alias("p_value")
     )
 
 
@@ -75,7 +74,7 @@ def wilcoxon_pairs(df: DataFrame, alpha: float = 0.05, legacy: bool = False) ->
     var = (n * (n + 1) * (2 * n + 1) - zeros * (zeros + 1) * (2 * zeros + 1) - F.col("tie_sum") / 2) / 24
     scored = sums.withColumn("statistic", F.least("r_plus", "r_minus")).withColumn(
         "z", F.try_divide(F.col("statistic") - mean, F.sqrt(var))
-    ).withColumn("p_value", normal_two_sided_udf("z"))
+    ).withColumn("p_value", normal_two_sided("z"))
     # One row per pair of models: a few hundred at most.
     by_p = W.orderBy(F.col("p_value").asc_nulls_last(), *pair)
     step = F.row_number().over(by_p) - 1
@@ -91,39 +90,25 @@ def wilcoxon_pairs(df: DataFrame, alpha: float = 0.05, legacy: bool = False) ->
 def inseparable_groups(pairs: DataFrame) -> DataFrame:
     """Maximal sets of models none of which differ significantly, as (group, members).
 
-    Runs on the model-pair table. Sets grow by one member per step from the
-    non-significant pairs; a set that cannot grow is maximal. Model counts are
-    in the tens, so the steps are few.
+    Runs on the model-pair table. A set knows which models go with all of its
+    members; each round a join adds one of those behind its last member. A
+    set that no model goes with is maximal. There are as many rounds as the largest group has members.
     """
-    edges = pairs.where(~F.col("significant")).select("model_a", "model_b")
-    both = edges.union(edges.select(F.col("model_b"), F.col("model_a"))).toDF("m", "o")
+    alike = pairs.where(~F.col("significant")).select("model_a", "model_b")
+    both = alike.union(alike.select(F.col("model_b"), F.col("model_a"))).toDF("m", "o")
     friends = both.groupBy("m").agg(F.collect_set("o").alias("friends"))
     names = pairs.select(F.col("model_a").alias("m")).union(pairs.select("model_b")).distinct()
-    nodes = names.join(friends, "m", "left").select(
-        "m", F.coalesce("friends", F.array().cast("array<string>")).alias("friends")
-    )
-    # One row: every node with its neighbours.
-    graph = nodes.agg(F.sort_array(F.collect_list(F.struct("m", "friends"))).alias("graph"))
-    cliques = _maximal_cliques_udf(F.col("graph"))
-    return graph.select(F.posexplode(cliques).alias("group", "members"))
-
-
-def _maximal_cliques(graph):
-    """Bron-Kerbosch on a graph of a few dozen nodes."""
-    near = {row["m"]: set(row["friends"]) for row in graph}
-    found = []
-    stack = [(frozenset(), frozenset(near), frozenset())]
-    while stack:
-        chosen, open_, closed = stack.pop()
-        if not open_ and not closed:
-            found.append(sorted(chosen))
-            continue
-        open_, closed = set(open_), set(closed)
-        for node in sorted(open_):
-            stack.append((chosen | {node}, frozenset(open_ & near[node]), frozenset(closed & near[node])))
-            open_.discard(node)
-            closed.add(node)
-    return sorted(found)
-
-
-_maximal_cliques_udf = F.udf(_maximal_cliques, T.ArrayType(T.ArrayType(T.StringType())))
+    models = names.join(friends, "m", "left").select("m", F.coalesce("friends", F.array().cast("array<string>")).alias("friends")).persist()
+    sets = models.select(F.array("m").alias("members"), F.col("friends").alias("open"))
+    maximal = sets.where(F.size("open") == 0).select("members")
+    while True:
+        later = F.filter("open", lambda m: m > F.element_at("members", -1))
+        grown = sets.select("members", "open", F.explode(later).alias("m")).join(models, "m")
+        sets = grown.select(
+            F.array_append("members", F.col("m")).alias("members"), F.array_intersect("open", "friends").alias("open")
+        ).persist()
+        if sets.isEmpty():
+            break
+        maximal = maximal.union(sets.where(F.size("open") == 0).select("members"))
+    ordered = W.orderBy("members")
+    return maximal.select((F.row_number().over(ordered) - 1).alias("group"), "members")

@@ -38,9 +38,12 @@ def _explode_tokens(
     number = F.col("_token").try_cast("double")
     if mode == "strict":
         number = F.col("_token").cast("double")
-    rows = packed.select(*keep, "_start", "_slots", F.posexplode("_tokens").alias("_pos", "_token"))
+    rows = packed.select(*keep, "_start", "_slots", F.size("_tokens").alias("_size"), F.posexplode("_tokens").alias("_pos", "_token"))
+    dropped = []
+    if mode == "trim":
+        dropped = [F.greatest(F.col("_size") - F.col("_slots"), F.lit(0)).alias("tokens_dropped")]
     return rows.where(F.col("_pos") < F.col("_slots")).select(
-        *keep,
+        *keep, *dropped,
         (F.col("_start") + _interval(F.col("_pos") * F.lit(step_seconds))).alias("timestamp"),
         clip(number, upper=clip_max).alias(value),
     )
@@ -53,7 +56,8 @@ def explode_day_string(
     """One row per token of a packed day; token i stands for ``date + i * step``.
 
     ``strict`` fails on a wrong token count or a non-number, ``trim`` keeps the
-    slots inside the day and nulls non-numbers.
+    slots inside the day, nulls non-numbers and adds ``tokens_dropped``, how many
+    tokens of the row's day lie beyond its slots.
     """
     start = F.col(date_col).cast("timestamp_ntz")
     slots = F.lit(DAY_SECONDS // step_seconds)

@@ -115,6 +115,13 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("events",),
     ),
+    # Days of exactly 24 tokens: the last value of each hour, 0 where there is none.
+    "fx_full_day": (
+        "SELECT CAST(user_id AS STRING) AS participant_id, CAST(ts AS DATE) AS dt, concat_ws(' ', "
+        + ", ".join(f"CAST(coalesce(max(CASE WHEN extract(hour FROM ts) = {h} THEN event_id % 260 END), 0) AS STRING)" for h in range(24))
+        + ") AS hour_level_str FROM [events] GROUP BY user_id, CAST(ts AS DATE)",
+        ("events",),
+    ),
     "fx_garmin_sleep": (
         """
         SELECT CAST(user_id AS STRING) AS id_participant_external, event_id, 3600 AS startTimeOffsetInSeconds, concat('{"light":[{"startTimeInSeconds":',

@@ -14,7 +14,6 @@ from pulsegrid.operators.reshape import last_per_slot
 from pulsegrid.operators.setops import concat_tables
 from pulsegrid.plans.registry import Tables, query, sql
 from pulsegrid.plans.shared import HOUR, RAW, WINDOWS, window_keys
-from pulsegrid.session import materialized
 
 
 def _channel(t: Tables, name: str, event_types: tuple[str, ...]) -> DataFrame:
@@ -163,15 +162,15 @@ ranked AS (
     SELECT id, participant_id, row_number() OVER (PARTITION BY participant_id ORDER BY md5(concat('same:', id)), id) AS pos,
         count(*) OVER (PARTITION BY participant_id) AS n FROM windows
 ), same AS (
-    SELECT l.id AS id_l, r.id AS id_r FROM ranked l
+    SELECT l.id AS id_l, r.id AS id_r, l.n * l.n - l.n * least(3, l.n) AS pairs_left_out FROM ranked l
         JOIN (SELECT unnest([0, 1, 2]) AS d) k ON k.d < l.n
         JOIN ranked r ON r.participant_id = l.participant_id AND r.pos = (l.pos - 1 + k.d) % l.n + 1
 )"""
 
 
-@query("j8_same_participant_pairs", sql("SELECT id_l, id_r FROM same", RAW, WINDOWS + ", " + _SAME))
+@query("j8_same_participant_pairs", sql("SELECT id_l, id_r, pairs_left_out FROM same", RAW, WINDOWS + ", " + _SAME))
 def same_participant_pairs(t: Tables):
-    return J.same_participant_pairs(window_keys(t), rounds=2)
+    return J.ring_sample_pairs(window_keys(t), rounds=2)
 
 
 _SEQUENTIAL = """
@@ -187,19 +186,18 @@ def sequential_pairs(t: Tables):
     return J.sequential_pairs(window_keys(t), offset_days=7).select("id_l", "id_r")
 
 
-_RANDOM = """
-rounds AS (SELECT unnest(range(0, 11)) AS r), dealt_l AS (
-    SELECT r, id, row_number() OVER (PARTITION BY r ORDER BY md5(concat('pair', CAST(r AS VARCHAR), ':l:', id)), id) AS n FROM windows, rounds
-), dealt_r AS (
-    SELECT r, id, row_number() OVER (PARTITION BY r ORDER BY md5(concat('pair', CAST(r AS VARCHAR), ':r:', id)), id) AS n FROM windows, rounds
+_RANDOM = f"""
+turned AS (
+    SELECT id, row_number() OVER (ORDER BY md5(concat('pair:', id)), id) AS pos, count(*) OVER () AS n FROM windows
 ), dealt AS (
-    SELECT l.id AS id_l, r.id AS id_r FROM dealt_l l JOIN dealt_r r ON l.r = r.r AND l.n = r.n
+    SELECT l.id AS id_l, r.id AS id_r FROM turned l JOIN (SELECT unnest({J.ring_offsets(11, "pair")}) AS shift) k ON true
+        JOIN turned r ON r.pos = (l.pos - 1 + CAST(floor(CAST(k.shift AS DOUBLE) * l.n) AS BIGINT)) % l.n + 1
 )"""
 
 
 @query("j10_random_pairing", sql("SELECT id_l, id_r FROM dealt", RAW, WINDOWS + ", " + _RANDOM))
 def random_pairing(t: Tables):
-    return J.random_pair_rounds(materialized(window_keys(t)), rounds=11)
+    return J.random_pair_rounds(window_keys(t), rounds=11)
 
 
 @query(
@@ -247,8 +245,8 @@ def append_day_features(t: Tables):
     sql("SELECT id_l, id_r FROM dealt UNION ALL SELECT id_l, id_r FROM same", RAW, WINDOWS + ", " + _SAME + ", " + _RANDOM),
 )
 def pair_union(t: Tables):
-    windows = materialized(window_keys(t))
-    return concat_tables([J.random_pair_rounds(windows, rounds=11), J.same_participant_pairs(windows, rounds=2)])
+    windows = window_keys(t)
+    return concat_tables([J.random_pair_rounds(windows, rounds=11), J.ring_sample_pairs(windows, rounds=2).drop("pairs_left_out")])
 
 
 @query(
@@ -274,8 +272,8 @@ def concat(t: Tables):
     ),
 )
 def same_participant_label(t: Tables):
-    windows = materialized(window_keys(t))
-    pairs = concat_tables([J.random_pair_rounds(windows, rounds=11), J.same_participant_pairs(windows, rounds=2)])
+    windows = window_keys(t)
+    pairs = concat_tables([J.random_pair_rounds(windows, rounds=11), J.ring_sample_pairs(windows, rounds=2).drop("pairs_left_out")])
     return J.attach_sides(pairs, windows).select("id_l", "id_r", L.same_participant().alias("label"))
 
 
@@ -297,6 +295,5 @@ def same_participant_label(t: Tables):
     ),
 )
 def sequential_label(t: Tables):
-    windows = materialized(window_keys(t))
-    pairs = J.attach_sides(J.sequential_task_pairs(windows), windows)
+    pairs = J.sequential_task_pairs(window_keys(t))
     return pairs.select("id_l", "id_r", L.sequential().alias("label"))

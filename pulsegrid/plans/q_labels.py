@@ -167,6 +167,44 @@ def task_dataset(t: Tables):
     )
 
 
+@query(
+    "t3_daily_features_task",
+    sql(
+        """SELECT w.id, CAST(a.date IS NOT NULL AND b.date IS NOT NULL AS INT) AS found,
+            round(CASE WHEN a.date IS NOT NULL AND b.date IS NOT NULL THEN coalesce((a.nap_count - s.m) / s.sd, 0.0) ELSE 0.0 END, 6) AS nap_before,
+            CASE WHEN a.date IS NOT NULL AND b.date IS NOT NULL THEN CAST(b.missing_hr AS DOUBLE) ELSE 1.0 END AS missing_hr
+        FROM windows w LEFT JOIN fx_day_level a ON w.participant_id = a.participant_id AND w.date - 1 = a.date
+            LEFT JOIN fx_day_level b ON w.participant_id = b.participant_id AND w.date = b.date
+            CROSS JOIN (SELECT avg(nap_count) AS m, stddev_samp(nap_count) AS sd FROM fx_day_level) s""",
+        ["fx_day_level", *RAW], WINDOWS,
+    ),
+)
+def daily_features_task(t: Tables):
+    """The regression task with its own defaults: z-scored two-day vectors, 0 and 1 where the days are not complete."""
+    columns = ("nap_count", "missing_hr")
+    rows = T.task_windows("daily_features", window_keys(t), {"day_level": t("fx_day_level")}, [], columns=columns, days=2)
+    listed = T.task_labels("daily_features", {"day_level": t("fx_day_level")}, columns=columns, days=2)
+    flagged = J.lookup_labels(rows, listed.withColumn("one", F.lit(1)), label_col="one", alias="found")
+    return flagged.select(
+        "id", "found", F.round(F.coalesce(F.get("label", F.lit(0)), F.lit(0.0)), 6).alias("nap_before"), F.get("label", F.lit(3)).alias("missing_hr")
+    )
+
+
+@query(
+    "t5_fields_without_flags",
+    sql(
+        """SELECT w.id, CAST(sum(s.steps) AS BIGINT) AS steps_sum, CAST(sum(CAST(s.sleep_classic_1 AS INT)) AS BIGINT) AS sleep_1, 8 AS n_columns
+        FROM windows w JOIN series s ON w.participant_id = s.participant_id AND s.date BETWEEN w.date - 6 AND w.date GROUP BY w.id""",
+        RAW, WINDOWS,
+    ),
+)
+def fields_without_flags(t: Tables):
+    rows = T.labelled_windows(week_windows(t, T.NO_MISSING_FLAG_FIELDS), None, T.NO_MISSING_FLAG_FIELDS, autoencoder=True)
+    total = lambda c: F.aggregate(F.col(c).cast("array<int>").cast("array<bigint>"), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    channels = [f for f in rows.columns if f in T.NO_MISSING_FLAG_FIELDS]
+    return rows.select("id", total("steps").alias("steps_sum"), total("sleep_classic_1").alias("sleep_1"), F.lit(len(channels) + 3).alias("n_columns"))
+
+
 @query(
     "t4_channel_length",
     sql(

@@ -216,23 +216,24 @@ def surrogate_id(t: Tables):
     return S.surrogate_id(t("events").select("event_id", "user_id"), ["event_id", "user_id"])
 
 
-_K = [0.01, 0.1, 25]
+_K = [0.000001, 0.01, 0.1, 25]
 
 
 @query(
     "o10_precision_at_k",
     sql(
         """SELECT CAST(k.name AS VARCHAR) AS k, CAST(k.n_top AS BIGINT) AS n_top, avg(CAST(r.label AS DOUBLE)) AS precision_at_k
-        FROM ranked r JOIN cuts k ON r.rank <= k.n_top GROUP BY k.name, k.n_top""",
+        FROM cuts k LEFT JOIN ranked r ON r.rank <= k.n_top GROUP BY k.name, k.n_top""",
         ["fx_predictions"],
         """ranked AS (SELECT label, row_number() OVER (ORDER BY pred_b DESC, md5(concat('tie:', id))) AS rank FROM fx_predictions),
-        cuts AS (SELECT '0.01' AS name, floor(CAST(0.01 AS DOUBLE) * count(*)) AS n_top FROM fx_predictions
+        cuts AS (SELECT '1e-06' AS name, floor(CAST(0.000001 AS DOUBLE) * count(*)) AS n_top FROM fx_predictions
+            UNION ALL SELECT '0.01' AS name, floor(CAST(0.01 AS DOUBLE) * count(*)) AS n_top FROM fx_predictions
             UNION ALL SELECT '0.1', floor(CAST(0.1 AS DOUBLE) * count(*)) FROM fx_predictions
             UNION ALL SELECT '25', least(25, count(*)) FROM fx_predictions)""",
     ),
 )
 def precision_at_k(t: Tables):
-    return S.precision_at_k(t("fx_predictions"), _K, score="pred_b").where("n_top > 0")
+    return S.precision_at_k(t("fx_predictions"), _K, score="pred_b")
 
 
 @query(

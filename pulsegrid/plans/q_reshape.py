@@ -26,11 +26,28 @@ tokens AS (
     "r1_explode_day_string",
     sql(
         """SELECT participant_id, CAST(CAST(dt AS TIMESTAMP) + to_hours(i - 1) AS VARCHAR) AS timestamp,
-            least(CAST(tok AS DOUBLE), 200.0) AS value FROM tokens WHERE i <= 24""",
-        ["fx_intraday"], _TOKENS,
+            least(CAST(tok AS DOUBLE), 200.0) AS value
+        FROM (SELECT participant_id, dt, unnest(string_split(hour_level_str, ' ')) AS tok,
+            generate_subscripts(string_split(hour_level_str, ' '), 1) AS i FROM fx_full_day)""",
+        ["fx_full_day"],
     ),
 )
 def explode_day(t: Tables):
+    return R.explode_day_string(t("fx_full_day"), "hour_level_str", "value", step_seconds=HOUR)
+
+
+@query(
+    "r1_explode_day_string_trim",
+    sql(
+        """SELECT participant_id, CAST(CAST(dt AS TIMESTAMP) + to_hours(i - 1) AS VARCHAR) AS timestamp,
+            least(CAST(tok AS DOUBLE), 200.0) AS value,
+            CAST(greatest(len(string_split(hour_level_str, ' ')) - 24, 0) AS INT) AS tokens_dropped
+        FROM (SELECT *, unnest(string_split(hour_level_str, ' ')) AS tok,
+            generate_subscripts(string_split(hour_level_str, ' '), 1) AS i FROM fx_intraday) WHERE i <= 24""",
+        ["fx_intraday"],
+    ),
+)
+def explode_day_trim(t: Tables):
     return R.explode_day_string(t("fx_intraday"), "hour_level_str", "value", step_seconds=HOUR, mode="trim")
 
 

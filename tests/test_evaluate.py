@@ -46,6 +46,29 @@ def test_prefix_sums_any_bucketing(spark, rows_per_bucket):
     assert running == out[0].n_total and len(out) == len(values)
 
 
+def _bucket_sizes(df, target):
+    """Rows per bucket of a prefix-sum plan: rows that share a window partition."""
+    sized = df.withColumn("_g", df.agg(F.struct(F.count(F.lit(1)).alias("n"))).scalar())
+    sample = df.where(F.pmod(F.xxhash64("v"), F.lit(1 << 32)) * df.count() < float(O.SAMPLE_ROWS << 32))
+    cuts = O._splitters(F.array(*[F.lit(r.v) for r in sample.orderBy("v").collect()][:: 16]), F.lit(-(-df.count() // target)))
+    return [r["count"] for r in sized.select(O._bucket(F.col("v"), cuts).alias("b")).groupBy("b").count().collect()]
+
+
+@pytest.mark.parametrize("shape", ["pow(10, rand(1) * 12)", "if(rand(2) < 0.9, 1 + rand(3) * 1e-9, rand(4) * 1e6)"])
+def test_buckets_are_even_for_heavy_tails(spark, shape):
+    df = spark.range(60_000).select(F.expr(shape).alias("v")).distinct().persist()
+    assert max(_bucket_sizes(df, 2000)) <= 4000
+    total = O.prefix_sums(df.withColumn("n", F.lit(1)), "v", ["n"], rows_per_bucket=2000)
+    ranked = total.orderBy("v").select("n_before", "n_total").collect()
+    assert [r.n_before for r in ranked] == list(range(len(ranked))) and ranked[0].n_total == len(ranked)
+
+
+def test_prefix_sums_of_integers_beyond_doubles(rows):
+    values = [2**53 + i for i in range(5)]
+    out = O.prefix_sums(rows([(v, 1) for v in values], "v long, n int"), "v", ["n"], rows_per_bucket=2).orderBy("v").collect()
+    assert [(r.v, r.n_before) for r in out] == [(v, i) for i, v in enumerate(values)]
+
+
 def test_prefix_sums_single_value(rows):
     assert O.prefix_sums(rows([(2.0, 5)], "v double, n int"), "v", ["n"]).first().n_before == 0
 

@@ -1,6 +1,7 @@
 """Row expressions, filters, sources and schemas on hand-made rows."""
 
 import datetime as dt
+import math
 
 import pytest
 from pyspark.errors import PySparkException
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import columns as C
 from pulsegrid.functions.clause import clause
 from pulsegrid.functions.hashing import fraction_threshold, hash_below, hash_prefix, poisson_weight
-from pulsegrid.functions.tails import chi2_upper, normal_log10_two_sided
+from pulsegrid.functions.tails import chi2_upper, normal_log10_two_sided, normal_two_sided
 from pulsegrid.operators import filters as P
 from pulsegrid.sources import readers, schemas, sinks
 from pulsegrid.sources.catalog import Catalog, TableSpec
@@ -93,12 +94,19 @@ def test_hash_fractions(spark):
     assert stats.m == pytest.approx(1, abs=0.03) and stats.v == pytest.approx(1, abs=0.05)
 
 
-def test_tails():
-    assert 10 ** normal_log10_two_sided(1.959963985) == pytest.approx(0.05)
-    assert normal_log10_two_sided(50.0) == pytest.approx(-544.666, abs=0.01)
-    assert chi2_upper(3.841458821, 1) == pytest.approx(0.05)
-    assert chi2_upper(30.0, 6) == pytest.approx(3.930849e-05, rel=1e-5)
-    assert chi2_upper(None, 3) is None
+def test_tails(rows):
+    zs = rows([(0.0,), (0.3,), (1.959963985,), (2.8284,), (2.829,), (8.0,), (50.0,), (None,)], "z double")
+    for r in zs.select("z", normal_two_sided("z").alias("p"), normal_log10_two_sided("z").alias("log_p")).collect():
+        if r.z is None:
+            assert r.p is None and r.log_p is None
+        elif r.z < 30:
+            assert r.p == pytest.approx(math.erfc(r.z / math.sqrt(2)), rel=1e-12)
+            assert r.log_p == pytest.approx(math.log10(r.p), abs=1e-12)
+        else:
+            assert r.log_p == pytest.approx(-544.666, abs=0.01)
+    xs = rows([(3.841458821, 1, 0.05), (30.0, 6, 3.930849e-05), (7.814727903, 3, 0.05), (-1.0, 2, 1.0), (None, 3, None)], "x double, k int, p double")
+    for r in xs.select("p", chi2_upper("x", F.col("k")).alias("q")).collect():
+        assert r.q is None if r.p is None else r.q == pytest.approx(r.p, rel=1e-5)
 
 
 def test_rename_and_lists(rows):

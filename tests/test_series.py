@@ -114,7 +114,7 @@ def test_day_features_on_one_day(rows):
     )
     sizes = O.streak_sizes(series, ["participant_id", "date"], "timestamp", F.col("steps") == 0).orderBy("streak").collect()
     # Runs of 2, 3 and 1 rows: the first run loses a row, the last row stands alone.
-    assert [r.streak_size for r in sizes] == [1, 3, 2] or [r.streak_size for r in sizes] == [1, 3, 1, 1]
+    assert [r.streak_size for r in sizes] == [1, 3, 1, 1]
     assert sum(r.streak_size for r in sizes) == 6
     row = day_features(series, ALL_FEATURES).first()
     assert row.total_steps == 12 and row.sleep_minutes == 3 and row.missing_hr == 0
@@ -123,15 +123,13 @@ def test_day_features_on_one_day(rows):
         day_features(series, ["nope"])
 
 
-def test_streak_sizes_match_the_shift_formula(rows):
-    import pandas as pd
-
-    steps = [0, 0, 3, 4, 5, 0, 0, 0, 2]
-    still = pd.Series(steps) == 0
-    span = (still != still.shift(-1)).cumsum()
-    expected = sorted(span.groupby(span).apply(len).tolist())
-    df = rows([("p", i, s) for i, s in enumerate(steps)], "p string, i int, steps int")
-    assert sorted(r.streak_size for r in O.streak_sizes(df, ["p"], "i", F.col("steps") == 0).collect()) == expected
+def test_streak_sizes_written_out(rows):
+    # still, still | moving x3 | still x3 | moving: the first run loses its last row to the second,
+    # every later run passes its last row on, and the last row of the day stands alone.
+    cases = {(0, 0, 3, 4, 5, 0, 0, 0, 2): [1, 1, 1, 3, 3], (7,): [1], (0, 0, 0): [1, 2], (0, 1, 0): [1, 1, 1]}
+    for steps, expected in cases.items():
+        df = rows([("p", i, s) for i, s in enumerate(steps)], "p string, i int, steps int")
+        assert sorted(r.streak_size for r in O.streak_sizes(df, ["p"], "i", F.col("steps") == 0).collect()) == expected
 
 
 def test_event_expansion_sign(rows):
@@ -186,9 +184,11 @@ def test_interval_semi_join(rows):
 
 def test_all_rounds_give_every_pair(rows):
     windows = rows([("a", f"a{i}") for i in range(5)] + [("b", "b0")], "participant_id string, id string")
-    pairs = {tuple(r) for r in J.same_participant_pairs(windows, rounds=4).collect()}
+    pairs = {tuple(r) for r in J.ring_sample_pairs(windows, rounds=4).select("id_l", "id_r").collect()}
     assert pairs == {(f"a{i}", f"a{j}") for i in range(5) for j in range(5)} | {("b0", "b0")}
-    assert J.same_participant_pairs(windows, rounds=1).count() == 11
+    sample = J.ring_sample_pairs(windows, rounds=1)
+    assert sample.count() == 11
+    assert {r.id_l[0]: r.pairs_left_out for r in sample.collect()} == {"a": 15, "b": 0}
 
 
 def test_random_pairs_are_permutations(spark):
@@ -231,7 +231,7 @@ def test_sequential_label_edges(rows):
 
 
 def test_rolling_vectors_default():
-    assert L.default_day_vector(["x", "missing_y", "z"], 2) == [0.0, 0.0, 1.0, 0.0, 0.0, 1.0]
+    assert L.default_day_vector(["x", "missing_y", "z"], 2) == [0.0, 1.0, 0.0, 0.0, 1.0, 0.0]
 
 
 def test_task_registry_and_autoencoder(spark):
