@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.batches import U64, Words, chunks, flat_text, mix, numbers
-from pulsegrid.llm.store import partitions, read_table
+from pulsegrid.llm.store import bitmap, partitions, read_table
 
 TERM_BITS = 20
 TERMS = 1 << TERM_BITS
@@ -43,7 +43,7 @@ def _terms(words: Words, flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndar
 def lexicon(docs: DataFrame, text: str, band: tuple[float, float] = BAND) -> np.ndarray:
     """One flag per term number: its document frequency, counted over all rows, is in the band.
 
-    Only lexicon terms reach the driver, at most ``TERMS`` rows.
+    Only a bitmap of ``TERMS`` bits reaches the driver.
     """
     total = docs.count()
 
@@ -58,10 +58,8 @@ def lexicon(docs: DataFrame, text: str, band: tuple[float, float] = BAND) -> np.
 
     least, most = max(2.0, band[0] * total), max(2.0, band[1] * total)
     table = docs.select(F.col(text)).mapInArrow(count, "term int, df long").groupBy("term").agg(F.sum("df").alias("df"))
-    kept = table.where(F.col("df").between(least, most)).select("term").toPandas()["term"].to_numpy(np.int64)
-    flags = np.zeros(TERMS, bool)
-    flags[kept] = True
-    return flags
+    words = bitmap(table.where(F.col("df").between(least, most)), F.col("term").cast("long"), TERM_BITS)
+    return np.unpackbits(words.view(np.uint8), bitorder="little").astype(bool)
 
 
 class Fingerprints:
@@ -186,12 +184,10 @@ def fingerprint_edits(docs: DataFrame, key: str, text: str, flags: np.ndarray) -
     all) of the next document in descending order of the integer ``key``, after the
     last the first. A null text counts as empty. Repeated rows are each other's next.
     """
-    lex = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(flags))
+    lex = docs.sparkSession.sparkContext.broadcast(np.packbits(flags))
 
     def run(batches):
-        flags = np.zeros(TERMS, bool)
-        flags[lex.value] = True
-        prints = Fingerprints(flags)
+        prints = Fingerprints(np.unpackbits(lex.value).astype(bool))
         held: tuple | None = None  # the last row so far: (key, text, fingerprint)
 
         def finish(rows):

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -43,3 +44,15 @@ def held_out(doc_id) -> "F.Column":
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bitmap(rows: DataFrame, slot: Column, bits: int) -> np.ndarray:
+    """64-bit words of a bitmap in which the slots (0 to 2**bits - 1) of all rows are set.
+
+    Words are put together by Spark; at most 2**(bits - 6) of them reach the driver, whatever the rows.
+    """
+    slots = rows.select(F.shiftright(slot, 6).alias("word"), F.pmod(slot, F.lit(64)).cast("int").alias("bit"))
+    words = slots.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint64)
