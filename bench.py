@@ -72,8 +72,6 @@ def main() -> None:
         "pulsegrid-bench", f"local[{cpus}]", int(cpus),
         spark__driver__memory=os.environ.get("BENCH_DRIVER_MEMORY", "8g"),
         spark__ui__enabled="false",
-        # Local inputs are far below the 64 MB AQE merges partitions to; keep all cores busy.
-        spark__sql__adaptive__coalescePartitions__enabled="false",
     )
     spark.sparkContext.setLogLevel("ERROR")
     tables = Tables(spark, folder)

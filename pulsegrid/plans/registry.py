@@ -47,7 +47,7 @@ def publish(df: DataFrame) -> DataFrame:
         elif isinstance(field.dataType, T.ArrayType):
             inner = field.dataType.elementType
             as_text = "int" if isinstance(inner, T.BooleanType) else "string"
-            column = F.array_join(column.cast(f"array<{as_text}>").cast("array<string>"), ",")
+            column = F.array_join(column.cast(f"array<{as_text}>").cast("array<string>"), ",", "null")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
