@@ -193,8 +193,10 @@ def daily_features_task(t: Tables):
 @query(
     "t5_fields_without_flags",
     sql(
-        """SELECT w.id, CAST(sum(s.steps) AS BIGINT) AS steps_sum, CAST(sum(CAST(s.sleep_classic_1 AS INT)) AS BIGINT) AS sleep_1, 8 AS n_columns
-        FROM windows w JOIN series s ON w.participant_id = s.participant_id AND s.date BETWEEN w.date - 6 AND w.date GROUP BY w.id""",
+        """SELECT w.participant_id, CAST(w.date AS VARCHAR) AS date, CAST(sum(s.steps) AS BIGINT) AS steps_sum,
+            CAST(sum(CAST(s.sleep_classic_1 AS INT)) AS BIGINT) AS sleep_1, 5 AS n_channels
+        FROM windows w JOIN series s ON w.participant_id = s.participant_id AND s.date BETWEEN w.date - 6 AND w.date
+        GROUP BY w.participant_id, w.date""",
         RAW, WINDOWS,
     ),
 )
@@ -202,7 +204,9 @@ def fields_without_flags(t: Tables):
     rows = T.labelled_windows(week_windows(t, T.NO_MISSING_FLAG_FIELDS), None, T.NO_MISSING_FLAG_FIELDS, autoencoder=True)
     total = lambda c: F.aggregate(F.col(c).cast("array<int>").cast("array<bigint>"), F.lit(0).cast("bigint"), lambda acc, x: acc + x)
     channels = [f for f in rows.columns if f in T.NO_MISSING_FLAG_FIELDS]
-    return rows.select("id", total("steps").alias("steps_sum"), total("sleep_classic_1").alias("sleep_1"), F.lit(len(channels) + 3).alias("n_columns"))
+    return rows.select(
+        "participant_id", "date", total("steps").alias("steps_sum"), total("sleep_classic_1").alias("sleep_1"), F.lit(len(channels)).alias("n_channels")
+    )
 
 
 @query(
