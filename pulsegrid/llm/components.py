@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     that label, so chains shorten by half a round. Every round is a written
     table; nothing but the number of changed labels reaches the driver.
     """
-    both = stored(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = stored(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "key"), "labels")
     while True:
         near = (

@@ -11,13 +11,14 @@ has elements at most d can differ, so with m > d the two sets share a
 signature. A set with m <= d in one cut of the domain also signs a second, a third, ...
 cut until m > d, and similar sets share the first cut in which either has m > d.
 
-Signatures travel packed (8 bytes each and the keys of the documents); equal sets have one
-key, so copies count once. Sets that share a signature are linked to one
-partner each, verified exactly, and joined to components. Only then are pairs of
-different components that still share a signature verified. A signature of more than
-``HOT`` sets (a common passage) is needed only between sets without enough
-rarer ones: among m ranges, m - d or more agree with any similar set, so a set with
-fewer hot ranges than that meets all of its partners elsewhere.
+Signatures travel packed (6 bytes each and the keys of the documents); equal sets have one
+key, so copies count once. Sets that share a signature form a group. A group of more
+than ``HOT`` sets is needed only between sets without enough rarer signatures: a set
+agrees with any similar one in m - d ranges or more, so one with fewer ranges in hot groups
+meets all of its partners elsewhere. Sets with more (families of near copies, texts
+that are mostly a common passage) are joined in blocks of some of their groups first.
+What that links becomes one component, and all pairs of different
+components that still share enough signatures are verified exactly.
 """
 
 from __future__ import annotations
@@ -33,22 +34,24 @@ from pyspark.sql.window import Window as W
 
 from pulsegrid.llm.batches import U64, Words, chunks, flat_text, mix, numbers, shingles
 from pulsegrid.llm.components import components
-from pulsegrid.llm.store import partitions, read_table, stored
+from pulsegrid.llm.store import bitmap, partitions, read_table, stored
 
 WIDTH = 5
 #: Signature groups above this size are split by the rule for hot signatures.
-HOT = 64
+HOT = 16
+HOMES = 12
+BLOCK_ELEMENTS = 2_000_000
 _CUTS = 24
-_FLUSH = 2_500_000
-_BLOOM_BITS = 1 << 23
+_FLUSH = 1_000_000
+_BLOOM_BITS = 23
 _TAGS = numbers(1 << 12, 7)
 
-_SCHEMA = "bucket int, doc_id long, carry long, n long, key long, margin int, gid long, size int, times int, low binary, high binary, owner binary, keys binary, members array<long>"
+_SCHEMA = "bucket int, doc_id long, carry long, n long, key long, own int, across int, gid long, size int, times int, sigs binary, owner binary, keys binary, members array<long>"
 
 
 def _ranges(largest_difference: int) -> int:
     k = largest_difference
-    return k + k // 20 + int(1.5 * math.sqrt(k)) + 1
+    return k + 9 * k // 20 + int(1.5 * math.sqrt(k)) + 1
 
 
 def instances(n: int) -> list[tuple[int, int, int]]:
@@ -64,11 +67,16 @@ def instances(n: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def signatures(elements: np.ndarray, plans: list[tuple[int, int, int]]) -> tuple[list[np.ndarray], int]:
-    """(signature arrays of a sorted set, least m - d over its instances)."""
-    out, margin = [], 1 << 30
+def signatures(elements: np.ndarray, plans: list[tuple[int, int, int]]) -> tuple[list[np.ndarray], list[int]]:
+    """(signature arrays of a sorted set, its bounds in its own band's instance and in those of two bands).
+
+    A bound is m - d: in how many ranges the set agrees with any similar one at least; 0
+    where the first cut gives none. The lowest bit of a signature tells the kind of instance.
+    """
+    out, bounds = [], [1 << 30, 1 << 30]
     orders: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for instance, ranges, difference in plans:
+        kind = instance & 1
         for cut in range(_CUTS + 1):
             if cut not in orders:
                 placed = elements if cut == 0 else np.sort(mix(elements + _TAGS[cut]))
@@ -76,22 +84,23 @@ def signatures(elements: np.ndarray, plans: list[tuple[int, int, int]]) -> tuple
             placed, mixed = orders[cut]
             tag = _TAGS[128 + instance * (_CUTS + 1) + cut]
             if cut == _CUTS:  # elements one by one: m is the size of the set, which is more than d
-                out.append(mix(mixed ^ tag))
-                margin = min(margin, len(elements) - difference)
-                break
-            part = ((placed >> U64(32)) * U64(ranges)) >> U64(32)
-            starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-            out.append(mix(np.add.reduceat(mixed, starts) + mix(part[starts] ^ tag)))
-            if len(starts) > difference:
-                margin = min(margin, len(starts) - difference)
+                made, m = mix(mixed ^ tag), len(elements)
+            else:
+                part = ((placed >> U64(32)) * U64(ranges)) >> U64(32)
+                starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+                made, m = mix(np.add.reduceat(mixed, starts) + mix(part[starts] ^ tag)), len(starts)
+            out.append((made & ~U64(1)) | U64(kind))
+            if m > difference:
+                bounds[kind] = min(bounds[kind], m - difference if cut == 0 else 0)
                 break
-    return out, margin
+    return out, [0 if x == 1 << 30 else x for x in bounds]
 
 
 def set_key(elements: np.ndarray) -> int:
-    """64-bit name of a set, signed: equal sets have equal names."""
+    """64-bit name of a set, signed: equal sets have equal names; the lowest bit is that of the size band."""
     total = mix(np.add.reduce(mix(elements ^ _TAGS[65]), keepdims=True) + U64(len(elements)))
-    return int(total.view(np.int64)[0])
+    band = U64((len(elements).bit_length() - 1) & 1)
+    return int(((total & ~U64(1)) | band).view(np.int64)[0])
 
 
 def _empty(n: int) -> dict[str, list]:
@@ -112,7 +121,7 @@ def _signed_documents(buckets: int, width: int):
         pending: list[np.ndarray] = []
         owners: list[int] = []
         keys: list[int] = []
-        margins: dict[int, int] = {}
+        margins: dict[int, list[int]] = {}
         held = 0
 
         def flush():
@@ -131,8 +140,7 @@ def _signed_documents(buckets: int, width: int):
                 used, local = np.unique(owner[part], return_inverse=True)
                 columns = _empty(1)
                 columns["bucket"], columns["keys"] = [b], [names[used].tobytes()]
-                columns["low"] = [(sigs[part] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()]
-                columns["high"] = [((sigs[part] >> U64(32)) & U64(0xFFFF)).astype(np.uint16).tobytes()]
+                columns["sigs"] = [(sigs[part] & U64(0xFFFFFFFF)).astype(np.uint32).tobytes()]
                 columns["owner"] = [local.astype(np.uint16 if len(used) < 65536 else np.uint32).tobytes()]
                 yield _batch(columns)
             pending.clear()
@@ -163,7 +171,8 @@ def _signed_documents(buckets: int, width: int):
                             owners.append(len(keys))
                             held += len(s)
                         keys.append(key)
-                    columns["n"][r], columns["key"][r], columns["margin"][r] = n, key, margins[key]
+                    columns["n"][r], columns["key"][r] = n, key
+                    columns["own"][r], columns["across"][r] = margins[key]
                 yield _batch(columns)
                 if held > _FLUSH:
                     yield from flush()
@@ -177,14 +186,13 @@ def _shared_signatures(batches):
     """mapInArrow function over one bucket: document rows pass, signatures become rows of the sets that share them."""
     sigs, owners = [], []
     for batch in batches:
-        is_doc = batch.column("low").is_null()
+        is_doc = batch.column("sigs").is_null()
         if is_doc.true_count:
             yield batch.filter(is_doc)
         packed = batch.filter(pc.invert(is_doc))
-        for low, high, owner, keys in zip(*(packed.column(c).to_pylist() for c in ("low", "high", "owner", "keys"))):
-            low = np.frombuffer(low, np.uint32)
-            sigs.append(low.astype(U64) | (np.frombuffer(high, np.uint16).astype(U64) << U64(32)))
-            kind = np.uint16 if len(owner) == 2 * len(low) else np.uint32
+        for low, owner, keys in zip(*(packed.column(c).to_pylist() for c in ("sigs", "owner", "keys"))):
+            sigs.append(np.frombuffer(low, np.uint32))
+            kind = np.uint16 if len(owner) == 2 * len(sigs[-1]) else np.uint32
             owners.append(np.frombuffer(keys, np.int64)[np.frombuffer(owner, kind)])
     if not sigs:
         return
@@ -202,13 +210,19 @@ def _shared_signatures(batches):
     sigs, owners = sigs[fresh], owners[fresh]
     starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]])) if len(sigs) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(sigs)))
-    starts, sizes = starts[sizes > 1], sizes[sizes > 1]
+    if not len(starts):
+        return
+    across = (sigs[starts] & 1).astype(bool)
+    odd = np.add.reduceat(owners & 1, starts)
+    useful = (sizes > 1) & (~across | ((odd > 0) & (odd < sizes)))
+    starts, sizes, across = starts[useful], sizes[useful], across[useful]
     if not len(starts):
         return
     place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     owners = owners[place]
     starts = np.cumsum(sizes) - sizes
-    lists = mix(np.add.reduceat(mix(owners.view(U64)), starts) + sizes.astype(U64)).view(np.int64)
+    lists = mix(np.add.reduceat(mix(owners.view(U64)), starts) + sizes.astype(U64))
+    lists = ((lists & ~U64(1)) | across.astype(U64)).view(np.int64)
     lists, first, times = np.unique(lists, return_index=True, return_counts=True)
     for at in range(0, len(lists), 4096):
         columns = _empty(0)
@@ -221,28 +235,25 @@ def _shared_signatures(batches):
         yield _batch({name: values or [None] * n for name, values in columns.items()})
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """Bits of the hashes of column ``id``: at most ``_BLOOM_BITS`` / 64 words reach the driver, whatever the rows."""
-    bit = F.pmod(F.xxhash64("id"), F.lit(_BLOOM_BITS))
-    words = ids.select(F.shiftright(bit, 6).alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
-    out = np.zeros(_BLOOM_BITS // 64, np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
+def _bloom_slot():
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _BLOOM_BITS)
 
 
-def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(key, elements) of the documents named by wanted(key, doc_id): sorted hashes as bytes.
+def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(key, elements) of the sets named by pairs(a, b): sorted hashes as bytes, from one document of each class.
 
     A Bloom filter of fixed size spares most other texts the work; the join settles which rows count.
     """
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select(F.col("doc_id").alias("id"))))
-    placed = docs.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(_BLOOM_BITS)))
+    ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    wanted = stored(classes.join(ends, "key").select("key", "doc_id"), "wanted")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, _bloom_slot(), _BLOOM_BITS))
+    placed = docs.withColumn("slot", _bloom_slot())
 
     def sets(batches):
         words = Words()
         for batch in batches:
-            batch = batch.filter(pa.array(bits.value[batch.column("bit").to_numpy()]))
+            slot = batch.column("slot").to_numpy()
+            batch = batch.filter(pa.array((bits.value[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1))
             flat, offsets = flat_text(batch.column("text"))
             for low, high in chunks(offsets):
                 hashes, counts = words(flat, offsets[low : high + 1])
@@ -259,7 +270,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 )
 
     made = placed.mapInArrow(sets, "doc_id long, key long, elements binary")
-    return made.join(wanted, ["key", "doc_id"]).groupBy("key").agg(F.first("elements").alias("elements"))
+    return stored(made.join(wanted, ["key", "doc_id"]).dropDuplicates(["key", "doc_id"]).select("key", "elements"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,6 +292,58 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(check, "a long, b long")
 
 
+def _open(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """member(gid, size, times, key) with the component of each key, of the groups with more than one component."""
+    rows = member.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = rows.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
+    return rows.join(several, "gid")
+
+
+def _family_links(
+    member: DataFrame, bounds: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int
+) -> tuple[DataFrame, DataFrame]:
+    """(key, homes) of the unsafe sets in hot groups and the links (a, b) inside the homes.
+
+    A set's homes are blocks of the largest group it is in and of those that come first in a few random
+    orders, so sets with many groups in common share a home almost surely. Groups are cut at random
+    into blocks of about ``BLOCK_ELEMENTS`` elements. In a home an inverted index gives the exact overlap of every pair;
+    links that join what is apart so far are returned.
+    """
+    rows = member.where(F.col("size") > HOT).join(bounds.where("unsafe").select("key", "n"), "key")
+    picks = [F.max_by("gid", F.struct("size", "gid"))] + [F.min_by("gid", F.xxhash64("gid", F.lit(i))) for i in range(HOMES - 1)]
+    chosen = rows.groupBy("key").agg(F.first("n").alias("n"), F.array_distinct(F.array(*picks)).alias("gids"))
+    chosen = stored(chosen.select("key", "n", F.explode("gids").alias("gid")), "picks")
+    sizes = chosen.groupBy("gid").agg(F.sum("n").alias("elements"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    sizes = sizes.select("gid", F.ceil(F.col("elements") / BLOCK_ELEMENTS).alias("blocks"))
+    chosen = chosen.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
+    chosen = stored(chosen.select("key", F.xxhash64("gid", "block").alias("home")), "families")
+    sets = _sets_of(docs, classes, chosen.select(F.col("key").alias("a"), F.col("key").alias("b")), width)
+
+    def join(table: pa.Table) -> pa.Table:
+        keys, label = table.column("key").to_numpy(), np.arange(len(table))
+        parts = [np.frombuffer(x.as_buffer(), U64) for x in table.column("elements")]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        elements = np.concatenate(parts)
+        order = np.argsort(elements, kind="stable")
+        owner = np.repeat(np.arange(len(parts)), sizes)[order]
+        elements = elements[order]
+        a, b = [], []
+        for i, part in enumerate(parts):
+            low, high = np.searchsorted(elements, part, "left"), np.searchsorted(elements, part, "right")
+            n = high - low
+            place = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            common = np.bincount(owner[place], minlength=len(parts))
+            for j in np.flatnonzero(100 * common >= percent * (sizes[i] + sizes - common)).tolist():
+                if label[i] != label[j]:
+                    label[label == label[j]] = label[i]
+                    a.append(keys[i])
+                    b.append(keys[j])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    links = stored(chosen.join(sets, "key").groupBy("home").applyInArrow(join, "a long, b long"), "links")
+    return chosen.groupBy("key").agg(F.collect_set("home").alias("homes")), links
+
+
 def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, text_hash, set_key) of each row of ``docs`` with an integer ``key``.
 
@@ -298,36 +361,61 @@ def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH,
     buckets = 2 * partitions(spark)
     signed = docs.mapInArrow(_signed_documents(buckets, width), _SCHEMA).repartitionById(buckets, F.col("bucket"))
     shared = stored(
-        signed.mapInArrow(_shared_signatures, _SCHEMA).select("doc_id", "carry", "n", "key", "margin", "gid", "size", "times", "members"), "shared"
+        signed.mapInArrow(_shared_signatures, _SCHEMA).select("doc_id", "carry", "n", "key", "own", "across", "gid", "size", "times", "members"), "shared"
     )
-    rows = shared.where(F.col("gid").isNull()).select("doc_id", "carry", "n", "key", "margin")
-    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.min("margin").alias("margin"))
-    groups = shared.where(F.col("gid").isNotNull()).select("gid", "size", "times", "members")
-
-    # One partner for each set: the first member of the groups it shares most often.
-    stars = groups.select(F.col("members")[0].alias("a"), F.explode(F.expr("slice(members, 2, size(members))")).alias("b"), "times")
-    stars = stars.groupBy("a", "b").agg(F.sum("times").alias("times"))
-    partner = stars.groupBy("b").agg(F.max_by("a", F.struct("times", "a")).alias("a")).select("a", "b")
-    partner = stored(partner, "partner")
-    members = partner.select(F.col("a").alias("key")).union(partner.select("b")).distinct()
-    wanted = stored(classes.join(members, "key").select("key", "doc_id", "margin"), "wanted")
-    sets = stored(_sets_of(docs, wanted.select("key", "doc_id"), width), "sets")
-    links = stored(_verified(partner, sets, percent), "links")
-    labels = components(links)
+    rows = shared.where(F.col("gid").isNull()).select("doc_id", "carry", "n", "key", "own", "across")
+    classes = rows.where(F.col("key").isNotNull()).groupBy("key").agg(*[F.min(c).alias(c) for c in ("doc_id", "n", "own", "across")])
+    groups = shared.where(F.col("gid").isNotNull()).groupBy("gid", "size", "members").agg(F.sum("times").alias("times"))
+    groups = stored(groups, "groups")
 
-    # Pairs of different components that share a signature.
+    # Agreements of a set in hot groups, which may leave it too few elsewhere. A group's lowest bit tells its
+    # kind: of one band, or of two and then only for pairs of different bands.
     member = groups.select("gid", "size", "times", F.explode("members").alias("key")).distinct()
-    member = member.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    hot = member.where(F.col("size") > HOT).groupBy("key").agg(F.sum("times").alias("hot"))
-    unsafe = wanted.join(hot, "key").where(F.col("hot") >= F.col("margin")).select("key", F.lit(True).alias("unsafe"))
-    open_ = member.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
-    left = member.join(unsafe, "key", "left").where((F.col("size") <= HOT) | F.col("unsafe"))
-    left = stored(left.join(open_, "gid").select("gid", "key", "component"), "members")
+    two_bands = (F.col("gid") % 2 != 0)
+    hot = member.where(F.col("size") > HOT).groupBy("key").agg(
+        F.sum(F.when(~two_bands, F.col("times")).otherwise(0)).alias("hot_own"),
+        F.sum(F.when(two_bands, F.col("times")).otherwise(0)).alias("hot_across"),
+    )
+    bounds = classes.select("key", "n", "own", "across").join(hot, "key", "left").fillna(0, ["hot_own", "hot_across"])
+    bounds = bounds.withColumn("unsafe", (F.col("hot_own") >= F.col("own")) | (F.col("hot_across") >= F.col("across")) & (F.col("hot_across") > 0))
+    bounds = stored(bounds, "bounds")
+
+    # Families: sets of hot groups meet in blocks of the largest group they are in.
+    homes, links = _family_links(member, bounds, docs, classes, width, percent)
+    labels = components(links)
+
+    # One partner of another component for each set: the first member of the groups it shares most often.
+    near = _open(member, labels)
+    leader = near.groupBy("gid").agg(F.min(F.struct("key", "component")).alias("m")).select("gid", "m.*").toDF("gid", "a", "ca")
+    stars = near.join(leader, "gid").where(F.col("component") != F.col("ca"))
+    stars = stars.groupBy("a", F.col("key").alias("b")).agg(F.sum("times").alias("times"))
+    partner = stars.groupBy("b").agg(F.max(F.struct("times", "a")).alias("m")).select("m.a", "b", "m.times")
+    own = bounds.select(F.col("key").alias("b"), "own")
+    # A weak partner is left to the pairs below.
+    partner = stored(partner.join(own, "b").where(F.col("times") * 2 >= F.col("own")).select("a", "b"), "partner")
+    links = links.union(stored(_verified(partner, _sets_of(docs, classes, partner, width), percent), "links"))
+    labels = components(links)
+
+    # All pairs of different components that still share a signature, in hot groups those of two unsafe sets.
+    # Similar sets agree in as many ranges as their bounds say, all of which are counted but for dropped hot ones.
+    left = _open(member, labels).join(bounds, "key").join(homes, "key", "left")
+    left = left.select(
+        "gid", "size", "times", "key", "component", "n", "homes", F.when(two_bands, F.col("across")).otherwise(F.col("own")).alias("bound"),
+        F.when(two_bands, F.col("hot_across")).otherwise(F.col("hot_own")).alias("hot"),
+    )
+    left = left.withColumn("unsafe", F.col("hot") >= F.col("bound")).where((F.col("size") <= HOT) | F.col("unsafe"))
+    left = stored(left.drop("size"), "members")
     one, two = left.alias("one"), left.alias("two")
-    cross = one.join(two, (F.col("one.gid") == F.col("two.gid")) & (F.col("one.key") < F.col("two.key")) & (F.col("one.component") != F.col("two.component")))
-    cross = stored(cross.select(F.col("one.key").alias("a"), F.col("two.key").alias("b")).distinct(), "cross")
-    more = _verified(cross, sets, percent)
-    links = stored(links.union(more), "links")
+    same_band = F.col("one.key").bitwiseAND(1) == F.col("two.key").bitwiseAND(1)
+    pair = (
+        (F.col("one.gid") == F.col("two.gid")) & (F.col("one.key") < F.col("two.key")) & (F.col("one.component") != F.col("two.component"))
+        & F.coalesce(~F.arrays_overlap("one.homes", "two.homes"), F.lit(True)) & ((F.col("one.gid") % 2 == 0) == same_band) & (4 * F.col("one.n") >= 3 * F.col("two.n")) & (4 * F.col("two.n") >= 3 * F.col("one.n"))
+    )
+    dropped = F.when(F.col("one.unsafe") & F.col("two.unsafe"), F.lit(0).cast("long")).otherwise(F.least("one.hot", "two.hot"))
+    least = F.greatest("one.bound", "two.bound") - dropped
+    cross = one.join(two, pair).groupBy(F.col("one.key").alias("a"), F.col("two.key").alias("b"))
+    cross = stored(cross.agg(F.sum("one.times").alias("times"), F.max(least).alias("least")).where("times >= least").select("a", "b"), "cross")
+    links = stored(links.union(_verified(cross, _sets_of(docs, classes, cross, width), percent)), "links")
     labels = components(links)
 
     first = labels.join(classes, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
