@@ -316,8 +316,13 @@ class Encoder:
         return self.tokens([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
-        """The text of any ids; bytes that are not UTF-8 become U+FFFD one by one."""
-        return _as_text(b"".join([self.v.surface[i] for i in ids]))
+        """The text of any ids; bytes that are not UTF-8 become U+FFFD one by one.
+
+        The space of a leading piece is the dummy prefix and goes; a byte or the unknown piece has none.
+        """
+        first = next((i for i in ids if self.v.surface[i]), None)
+        prefixed = first is not None and first != self.v.unknown_id and first not in self.v.byte_ids
+        return _as_text(b"".join([self.v.surface[i] for i in ids]), prefixed)
 
     def digests(self, texts: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Token counts, hashes of the ids and of the texts decoded from them."""
@@ -336,9 +341,9 @@ class Encoder:
         return counts.tolist(), ids_hash, text_hash
 
 
-def _as_text(surface: bytes) -> str:
+def _as_text(surface: bytes, prefixed: bool = True) -> str:
     """Decoded surface without the dummy prefix."""
-    if surface.startswith(b" "):
+    if prefixed and surface.startswith(b" "):
         surface = surface[1:]
     try:
         return surface.decode()

@@ -138,9 +138,16 @@ def fit_markov(samples: DataFrame, smoothing: float = 0.5) -> Column:
         for (a, _), n in table.items():
             totals[label][a] = totals[label].get(a, 0) + n
     kinds = 66  # characters a token can hold
+    # A pair that was not seen falls back on how often its second character occurs at all.
+    single = {label: [smoothing] * ALPHABET for label in counts}
+    for label, table in counts.items():
+        for (_, b), n in table.items():
+            single[label][b] += n
+    whole = {label: sum(totals[label].values()) + smoothing * kinds for label in counts}
 
     def log_p(label: int, a: int, b: int) -> float:
-        return math.log((counts[label].get((a, b), 0) + smoothing) / (totals[label].get(a, 0) + smoothing * kinds))
+        back = kinds * smoothing * single[label][b] / whole[label]
+        return math.log((counts[label].get((a, b), 0) + back) / (totals[label].get(a, 0) + smoothing * kinds))
 
     ratios = (log_p(1, a, b) - log_p(0, a, b) for a in range(ALPHABET) for b in range(ALPHABET))
     return F.split(F.lit(",".join(f"{x:.5f}" for x in ratios)), ",").cast("array<double>")
