@@ -431,13 +431,13 @@ def one_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``docs`` with one row of each component left, that of the smallest key; rows with empty sets all stay.
 
     Where a key repeats, the row with the smaller text hash stays, and one of
-    equal rows. Columns are those of ``docs``.
+    equal rows; a row with a null key stays only in a group without other keys. Columns are those of ``docs``.
     """
     found = jaccard_components(docs, key, text)
     linked = found.where(F.col("set_key").isNotNull())
     # A null component holds rows with null keys only, one group per set.
     group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")))
-    first = linked.groupBy(group.alias("g")).agg(F.min(F.struct("doc_id", "text_hash")).alias("r"))
+    first = linked.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("r"))
     stay = first.select("r.doc_id", "r.text_hash", F.lit(True).alias("once"))
     empty = found.where(F.col("set_key").isNull()).select("doc_id", "text_hash", F.lit(False).alias("once")).distinct()
     stay = stay.union(empty).toDF("_id", "_hash", "_once")
