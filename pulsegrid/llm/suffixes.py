@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.batches import U64, RangeHash, chunks, flat_text, mix, numbers
-from pulsegrid.llm.store import partitions, read_table, stored
+from pulsegrid.llm.store import bitmap, partitions, read_table, stored
 
 LENGTH, LEAD = 200, 32
 LEFT = LENGTH - LEAD  # bytes before the lead that a window can hold
@@ -133,18 +133,25 @@ def _repeated_hashes(batches):
 
 
 def _bits(repeated: DataFrame) -> tuple[np.ndarray, int]:
-    """A bitmap of the repeated hashes, eight bits for each within 2**20 to 2**30 bits; where it is full it spares less work."""
-    size = max(20, min(30, int(8 * max(1, repeated.count()) - 1).bit_length()))
-    word = F.shiftrightunsigned("hash", 64 - size + 6)
-    bit = F.pmod(F.shiftrightunsigned("hash", 64 - size), F.lit(64)).cast("int")
-    words = repeated.select(word.alias("word"), bit.alias("bit"))
-    words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toPandas()
-    out = np.zeros(1 << (size - 6), np.int64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return out.view(U64), size
+    """A bitmap of the repeated hashes, eight bits for each within 2**20 to 2**28 bits; where it is full it spares less work."""
+    size = max(20, min(28, int(8 * max(1, repeated.count()) - 1).bit_length()))
+    return bitmap(repeated, F.shiftrightunsigned("hash", 64 - size), size), size
 
 
-_CONTEXT = "bucket int, text_key array<long>, place array<long>, left array<int>, right array<int>, bytes binary"
+#: A blob holds, compressed, the text keys, places, bytes to the left and to the right, and contexts of ``n`` suffixes.
+_CONTEXT = "bucket int, n int, blob binary"
+_CODEC = "zstd"
+
+
+def _pack(keys: np.ndarray, places: np.ndarray, lefts: np.ndarray, rights: np.ndarray, body: np.ndarray) -> bytes:
+    raw = b"".join(x.tobytes() for x in (keys, places, lefts.astype(np.uint8), rights.astype(np.uint8), body))
+    return pa.compress(raw, codec=_CODEC, asbytes=True)
+
+
+def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
+    raw = np.frombuffer(pa.decompress(blob, decompressed_size=n * (18 + SPAN), codec=_CODEC, asbytes=True), np.uint8)
+    keys, places, lefts, rights, body = np.split(raw, np.cumsum([8 * n, 8 * n, n, n]))
+    return [keys.view(np.int64), places.view(np.int64), lefts.astype(np.int32), rights.astype(np.int32), body.reshape(n, SPAN)]
 
 
 def _contexts(shared, splitters):
@@ -158,15 +165,15 @@ def _contexts(shared, splitters):
         def flush():
             body = np.concatenate(bodies)
             leads = np.ascontiguousarray(body[:, LEFT : LEFT + LEAD]).view(f"S{LEAD}").ravel()
-            bucket = np.searchsorted(cuts, leads, "right")
-            order = np.argsort(bucket, kind="stable")
-            columns = [np.concatenate(x)[order] for x in (keys, places, lefts, rights)]
-            body, bucket = body[order], bucket[order]
+            order = np.argsort(leads, kind="stable")  # equal leads side by side compress well
+            bucket = np.searchsorted(cuts, leads[order], "right")
+            columns = [np.concatenate(x)[order] for x in (keys, places, lefts, rights)] + [body[order]]
             used, starts = np.unique(bucket, return_index=True)
             stops = np.append(starts[1:], len(bucket))
-            lists = [pa.array([c[a:b] for a, b in zip(starts, stops)], pa.list_(kind)) for c, kind in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))]
-            blobs = pa.array([body[a:b].tobytes() for a, b in zip(starts, stops)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *lists, blobs], names=["bucket", "text_key", "place", "left", "right", "bytes"])
+            blobs = [_pack(*(c[a:b] for c in columns)) for a, b in zip(starts.tolist(), stops.tolist())]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(used.astype(np.int32)), pa.array((stops - starts).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"]
+            )
 
         count = 0
         for key, data in _texts(batches):
@@ -220,17 +227,11 @@ def repeated_windows(body: np.ndarray, left: np.ndarray, right: np.ndarray) -> n
 
 def _repeats(batches):
     """mapInArrow function over one bucket: (text_key, start, end) of the bytes that repeated windows cover."""
-    columns: list[list] = [[], [], [], []]
-    bodies = []
-    for batch in batches:
-        for column, name in zip(columns, ("text_key", "place", "left", "right")):
-            column.append(batch.column(name).flatten().to_numpy(zero_copy_only=False))
-        bodies += [np.frombuffer(x, np.uint8).reshape(-1, SPAN) for x in batch.column("bytes").to_pylist()]
-    if not bodies:
+    parts = [_unpack(blob, n) for batch in batches for blob, n in zip(batch.column("blob").to_pylist(), batch.column("n").to_pylist())]
+    if not parts:
         return
-    body = np.concatenate(bodies)
-    del bodies
-    keys, places, left, right = (np.concatenate(c) for c in columns)
+    keys, places, left, right, body = (np.concatenate(x) for x in zip(*parts))
+    del parts
     order = sort_by_lead(body)
     lead = body[order, LEFT : LEFT + LEAD]
     fresh = np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1)])
