@@ -209,13 +209,18 @@ def repeated_windows(body: np.ndarray, left: np.ndarray, right: np.ndarray) -> n
     """[context, o]: the window that begins o bytes before the lead lies in the text and equals that of another context."""
     powers = RangeHash()
     powers.prefix(np.zeros(SPAN, U64))
-    prefix = np.zeros((len(body), SPAN + 1), U64)
-    np.cumsum(_VALUES[body] * powers.powers[:SPAN], axis=1, out=prefix[:, 1:])
+    windows = np.empty((LEFT + 1, len(body)), U64)
+    for at in range(0, len(body), 1000):  # prefix sums of a few contexts at a time, however large the group
+        part = body[at : at + 1000]
+        prefix = np.zeros((len(part), SPAN + 1), U64)
+        np.cumsum(_VALUES[part] * powers.powers[:SPAN], axis=1, out=prefix[:, 1:])
+        for o in range(LEFT + 1):
+            low = LEFT - o
+            windows[o, at : at + 1000] = mix((prefix[:, low + LENGTH] - prefix[:, low]) * powers.inverses[low])
     out = np.zeros((len(body), LEFT + 1), bool)
     for o in range(LEFT + 1):
         inside = np.flatnonzero((left >= o) & (right >= LENGTH - o))
-        low = LEFT - o
-        hashes = mix((prefix[inside, low + LENGTH] - prefix[inside, low]) * powers.inverses[low])
+        hashes = windows[o, inside]
         order = np.argsort(hashes)
         equal = hashes[order][1:] == hashes[order][:-1]
         again = np.zeros(len(inside), bool)
