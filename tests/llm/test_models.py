@@ -170,6 +170,33 @@ def test_lexicon_counts_documents(spark):
     assert flags.sum() == 1  # b, in two of four documents; a is in three, c in one
 
 
+def test_fingerprints_of_a_family_of_a_third_of_the_rows(spark, tmp_path):
+    """A text, its copies and its edits hold a third of the rows; edits stay near it, other texts do not."""
+    rng = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    base = [f"f{i}" for i in range(120)]
+    texts = [" ".join(rng.choices(vocabulary, k=120)) for _ in range(200)]
+    texts += [" ".join(base)] * 40
+    for _ in range(60):
+        texts.append(" ".join(rng.choice(vocabulary) if rng.random() < 0.08 else x for x in base))
+    rng.shuffle(texts)
+    family = {i for i, t in enumerate(texts) if sum(x in base for x in t.split()) > 60}
+    assert len(family) == 100
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in QUERIES["op7_imatch"](spark, str(tmp_path)).collect()}
+    assert all(rows[i].near_edited > 0 for i in family) and np.mean([rows[i].near_edited for i in family]) > 0.2
+    one = next(i for i in family if texts[i] == " ".join(base))
+    near = {i: imatch.likeness(rows[one].fingerprint, rows[i].fingerprint) for i in rows}
+    assert min(near[i] for i in family) > 0.2 and max(near[i] for i in rows.keys() - family) < 0.1
+
+
+def test_document_frequencies_count_copies_once(spark):
+    frame = spark.createDataFrame([("a b",)] * 30 + [("b c",), ("c d",), (None,), ("",)], "text string").repartition(4)
+    df, total = imatch.frequencies(frame, "text")
+    assert total == 4 and sorted(df[df > 0].tolist()) == [1, 1, 2, 2]
+
+
 def viterbi_by_enumeration(model, obs):
     import itertools
 
