@@ -46,6 +46,12 @@ def observe(line: Column) -> Column:
     return ((marker * N_LENGTH + length) * N_END + end).cast("int")
 
 
+def without_speaker(line: Column, roles: list[str]) -> Column:
+    """``line`` without the marker at its head, if the name there is one of ``SPEAKERS`` or a role; else all of it."""
+    names = {name for kind in SPEAKERS for name in kind} | {role.lower() for role in roles}
+    return F.when(F.lower(F.regexp_extract(line, MARKER, 1)).isin(*sorted(names)), F.regexp_replace(line, MARKER, "")).otherwise(line)
+
+
 def to_lines(turns: DataFrame) -> DataFrame:
     """(conv, pos, line, role, first) of turns(conv, turn, role, text): lines with dense positions per transcript.
 
@@ -148,12 +154,12 @@ def recover(lines: DataFrame, model: dict) -> DataFrame:
     """Recovered turns (conv, turn, role, text, n_lines, n_right) of lines(conv, pos, line[, role]).
 
     ``role`` is only compared with what was recovered (``n_right``, 0 where null). The
-    marker at the head of a turn is taken off. Turn numbers are gapless from 0.
+    marker at the head of a turn is taken off if it names a speaker. Turn numbers are gapless from 0.
     """
     spark = lines.sparkSession
     conv = lines.schema["conv"].dataType.simpleString()
     shared = spark.sparkContext.broadcast(model)
-    part = F.struct("pos", observe(F.col("line")).alias("obs"), "line", F.regexp_replace("line", MARKER, "").alias("bare"), "role")
+    part = F.struct("pos", observe(F.col("line")).alias("obs"), "line", without_speaker(F.col("line"), model["roles"]).alias("bare"), "role")
     chunks = lines.select("conv", F.floor(F.col("pos") / CHUNK_LINES).alias("chunk"), part.alias("part"))
     chunks = chunks.groupBy("conv", "chunk").agg(F.array_sort(F.collect_list("part")).alias("parts"))
     chunks = stored(chunks, "chunks")

@@ -231,3 +231,13 @@ def test_chat_roles_and_chunks(spark, monkeypatch):
     monkeypatch.setattr(chat, "CHUNK_LINES", 3)
     monkeypatch.setattr(chat, "BLOCK_TURNS", 2)
     assert sorted((r.conv_id, r.turn, r.role, r.rendered) for r in QUERIES["op10_chat_format"](spark, LARGER).collect()) == whole
+
+
+def test_text_at_the_head_of_an_unmarked_turn_stays(spark):
+    heads = ["https://x.org/a is down", "Note: keep it short", "Error: no such file", "> Hint: look again"]
+    turns = [(c, t, ("user", "tool")[t % 2], f"{('User', 'Tool')[t % 2]}: line {t} of {c}") for c in range(len(heads)) for t in range(4)]
+    turns = [(c, t, role, heads[c] if t == 0 else text) for c, t, role, text in turns]
+    lines = chat.to_lines(spark.createDataFrame(turns, "conv long, turn long, role string, text string"))
+    found = chat.recover(lines, chat.fit(lines)).orderBy("conv", "turn").collect()
+    for c, head in enumerate(heads):
+        assert "\n".join(r.text for r in found if r.conv == c).split("\n") == [head] + [f"line {t} of {c}" for t in (1, 2, 3)]
