@@ -242,7 +242,7 @@ def _bloom_slot():
 def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """(key, elements) of the sets named by pairs(a, b): sorted hashes as bytes, from one document of each class.
 
-    A Bloom filter of fixed size spares most other texts the work; the join settles which rows count.
+    A class of rows without an id has a null ``doc_id``, found like any other; each task gives a set once. A Bloom filter of fixed size spares most other texts the work; the join settles which rows count.
     """
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     wanted = stored(classes.join(ends, "key").select("key", "doc_id"), "wanted")
@@ -250,7 +250,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     placed = docs.withColumn("slot", _bloom_slot())
 
     def sets(batches):
-        words = Words()
+        words, seen = Words(), set()
         for batch in batches:
             slot = batch.column("slot").to_numpy()
             batch = batch.filter(pa.array((bits.value[slot >> 6] >> (slot & 63).astype(U64)) & U64(1) == 1))
@@ -260,17 +260,19 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
                 made, sizes = shingles(hashes, counts, width)
                 ends = np.cumsum(sizes)
                 parts = [np.unique(made[e - s : e]) for e, s in zip(ends.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(low, high - low),
-                        pa.array([set_key(p) if len(p) else None for p in parts], pa.int64()),
-                        pa.array([p.tobytes() for p in parts], pa.binary()),
-                    ],
-                    names=["doc_id", "key", "elements"],
-                )
+                found = []
+                for doc_id, part in zip(batch.column("doc_id").slice(low, high - low).to_pylist(), parts):
+                    name = (doc_id, set_key(part)) if len(part) else None
+                    if name and name not in seen:
+                        seen.add(name)
+                        found.append((*name, part.tobytes()))
+                columns = zip(*found) if found else ([], [], [])
+                kinds = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "key", "elements"])
 
     made = placed.mapInArrow(sets, "doc_id long, key long, elements binary")
-    return stored(made.join(wanted, ["key", "doc_id"]).dropDuplicates(["key", "doc_id"]).select("key", "elements"), "sets")
+    same = (made["key"] == wanted["key"]) & made["doc_id"].eqNullSafe(wanted["doc_id"])
+    return stored(made.join(wanted, same, "left_semi").dropDuplicates(["key"]).select("key", "elements"), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -354,6 +356,11 @@ def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH,
     component of them alone has a null id. Repeated rows give a row each.
     ``text_hash`` is Spark's xxhash64 of the text. Further columns are ignored.
     """
+    return _linked(docs, key, text, width, percent).drop("set_component")
+
+
+def _linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = 75) -> DataFrame:
+    """Rows of :func:`jaccard_components` with ``set_component``, a set key that names the component whatever the ids."""
     if percent != 75:
         raise ValueError("the size bands and differences hold for 75 percent")
     spark = docs.sparkSession
@@ -419,11 +426,13 @@ def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH,
     labels = components(links)
 
     first = labels.join(classes, "key").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = labels.join(first, "component").select("key", "component_id")
-    of_class = classes.select("key", "doc_id").join(of_class, "key", "left").select("key", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = labels.join(first, "component").select("key", "component_id", "component")
+    of_class = classes.select("key", "doc_id").join(of_class, "key", "left").select(
+        "key", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component", "key").alias("component")
+    )
     return rows.join(of_class, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.col("carry").alias("text_hash"), F.col("key").alias("set_key"),
+        F.col("carry").alias("text_hash"), F.col("key").alias("set_key"), F.col("component").alias("set_component"),
     )
 
 
@@ -433,10 +442,10 @@ def one_of_each(docs: DataFrame, key: str, text: str) -> DataFrame:
     Where a key repeats, the row with the smaller text hash stays, and one of
     equal rows; a row with a null key stays only in a group without other keys. Columns are those of ``docs``.
     """
-    found = jaccard_components(docs, key, text)
+    found = _linked(docs, key, text)
     linked = found.where(F.col("set_key").isNotNull())
-    # A null component holds rows with null keys only, one group per set.
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("set_key")))
+    # A null component id stands for all components of rows with null keys only.
+    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("set_component")))
     first = linked.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash")).alias("r"))
     stay = first.select("r.doc_id", "r.text_hash", F.lit(True).alias("once"))
     empty = found.where(F.col("set_key").isNull()).select("doc_id", "text_hash", F.lit(False).alias("once")).distinct()

@@ -71,6 +71,22 @@ def test_jaccard_components_of_a_family_with_a_common_passage(spark, monkeypatch
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components({i: shingle_set(t) for i, t in docs})
 
 
+def test_near_copies_without_an_id_are_linked(spark):
+    """Two different near copies with null ids are one group; one with a null id links two rows that are not similar themselves."""
+    w = {c: [f"{c}{i}" for i in range(105)] for c in "abc"}
+    rows = [(None, w["a"][:100]), (None, w["a"][1:101]), (None, w["c"][:50]), (7, w["c"][60:])]
+    rows += [(1, w["b"][:96]), (None, w["b"][:100][8:]), (2, w["b"][18:105])]
+    one, two, three = (shingle_set(" ".join(x)) for _, x in rows[4:])
+    assert all(100 * len(x & y) >= 75 * len(x | y) for x, y in ((one, two), (two, three))) and 100 * len(one & three) < 75 * len(one | three)
+    frame = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    found = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.jaccard_components(frame, "doc_id", "text").collect()}
+    assert found == {(None, 96): None, (None, 46): None, (7, 41): 7, (1, 92): 1, (None, 88): 1, (2, 83): 1}
+    kept = [tuple(r) for r in jaccard.one_of_each(frame, "doc_id", "text").collect()]
+    texts = [" ".join(x) for _, x in rows]
+    assert len(kept) == 4 and sum(t in texts[:2] for _, t in kept) == 1
+    assert {(None, texts[2]), (7, texts[3]), (1, texts[4])} <= set(kept)
+
+
 @pytest.mark.parametrize("size", [1, 2, 3, 4, 7, 8, 13, 40, 127, 128, 170, 300, 1000])
 def test_similar_sets_share_signatures(size):
     """The bound holds for pairs right at the threshold, in one band and across bands."""
