@@ -10,12 +10,13 @@ from pulsegrid.llm.language import op1_language_id
 from pulsegrid.llm.pieces import op6_sentencepiece
 from pulsegrid.llm.secret_scan import op9_secret_scan
 from pulsegrid.llm.shards import op3_rendezvous_shards
+from pulsegrid.llm.spelling import op13_spelling_variants
 from pulsegrid.llm.suffixes import op8_suffix_dedup
 from pulsegrid.llm.toxicity import op5_toxicity
 
 QUERIES = {
     query.__name__: query
-    for query in (op1_language_id, op2_jaccard_join, op3_rendezvous_shards, op4_decontamination, op5_toxicity, op6_sentencepiece, op7_imatch, op8_suffix_dedup, op9_secret_scan, op10_chat_format)
+    for query in (op1_language_id, op2_jaccard_join, op3_rendezvous_shards, op4_decontamination, op5_toxicity, op6_sentencepiece, op7_imatch, op8_suffix_dedup, op9_secret_scan, op10_chat_format, op13_spelling_variants)
 }
 
 ORACLES: dict[str, str] = {}
