@@ -346,7 +346,8 @@ class Chunk:
         mean, spread = moments
         width = min(self.vectors.shape[1], len(mean))
         exact = self.vectors[:, :width].astype(np.float64)
-        self.mean, self.spread = exact @ mean[:width], np.sqrt(exact**2 @ spread[:width])
+        by_dimension = "ij,j->i"  # no BLAS on the driver, whose threads may not survive the fork that starts Spark's JVM
+        self.mean, self.spread = np.einsum(by_dimension, exact, mean[:width]), np.sqrt(np.einsum(by_dimension, exact**2, spread[:width]))
 
     def fill(self, name: str, anchor: np.ndarray, cap: np.ndarray, floor: np.ndarray, number: np.ndarray, same: bool, best: int) -> None:
         """Writes the best rows of all windows to the folder ``name``; ``number`` names the windows."""

@@ -19,7 +19,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, partition_by: str | None = None, compression: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again, which cuts its lineage.
 
     A lost executor then costs a re-read of files, not the jobs before.
@@ -29,6 +29,8 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(partition_by)
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

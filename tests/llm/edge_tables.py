@@ -36,6 +36,11 @@ def save(spark, folder, docs):
     spark.createDataFrame(items, "item_id long, text string, score string").write.parquet(f"{folder}/benchmark.parquet")
     labels = [(r[0], 1, i % 2, "x") for i, r in enumerate(known)] + ([(None, 1, 1, "x"), (999, None, None, "x")] if docs else [])
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, score string").write.parquet(f"{folder}/labels.parquet")
+    vectors = [
+        (50, [1.0, 0.0], 0, 1), (50, [1.0, 0.0], 0, 1), (3, [0.8, 0.5], 0, 1), (1, [0.7, 0.1], 1, 1), (2, [0.6, 0.0], 1, 1), (4, [0.99, 0.0], 1, 1),
+        (None, [0.1], 1, 1), (5, None, 0, 1), (6, [1.0, None], 0, 1), (8, [float("nan"), 1.0], 1, 1), (9, [1.0, 1.0], None, 1), (100, [], 7, 1),
+    ] if docs else []
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int, rank int").write.parquet(f"{folder}/embeddings.parquet")
     turns = [
         (1, 0, "user", "hi there?", 0), (1, 1, "assistant", "Yes.\nUser: quoted", 0), (1, 1, "assistant", "Yes.\nUser: quoted", 0),
         (2, 0, None, None, 0), (2, 1, "assistant", "", 0), (None, 0, "user", "no key", 0), (3, None, "user", "no turn", 0),

@@ -7,7 +7,7 @@ import pytest
 from pulsegrid.llm.queries import QUERIES
 from pulsegrid.llm.store import read_table, stored
 
-PER_DOCUMENT = [n for n in QUERIES if n.split("_")[0] not in ("op4", "op10")]
+PER_DOCUMENT = [n for n in QUERIES if n.split("_")[0] not in ("op4", "op10", "op11", "op12", "op13")]
 
 
 @pytest.mark.parametrize("name", PER_DOCUMENT)
@@ -33,6 +33,11 @@ def test_turns_without_text_role_or_key(spark, edge_folder):
     assert sum(r.n_lines for r in rows) == 9
 
 
+def test_vectors_without_label_or_component(spark, edge_folder):
+    rows = QUERIES["op11_hard_negatives"](spark, edge_folder).collect()
+    assert sorted((r.anchor_id, r.positive_id, r.rank, r.negative_id) for r in rows) == [(50, 3, 1, 1), (50, 3, 2, 2), (50, 50, 1, 1), (50, 50, 2, 2)] * 2
+
+
 def test_pipeline_stages(spark, edge_folder):
     docs = read_table(spark, edge_folder, "documents")
     schema = docs.schema
