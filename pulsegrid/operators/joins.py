@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import epoch_seconds
 from pulsegrid.functions.hashing import hash_below
+from pulsegrid.functions.permute import permute
 from pulsegrid.operators.ordered import hash_rank
 
 
@@ -170,26 +169,29 @@ def attach_sides(pairs: DataFrame, windows: DataFrame, id_col: str = "id") -> Da
     return pairs.join(_side(windows, "_l"), f"{id_col}_l").join(_side(windows, "_r"), f"{id_col}_r")
 
 
-def ring_sample_pairs(
-    windows: DataFrame, rounds: int, *, key: str = "participant_id", id_col: str = "id", seed: str = "same"
+def sample_pairs(
+    windows: DataFrame, per_key: int, *, key: str = "participant_id", id_col: str = "id", seed: str = "same"
 ) -> DataFrame:
-    """A ring sample of the pairs of windows of one participant, with ``pairs_left_out`` of that participant.
-
-    Windows stand in a ring in hash order and round d pairs position i with
-    i + d, from d = 0 (the window itself) to ``rounds``; ``rounds`` = n - 1 gives
-    all n * n ordered pairs and leaves none out. The output is linear in the
-    input: a heavy participant never yields its square, and the join key
-    (participant, position) spreads it.
+    """A uniform sample of ``per_key`` ordered pairs of windows of each participant, without repeats.
+
+    A window may be paired with itself. A participant of n windows with at most
+    ``per_key`` pairs (n * n) gets all of them; ``pairs_left_out`` says how many
+    of a participant's pairs are missing. Draw k goes through a keyed bijection
+    of the n * n pairs, so no pair is listed that is not taken. The draws of a
+    heavy participant start from all its windows, and both joins have the
+    unique key (participant, position).
     """
     ranked = hash_rank(windows.select(key, id_col), [id_col], seed, by=[key], alias="_pos", total="_n")
-    n = F.col("_n")
-    steps = F.sequence(F.lit(0).cast("bigint"), F.least(F.lit(rounds).cast("bigint"), n - 1))
-    left = ranked.withColumn("_d", F.explode(steps)).select(
-        key, F.col(id_col).alias(f"{id_col}_l"), (n * n - n * F.least(F.lit(rounds + 1).cast("bigint"), n)).alias("pairs_left_out"),
-        (F.pmod(F.col("_pos") - 1 + F.col("_d"), n) + 1).alias("_pos"),
+    n, first = F.col("_n"), F.col("_pos") - 1
+    taken = F.least(F.lit(per_key).cast("bigint"), n * n)
+    draws = ranked.select(key, "_n", F.explode(F.when(first < taken, F.sequence(first, taken - 1, n))).alias("_k"))
+    pair = permute(F.concat(F.lit(f"{seed}:pairs:"), F.col(key).cast("string")), n * n, F.col("_k"))
+    placed = draws.select(key, "_n", (n * n - taken).alias("pairs_left_out"), pair.alias("_pair")).select(
+        key, "pairs_left_out", (F.floor(F.col("_pair") / n) + 1).alias("_l"), (F.pmod("_pair", n) + 1).alias("_r")
     )
-    right = ranked.select(key, "_pos", F.col(id_col).alias(f"{id_col}_r"))
-    return left.join(right, [key, "_pos"]).select(f"{id_col}_l", f"{id_col}_r", "pairs_left_out")
+    left = ranked.select(key, F.col("_pos").alias("_l"), F.col(id_col).alias(f"{id_col}_l"))
+    right = ranked.select(key, F.col("_pos").alias("_r"), F.col(id_col).alias(f"{id_col}_r"))
+    return placed.join(left, [key, "_l"]).join(right, [key, "_r"]).select(f"{id_col}_l", f"{id_col}_r", "pairs_left_out")
 
 
 def sequential_pairs(
@@ -203,24 +205,18 @@ def sequential_pairs(
     )
 
 
-def ring_offsets(rounds: int, seed: str) -> list[float]:
-    """One distinct shift per round as a share of the ring, drawn by hash within the round's stretch."""
-    draws = [int(hashlib.md5(f"{seed}:{r}".encode()).hexdigest()[:8], 16) / 2**32 for r in range(rounds)]
-    return [round((r + draw) / rounds, 12) for r, draw in enumerate(draws)]
-
-
 def random_pair_rounds(windows: DataFrame, *, id_col: str = "id", rounds: int = 11, seed: str = "pair") -> DataFrame:
-    """Id pairs of several rounds of random pairing.
+    """Id pairs of several rounds of random pairing: in each, every window is once left and once right.
 
-    Ids are ranked once, in hash order; a round pairs each position with the one
-    a shift further on the ring, and every round has a shift of its own.
+    Ids are ranked once, in hash order. Every round has a bijection of the
+    positions of its own, so rounds are independent of each other, and a pair
+    or a window with itself may come up again as chance has it. One window is
+    paired with itself in all rounds.
     """
     ranked = hash_rank(windows.select(id_col), [id_col], seed, alias="_pos", total="_n")
-    shifts = F.explode(F.array(*[F.lit(x) for x in ring_offsets(rounds, seed)]))
-    left = ranked.withColumn("_shift", shifts).select(
-        F.col(id_col).alias(f"{id_col}_l"),
-        (F.pmod(F.col("_pos") - 1 + F.floor(F.col("_shift") * F.col("_n")), F.col("_n")) + 1).alias("_pos"),
-    )
+    turns = ranked.withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    tag = F.concat(F.lit(f"{seed}:"), F.col("_round").cast("string"))
+    left = turns.select(F.col(id_col).alias(f"{id_col}_l"), (permute(tag, F.col("_n"), F.col("_pos") - 1) + 1).alias("_pos"))
     right = ranked.select(F.col(id_col).alias(f"{id_col}_r"), "_pos")
     return left.join(right, "_pos").select(f"{id_col}_l", f"{id_col}_r")
 

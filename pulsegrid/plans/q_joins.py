@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import day_of, label_date, last_token_timestamp
 from pulsegrid.functions.hashing import hash_below
+from pulsegrid.functions.permute import sql_permute
 from pulsegrid.operators import joins as J
 from pulsegrid.operators import labels as L
 from pulsegrid.operators.aggregate import participant_dates, zscore_columns
@@ -157,20 +158,28 @@ def fold_restriction(t: Tables):
     return J.restrict_to_dates(rows, fold).select("event_id", "participant_id")
 
 
-_SAME = """
+PAIRS_PER_PARTICIPANT = 50
+
+_PAIR = sql_permute("concat('same:pairs:', participant_id)", "(n * n)", "n", "n", "k")
+_SAME = f"""
 ranked AS (
     SELECT id, participant_id, row_number() OVER (PARTITION BY participant_id ORDER BY md5(concat('same:', id)), id) AS pos,
         count(*) OVER (PARTITION BY participant_id) AS n FROM windows
+), drawn AS (
+    SELECT participant_id, n, unnest(range(least({PAIRS_PER_PARTICIPANT}, n * n))) AS k FROM (SELECT DISTINCT participant_id, n FROM ranked)
+), placed AS (
+    SELECT participant_id, n * n - least({PAIRS_PER_PARTICIPANT}, n * n) AS pairs_left_out, pair // n + 1 AS l, pair % n + 1 AS r
+    FROM (SELECT *, {_PAIR} AS pair FROM drawn)
 ), same AS (
-    SELECT l.id AS id_l, r.id AS id_r, l.n * l.n - l.n * least(3, l.n) AS pairs_left_out FROM ranked l
-        JOIN (SELECT unnest([0, 1, 2]) AS d) k ON k.d < l.n
-        JOIN ranked r ON r.participant_id = l.participant_id AND r.pos = (l.pos - 1 + k.d) % l.n + 1
+    SELECT a.id AS id_l, b.id AS id_r, p.pairs_left_out FROM placed p
+        JOIN ranked a ON a.participant_id = p.participant_id AND a.pos = p.l
+        JOIN ranked b ON b.participant_id = p.participant_id AND b.pos = p.r
 )"""
 
 
 @query("j8_same_participant_pairs", sql("SELECT id_l, id_r, pairs_left_out FROM same", RAW, WINDOWS + ", " + _SAME))
 def same_participant_pairs(t: Tables):
-    return J.ring_sample_pairs(window_keys(t), rounds=2)
+    return J.sample_pairs(window_keys(t), PAIRS_PER_PARTICIPANT)
 
 
 _SEQUENTIAL = """
@@ -186,12 +195,14 @@ def sequential_pairs(t: Tables):
     return J.sequential_pairs(window_keys(t), offset_days=7).select("id_l", "id_r")
 
 
+_PLACE = sql_permute("concat('pair:', CAST(turn AS VARCHAR))", "n", "side", "other", "(pos - 1)")
 _RANDOM = f"""
 turned AS (
     SELECT id, row_number() OVER (ORDER BY md5(concat('pair:', id)), id) AS pos, count(*) OVER () AS n FROM windows
+), sides AS (
+    SELECT *, CAST(ceil(sqrt(n)) AS BIGINT) AS side, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS other, unnest(range(11)) AS turn FROM turned
 ), dealt AS (
-    SELECT l.id AS id_l, r.id AS id_r FROM turned l JOIN (SELECT unnest({J.ring_offsets(11, "pair")}) AS shift) k ON true
-        JOIN turned r ON r.pos = (l.pos - 1 + CAST(floor(CAST(k.shift AS DOUBLE) * l.n) AS BIGINT)) % l.n + 1
+    SELECT l.id AS id_l, r.id AS id_r FROM (SELECT id, {_PLACE} + 1 AS pos FROM sides) l JOIN turned r ON r.pos = l.pos
 )"""
 
 
@@ -242,11 +253,11 @@ def append_day_features(t: Tables):
 
 @query(
     "u1_pair_union",
-    sql("SELECT id_l, id_r FROM dealt UNION ALL SELECT id_l, id_r FROM same", RAW, WINDOWS + ", " + _SAME + ", " + _RANDOM),
+    sql("SELECT id_l, id_r, NULL AS pairs_left_out FROM dealt UNION ALL SELECT id_l, id_r, pairs_left_out FROM same", RAW, WINDOWS + ", " + _SAME + ", " + _RANDOM),
 )
 def pair_union(t: Tables):
     windows = window_keys(t)
-    return concat_tables([J.random_pair_rounds(windows, rounds=11), J.ring_sample_pairs(windows, rounds=2).drop("pairs_left_out")])
+    return concat_tables([J.random_pair_rounds(windows, rounds=11), J.sample_pairs(windows, PAIRS_PER_PARTICIPANT)])
 
 
 @query(
@@ -266,15 +277,15 @@ def concat(t: Tables):
 @query(
     "l11_same_participant_label",
     sql(
-        """SELECT id_l, id_r, CAST(string_split(id_l, ':')[1] = string_split(id_r, ':')[1] AS INT) AS label
-        FROM (SELECT id_l, id_r FROM dealt UNION ALL SELECT id_l, id_r FROM same)""",
+        """SELECT id_l, id_r, CAST(string_split(id_l, ':')[1] = string_split(id_r, ':')[1] AS INT) AS label, pairs_left_out
+        FROM (SELECT id_l, id_r, NULL AS pairs_left_out FROM dealt UNION ALL SELECT id_l, id_r, pairs_left_out FROM same)""",
         RAW, WINDOWS + ", " + _SAME + ", " + _RANDOM,
     ),
 )
 def same_participant_label(t: Tables):
     windows = window_keys(t)
-    pairs = concat_tables([J.random_pair_rounds(windows, rounds=11), J.ring_sample_pairs(windows, rounds=2).drop("pairs_left_out")])
-    return J.attach_sides(pairs, windows).select("id_l", "id_r", L.same_participant().alias("label"))
+    pairs = concat_tables([J.random_pair_rounds(windows, rounds=11), J.sample_pairs(windows, PAIRS_PER_PARTICIPANT)])
+    return J.attach_sides(pairs, windows).select("id_l", "id_r", L.same_participant().alias("label"), "pairs_left_out")
 
 
 @query(

@@ -182,23 +182,6 @@ def test_interval_semi_join(rows):
     assert sorted(r.i for r in J.in_any_interval(results, intervals).collect()) == [1, 2]
 
 
-def test_all_rounds_give_every_pair(rows):
-    windows = rows([("a", f"a{i}") for i in range(5)] + [("b", "b0")], "participant_id string, id string")
-    pairs = {tuple(r) for r in J.ring_sample_pairs(windows, rounds=4).select("id_l", "id_r").collect()}
-    assert pairs == {(f"a{i}", f"a{j}") for i in range(5) for j in range(5)} | {("b0", "b0")}
-    sample = J.ring_sample_pairs(windows, rounds=1)
-    assert sample.count() == 11
-    assert {r.id_l[0]: r.pairs_left_out for r in sample.collect()} == {"a": 15, "b": 0}
-
-
-def test_random_pairs_are_permutations(spark):
-    windows = spark.range(500).select(F.col("id").cast("string").alias("id"))
-    pairs = J.random_pair_rounds(windows, rounds=3)
-    assert pairs.count() == 1500
-    for side in ("id_l", "id_r"):
-        assert pairs.groupBy(side).count().where("count <> 3").count() == 0
-
-
 def test_natural_join_needs_shared_columns(rows):
     with pytest.raises(ValueError):
         J.natural_join(rows([(1,)], "a int"), rows([(1,)], "b int"))
