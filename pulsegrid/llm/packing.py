@@ -16,7 +16,7 @@ from __future__ import annotations
 import heapq
 import json
 import math
-import re
+import os
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.batches import chunks, flat_text
 from pulsegrid.llm.store import read_table, stored
 
 #: Length classes of the linear program; it is exact where there are no more lengths than that.
@@ -42,12 +43,12 @@ GAP = 1e-3
 #: Bytes of text tokenized at once, and words a task keeps.
 CHUNK_BYTES, KEPT_WORDS = 2 << 20, 300_000
 
-# The split pattern of the word tokenizer, and the same for lower-cased Latin-1 text.
+# The split pattern of the word tokenizer, and what it cuts off letters in lower-cased Latin-1 text.
 SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
-_SPACES, _LETTERS, _NUMBERS = "\\t-\\r\\x20\\x85\\xa0", "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
-LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-#: Words the library itself must read: characters beyond Latin-1, and what may hold a special token.
-OTHER = re.compile("[^\x00-\xff]|<\\|")
+_LETTERS, _NUMBERS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+CUT = f"('s|'t|'re|'ve|'m|'ll|'d|[{_NUMBERS}]|[^\\t-\\r {_LETTERS}{_NUMBERS}]+)"
+#: What the library itself must read: characters beyond Latin-1, white space beyond ASCII, and what may hold a special token.
+OTHER = "[^\\x00-\\x{ff}]|[\\x{85}\\x{a0}]|<\\|"
 
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -77,17 +78,19 @@ class _Table:
 
 
 class Encoder:
-    """Token ids of whole texts; equal to the library's, which sees each distinct word of a task about once.
+    """Token ids of whole texts; equal to the library's, which sees each distinct piece of a task about once.
 
     The tokenizer drops white space, so a text's ids are those of its parts
-    between spaces. A part of Latin-1 characters is split here, and its pieces
-    go to the library many at a time; other parts go as they are. A tokenizer
-    of another make-up is given whole texts.
+    between spaces. Latin-1 text is cut into pieces by Arrow, and pieces that
+    are not known yet go to the library many at a time; parts with other
+    characters go as they are. A tokenizer of another make-up is given whole
+    texts.
     """
 
     def __init__(self, model: str) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.whole = Tokenizer.from_str(model)
         parts = json.loads(model)
         split = ((parts["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern", {}).get("Regex")
@@ -102,70 +105,75 @@ class Encoder:
             self.ends = np.zeros(max(parts["model"]["vocab"].values()) + 1, bool)
             self.ends[[i for token, i in parts["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each)."""
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each); texts are not null."""
         if not self.by_word:
-            found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-            return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
-        if len(self.words.place) > KEPT_WORDS:
-            self.words, self.pieces = _Table(), _Table()
-        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
-        coded = split.values.dictionary_encode()
+            return self._by_library(texts.to_pylist())
+        if not pc.any(pc.match_substring_regex(texts, OTHER)).as_py():
+            return self._plain(texts)
+        split = pc.split_pattern(texts, " ")
+        odd = pc.match_substring_regex(split.values, OTHER)
+        flat, counts = self._plain(split.values.filter(pc.invert(odd)))
+        other, sizes = self._known(self.words, split.values.filter(odd), self._by_library)
+        odd = odd.to_numpy(zero_copy_only=False)
+        count, start = np.zeros(len(odd), np.int64), np.zeros(len(odd), np.int64)
+        count[odd], start[odd] = sizes, len(flat) + np.cumsum(sizes) - sizes
+        count[~odd], start[~odd] = counts, np.cumsum(counts) - counts
+        flat = np.concatenate([flat, other])[spread(start, count)]
+        return flat, np.diff(np.concatenate([[0], np.cumsum(count)])[split.offsets.to_numpy()])
+
+    def _plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.replace_substring_regex(pc.utf8_lower(texts), CUT, " \\1 ")
+        split = pc.ascii_split_whitespace(cut)
+        flat, counts = self._known(self.pieces, split.values, self._merged)
+        return flat, np.diff(np.concatenate([[0], np.cumsum(counts)])[split.offsets.to_numpy()])
+
+    def _known(self, table: _Table, keys: pa.Array, learn) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all keys, number of ids of each), learned where the table lacks them."""
+        coded = keys.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        fresh = [w for w in distinct if w not in self.words.place]
+        if len(table.place) > KEPT_WORDS:
+            table.__init__()
+        fresh = [k for k in distinct if k not in table.place]
         if fresh:
-            self._learn(fresh)
-        places = np.fromiter(map(self.words.place.__getitem__, distinct), np.int64, len(distinct))
-        flat, counts = self.words.ids(places[coded.indices.to_numpy()])
-        ends = np.concatenate([[0], np.cumsum(counts)])[split.offsets.to_numpy()]
-        return flat, np.diff(ends)
-
-    def _learn(self, words: list[str]) -> None:
-        known = self.pieces.place
-        plain = [w for w in words if not OTHER.search(w)]
-        split = [LATIN.findall(w.lower()) for w in plain]
-        fresh = list(dict.fromkeys(p for s in split for p in s if p not in known))
-        if fresh:
-            self.pieces.add(fresh, *self._merged(fresh))
-        places = np.array([known[p] for s in split for p in s], np.int64)
-        flat, counts = self.pieces.ids(places)
-        ends = np.concatenate([[0], np.cumsum(counts)])[np.cumsum([0, *map(len, split)])]
-        self.words.add(plain, flat, np.diff(ends))
-        rest = [w for w in words if OTHER.search(w)]
-        if rest:
-            found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(rest, add_special_tokens=False)]
-            self.words.add(rest, np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found)))
+            table.add(fresh, *learn(fresh))
+        places = np.fromiter(map(table.place.__getitem__, distinct), np.int64, len(distinct))
+        return table.ids(places[coded.indices.to_numpy()])
+
+    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *found]), np.fromiter(map(len, found), np.int64, len(found))
 
     def _merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces, number of each): many pieces in a line, cut after the tokens that end a word."""
-        lines = [" ".join(pieces[a : a + 1000]) for a in range(0, len(pieces), 1000)]
-        flat = np.concatenate([np.array(e.ids, np.int64) for e in self.bare.encode_batch(lines, add_special_tokens=False)])
-        last = np.flatnonzero(self.ends[flat]) if len(flat) else flat
-        if len(last) == len(pieces):
-            return flat, np.diff(last, prepend=-1)
-        found = [np.array(e.ids, np.uint32) for e in self.whole.encode_batch(pieces, add_special_tokens=False)]
-        return np.concatenate(found), np.fromiter(map(len, found), np.int64, len(found))
-
-
-def _portions(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """(row of each part, parts) with about ``CHUNK_BYTES``; a longer text is cut at spaces."""
-    rows: list[int] = []
-    parts: list[str] = []
-    size = 0
-    for row, text in enumerate(texts):
-        text, low = text or "", 0
-        while low < len(text):
-            high = len(text) if len(text) - low <= CHUNK_BYTES else text.find(" ", low + CHUNK_BYTES)
-            high = len(text) if high < 0 else high
-            rows.append(row)
-            parts.append(text[low:high])
-            size += high - low
-            low = high
-            if size >= CHUNK_BYTES:
-                yield rows, parts
-                rows, parts, size = [], [], 0
-    if parts:
-        yield rows, parts
+        lines = [" ".join(pieces[a : a + 500]) for a in range(0, len(pieces), 500)]
+        parts = [np.array(e.ids, np.uint32) for a in range(0, len(lines), 16) for e in self.bare.encode_batch(lines[a : a + 16], add_special_tokens=False)]
+        flat = np.concatenate([np.zeros(0, np.uint32), *parts])
+        some = np.fromiter(map(bool, pieces), bool, len(pieces))  # between two spaces lies the empty piece, which has no ids
+        last = np.flatnonzero(self.ends[flat])
+        if len(last) != some.sum():
+            return self._by_library(pieces)
+        counts = np.zeros(len(pieces), np.int64)
+        counts[some] = np.diff(last, prepend=-1)
+        return flat, counts
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, pa.Array, bool]]:
+    """(first row, texts, whether they are parts of that row) of about ``CHUNK_BYTES``; a longer text is cut at spaces."""
+    _, offsets = flat_text(texts)
+    for low, high in chunks(offsets, CHUNK_BYTES):
+        if offsets[high] - offsets[low] <= CHUNK_BYTES:
+            yield low, texts.slice(low, high - low), False
+            continue
+        for row in range(low, high):
+            text, at = texts[row].as_py(), 0
+            while at < len(text) or not text:
+                end = len(text) if len(text) - at <= CHUNK_BYTES else text.find(" ", at + CHUNK_BYTES)
+                end = len(text) if end < 0 else end
+                yield row, pa.array([text[at:end]]), True
+                at = end
+                if not text:
+                    break
 
 
 def token_rows(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str, end_id: int, limit: int) -> DataFrame:
@@ -185,13 +193,12 @@ def token_rows(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str, end
         encoder, part = Encoder(shared.value), TaskContext.get().partitionId()
         seen, before = np.zeros(limit, np.int64), 0
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids: list[list[bytes]] = [[] for _ in texts]
-            for rows, parts in _portions(texts):
-                flat, counts = encoder.encode(parts)
+            ids: list[list[bytes]] = [[] for _ in range(batch.num_rows)]
+            for first, texts, parts in _portions(pc.fill_null(batch.column(1), "")):
+                flat, counts = encoder.encode(texts)
                 data, edges = flat.astype(kind).tobytes(), (np.concatenate([[0], np.cumsum(counts)]) * np.dtype(kind).itemsize).tolist()
-                for at, row in enumerate(rows):
-                    ids[row].append(data[edges[at] : edges[at + 1]])
+                for at, (a, b) in enumerate(zip(edges, edges[1:])):
+                    ids[first if parts else first + at].append(data[a:b])
             end = np.array([end_id], kind).tobytes()
             ids = [b"".join([*found, end]) for found in ids]
             n = np.fromiter(map(len, ids), np.int64, len(ids)) // np.dtype(kind).itemsize
@@ -205,6 +212,7 @@ def token_rows(docs: DataFrame, doc_id: str, text: str, tokenizer_path: str, end
             columns = [pa.array(np.full(len(n), part, np.int32)), batch.column(0), pa.array(n), pa.array(rank), pa.array(before + np.cumsum(whole) - whole), pa.array(ids, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "doc_id", "n", "rank", "before", "ids"])
             before += int(whole.sum())
+        pa.default_memory_pool().release_unused()  # the worker goes on with other tasks
 
     fields = [T.StructField("part", T.IntegerType()), source.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("n", "rank", "before")), T.StructField("ids", T.BinaryType())]
     return source.mapInArrow(tokenize, T.StructType(fields))
