@@ -189,6 +189,13 @@ def explained_variance(target: str = "label", pred: str = "pred") -> Column:
     return F.lit(1.0) - F.try_divide(F.var_pop(F.col(target) - F.col(pred)), F.var_pop(target))
 
 
+def weighted_explained_variance(target: str = "label", pred: str = "pred") -> str:
+    """The same as text for :func:`resampling.regression_interval`, a row counted ``{w}`` times."""
+    mean = "(sum({w} * MEANT) / sum({w}))"
+    var = lambda x: f"({mean.replace('MEANT', f'{x} * {x}')} - {mean.replace('MEANT', x)} * {mean.replace('MEANT', x)})"
+    return f"1 - try_divide({var(f'(`{target}` - `{pred}`)')}, {var(f'`{target}`')})"
+
+
 def loss_metrics(
     preds: DataFrame, *, label: str = "label", prob: str = "pred", soft_label: str | None = None,
     neg_weight: float = 1.0, pos_weight: float = 1.0, alpha: float = 0.25, gamma: float = 2.0,

@@ -11,7 +11,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -61,8 +63,27 @@ def prefix_sums(
     """
     by = list(by)
     totals = [F.sum(c).alias(f"_t_{c}") for c in sum_cols]
-    value = F.col(order_col)
+    located = _bucketed(df, order_col, totals, by, rows_per_bucket)
 
+    # At most MAX_BUCKETS rows per ``by`` group, whatever the input.
+    sums = located.groupBy(*by, "_b").agg(*totals)
+    earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(
+        *by, "_b",
+        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
+        *[F.sum(f"_t_{c}").over(W.partitionBy(*by)).alias(f"_n_{c}") for c in sum_cols],
+    )
+    inside = W.partitionBy(*by, "_b").orderBy(order_col).rowsBetween(W.unboundedPreceding, -1)
+    return located.join(sums if by else F.broadcast(sums), [*by, "_b"]).select(
+        *df.columns,
+        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sum_cols],
+        *[F.col(f"_n_{c}").alias(f"{c}_total") for c in sum_cols],
+    )
+
+
+def _bucketed(df: DataFrame, order_col: str, totals: Sequence[Column], by: Sequence[str], rows_per_bucket: int, small=lambda one_per_group: one_per_group) -> DataFrame:
+    """``df`` with ``_b``, the ordered bucket of each row within ``by``; ``totals`` read what later branches read."""
+    value = F.col(order_col)
     # Group sizes; the sums are there to make this read the same shuffle as the other branches.
     size = F.struct(F.count(F.lit(1)).alias("n"), *totals)
     draw = F.pmod(F.xxhash64(value), F.lit(1 << 32))
@@ -75,29 +96,42 @@ def prefix_sums(
     parts = F.least(F.ceil(F.col("_g.n") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
     if by:
         sized = df.groupBy(*by).agg(size.alias("_g"))
-        sample = sampled(df.join(sized, by)).groupBy(*by).agg(taken.alias("_v"))
-        cuts = sized.join(sample, by, "left").select(*by, _splitters(F.col("_v.v"), parts).alias("_c"))
-        located = df.join(cuts, by)
+        sample = sampled(df.join(small(sized), by)).groupBy(*by).agg(taken.alias("_v"))
+        cuts = sized.join(small(sample), by, "left").select(*by, _splitters(F.col("_v.v"), parts).alias("_c"))
+        located = df.join(small(cuts), by)
     else:
         with_size = df.withColumn("_g", df.agg(size).scalar())
         located = with_size.withColumn("_v", sampled(with_size).agg(taken).scalar())
         located = located.withColumn("_c", _splitters(F.col("_v.v"), parts))
-    located = located.select(*df.columns, _bucket(value, F.col("_c")).alias("_b"))
+    return located.select(*df.columns, _bucket(value, F.col("_c")).alias("_b"))
 
-    # At most MAX_BUCKETS rows per ``by`` group, whatever the input.
-    sums = located.groupBy(*by, "_b").agg(*totals)
-    earlier = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select(
-        *by, "_b",
-        *[F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)).alias(f"_o_{c}") for c in sum_cols],
-        *[F.sum(f"_t_{c}").over(W.partitionBy(*by)).alias(f"_n_{c}") for c in sum_cols],
-    )
-    inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return located.join(sums if by else F.broadcast(sums), [*by, "_b"]).select(
-        *df.columns,
-        *[(F.col(f"_o_{c}") + F.coalesce(F.sum(c).over(inside), F.lit(0))).alias(f"{c}_before") for c in sum_cols],
-        *[F.col(f"_n_{c}").alias(f"{c}_total") for c in sum_cols],
-    )
+
+def vector_sum(counters: Column, over: WindowSpec | None = None) -> Column:
+    """Element-wise sum of arrays of non-negative numbers, combined before the shuffle like any other sum.
+
+    The L1 norm of the summarizer adds the numbers up as they are; its own
+    ``sum`` goes through a running mean, which would not be exact.
+    """
+    summary = Summarizer.metrics("normL1").summary(array_to_vector(counters))
+    return vector_to_array((summary if over is None else summary.over(over))["normL1"])
+
+
+def prefix_vectors(df: DataFrame, order_col: str, counters: str, by: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """:func:`prefix_sums` of an array of counters: ``<counters>_before`` and ``<counters>_total``, element by element."""
+    # The summarizer has no sum of no rows, so the whole table is a group of a constant, whose one row is broadcast.
+    group = list(by) or ["_all"]
+    small = (lambda rows: rows) if by else F.broadcast
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    total = vector_sum(F.col(counters)).alias("_t")
+    located = _bucketed(rows, order_col, [total], group, rows_per_bucket, small)
+    # The summarizer takes no empty frame, so frames end with the row itself, which is then taken off.
+    through = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = located.groupBy(*group, "_b").agg(total)
+    sums = sums.select(*group, "_b", "_t", vector_sum(F.col("_t"), through).alias("_o"), vector_sum(F.col("_t"), W.partitionBy(*group)).alias("_n"))
+    inside = W.partitionBy(*group, "_b").orderBy(order_col).rowsBetween(W.unboundedPreceding, W.currentRow)
+    joined = located.join(small(sums), [*group, "_b"]).withColumn("_i", vector_sum(F.col(counters), inside))
+    before = f"transform(_i, (x, i) -> _o[i] - _t[i] + x - {counters}[i])"
+    return joined.selectExpr(*df.columns, f"{before} AS {counters}_before", f"_n AS {counters}_total")
 
 
 def midranks(df: DataFrame, ranks: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:

@@ -239,6 +239,30 @@ def similarity_and_variance(t: Tables):
     )
 
 
+@query(
+    "e13_regression_interval",
+    sql(
+        """SELECT metric, round(avg(v), 6) AS mean, round(avg(v) - 2 * stddev_samp(v), 6) AS ci_low, round(avg(v) + 2 * stddev_samp(v), 6) AS ci_high FROM (
+            SELECT 'cosine' AS metric, sum(w * c) / sum(w) AS v FROM drawn GROUP BY r
+            UNION ALL SELECT 'explained_variance', 1 - (sum(w * e * e) / sum(w) - pow(sum(w * e) / sum(w), 2)) / (sum(w * y * y) / sum(w) - pow(sum(w * y) / sum(w), 2))
+            FROM drawn GROUP BY r) GROUP BY metric""",
+        [],
+        f"""guessed AS (SELECT concat(CAST(l_orderkey AS VARCHAR), ':', CAST(l_linenumber AS VARCHAR)) AS id, l_extendedprice / 1000 AS y, l_quantity * 1.5 AS p, l_discount AS d, l_tax AS t FROM lineitem),
+        drawn AS (SELECT g.r, {_weight_sql("g.r", "p.id")} AS w, p.y, p.y - p.p AS e, (p.y * p.p + p.d * p.t) / (sqrt(p.y * p.y + p.d * p.d) * sqrt(p.p * p.p + p.t * p.t)) AS c
+            FROM guessed p, (SELECT unnest(range(1, 11)) AS r) g)""",
+    ),
+)
+def regression_interval(t: Tables):
+    rows = t("lineitem").select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string")).alias("id"),
+        (F.col("l_extendedprice") / 1000).alias("label"), (F.col("l_quantity") * 1.5).alias("pred"), "l_discount", "l_tax",
+    )
+    rows = rows.withColumn("cosine", E.cosine_similarity(F.array("label", "l_discount"), F.array("pred", "l_tax")))
+    statistics = {"cosine": "sum({w} * cosine) / sum({w})", "explained_variance": E.weighted_explained_variance()}
+    found = B.regression_interval(rows.select("id", "label", "pred", "cosine"), 10, statistics)
+    return found.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "ci_low", "ci_high")])
+
+
 _DELONG = """
 placed AS (
     SELECT p.id, p.label,

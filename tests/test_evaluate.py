@@ -139,10 +139,61 @@ def test_hierarchical_draws_all_positions(preds):
     assert [r.roc_auc for r in same] == pytest.approx([r.roc_auc for r in single])
 
 
+def _resample(preds, replicate):
+    """The rows of one replicate, each as often as it is drawn."""
+    drawn = B.replicate_weights(preds, replicate, replicate).withColumn("w", F.col("weights")[0])
+    return drawn.withColumn("_", F.explode(F.when(F.col("w") > 0, F.sequence(F.lit(1), "w"))))
+
+
 def test_regression_interval(preds):
-    weighted = F.sum(F.col("pred") * F.col("weight")) / F.sum("weight")
-    row = B.regression_interval(preds, 40, weighted).first()
-    assert row.value_ci_low < preds.agg(F.avg("pred")).first()[0] < row.value_ci_high
+    statistics = {"mean": "sum({w} * pred) / sum({w})", "variance": E.weighted_explained_variance()}
+    rows = {r.metric: r for r in B.regression_interval(preds, 40, statistics).collect()}
+    for name, value in (("mean", F.avg("pred")), ("variance", E.explained_variance())):
+        assert rows[name].ci_low < preds.agg(value).first()[0] < rows[name].ci_high
+        replicates = [_resample(preds, r).agg(value).first()[0] for r in (1, 2)]
+        two = {r.metric: r for r in B.regression_interval(preds, 2, statistics).collect()}[name]
+        assert two.mean == pytest.approx(sum(replicates) / 2)
+        assert two.ci_high - two.mean == pytest.approx(abs(replicates[0] - replicates[1]) * math.sqrt(2))
+
+
+def test_every_replicate_is_the_metric_of_its_resample(preds, monkeypatch):
+    """Across chunk borders: each replicate equals the plain metric over the rows drawn in it."""
+    monkeypatch.setattr(B, "CHUNK", 4)
+    grouped = preds.withColumn("g", F.col("id") % 2)
+    metrics = ["roc_auc", "pr_auc", "average_precision"]
+    found = {(r.g, r.replicate): r for r in B.bootstrap_metrics(grouped, 6, metrics=metrics, by=["g"]).collect()}
+    assert set(found) == {(g, r) for g in (0, 1) for r in range(1, 7)}
+    for r in (1, 4, 6):
+        for row in E.rank_metrics(_resample(grouped, r), metrics, by=["g"]).collect():
+            assert [found[row.g, r][m] for m in metrics] == pytest.approx([row[m] for m in metrics])
+
+
+def test_prefix_vectors_any_bucketing(spark):
+    df = spark.createDataFrame([(g, float(v), [float(v % 3), 1.0]) for g in "ab" for v in range(40)], "g string, v double, c array<double>")
+    for size in (3, 1000):
+        for row in O.prefix_vectors(df, "v", "c", ["g"], size).collect():
+            assert row.c_before == [float(sum(x % 3 for x in range(int(row.v)))), row.v] and row.c_total == [39.0, 40.0]
+
+
+def _shuffled_rows(spark, df):
+    """Rows that the stages of a run write for shuffles."""
+    sc = spark.sparkContext
+    group = f"count-{id(df)}"
+    sc.setJobGroup(group, "shuffled rows")
+    df.collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    store = sc._jsc.sc().statusStore()
+    stages = {s for j in sc.statusTracker().getJobIdsForGroup(group) for s in sc.statusTracker().getJobInfo(j).stageIds}
+    total = 0
+    for s in stages:
+        if sc.statusTracker().getStageInfo(s) is not None:
+            total += store.lastStageAttempt(s).shuffleWriteRecords()
+    return total
+
+
+def test_shuffled_rows_do_not_grow_with_the_replicates(spark, preds):
+    few, many = (_shuffled_rows(spark, B.bootstrap_metrics(preds, n, metrics=["roc_auc"])) for n in (2, 100))
+    assert 0 < many <= few
 
 
 def test_delong_against_itself(preds):
