@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.tails import chi2_upper, normal_two_sided
+from pulsegrid.operators.ordered import prefix_sums
 
 MODEL, DATASET, VALUE = "classifier_name", "dataset_name", "accuracy"
 
@@ -90,25 +91,43 @@ def wilcoxon_pairs(df: DataFrame, alpha: float = 0.05, legacy: bool = False) ->
 def inseparable_groups(pairs: DataFrame) -> DataFrame:
     """Maximal sets of models none of which differ significantly, as (group, members).
 
-    Runs on the model-pair table. A set knows which models go with all of its
-    members; each round a join adds one of those behind its last member. A
-    set that no model goes with is maximal. There are as many rounds as the largest group has members.
+    The maximal cliques of the models that go together, searched with a pivot:
+    a row is a set with the models that may still join it and those that were
+    tried before. It grows only by models that do not go with the pivot, the
+    one most candidates go with, since every maximal set holds the pivot or one
+    of them. Models that all tie are thus one row from start to end, where
+    growing every set would take 2**n. Rounds are projections of the rows of the
+    round before; ``ROUNDS_AT_ONCE`` of them make a job.
     """
     alike = pairs.where(~F.col("significant")).select("model_a", "model_b")
     both = alike.union(alike.select(F.col("model_b"), F.col("model_a"))).toDF("m", "o")
-    friends = both.groupBy("m").agg(F.collect_set("o").alias("friends"))
     names = pairs.select(F.col("model_a").alias("m")).union(pairs.select("model_b")).distinct()
-    models = names.join(friends, "m", "left").select("m", F.coalesce("friends", F.array().cast("array<string>")).alias("friends")).persist()
-    sets = models.select(F.array("m").alias("members"), F.col("friends").alias("open"))
-    maximal = sets.where(F.size("open") == 0).select("members")
-    while True:
-        later = F.filter("open", lambda m: m > F.element_at("members", -1))
-        grown = sets.select("members", "open", F.explode(later).alias("m")).join(models, "m")
-        sets = grown.select(
-            F.array_append("members", F.col("m")).alias("members"), F.array_intersect("open", "friends").alias("open")
-        ).persist()
-        if sets.isEmpty():
-            break
-        maximal = maximal.union(sets.where(F.size("open") == 0).select("members"))
-    ordered = W.orderBy("members")
-    return maximal.select((F.row_number().over(ordered) - 1).alias("group"), "members")
+    friends = names.join(both.groupBy("m").agg(F.collect_set("o").alias("o")), "m", "left").selectExpr("m", "coalesce(o, array()) AS o")
+    # One row: the models and who goes with whom.
+    start = friends.agg(F.map_from_entries(F.collect_list(F.struct("m", "o"))).alias("goes"), F.array_sort(F.collect_list("m")).alias("open"))
+    sets = start.where("size(open) > 0").selectExpr("goes", "slice(open, 1, 0) AS members", "open", "slice(open, 1, 0) AS tried").persist()
+    while sets.where("size(open) > 0").limit(1).count():
+        grown = sets
+        for _ in range(ROUNDS_AT_ONCE):
+            grown = _grown(grown)
+        grown = grown.persist()
+        grown.count()
+        sets.unpersist()
+        sets = grown
+    found = sets.selectExpr("array_sort(members) AS members", "array_join(array_sort(members), chr(1)) AS _key", "1L AS _one")
+    return prefix_sums(found, "_key", ["_one"]).select(F.col("_one_before").alias("group"), "members")
+
+
+#: Steps of the clique search that run as one job.
+ROUNDS_AT_ONCE = 4
+
+
+def _grown(sets: DataFrame) -> DataFrame:
+    """The sets of the next round; complete ones stay, and those that only a tried model could complete go."""
+    pivot = "array_max(transform(concat(open, tried), u -> struct(size(array_intersect(open, goes[u])) AS n, u))).u"
+    ahead = sets.selectExpr("*", f"explode(array({pivot})) AS pivot").selectExpr("*", "array_sort(array_except(open, coalesce(goes[pivot], array()))) AS grow")
+    child = """struct(array_append(members, m) AS members, array_intersect(array_except(open, slice(grow, 1, i)), goes[m]) AS open,
+        array_intersect(array_union(tried, slice(grow, 1, i)), goes[m]) AS tried)"""
+    children = f"""CASE WHEN size(open) > 0 THEN transform(grow, (m, i) -> {child})
+        WHEN size(tried) = 0 THEN array(struct(members, open, tried)) ELSE slice(array(struct(members, open, tried)), 1, 0) END"""
+    return ahead.selectExpr("goes", f"inline({children})")

@@ -110,9 +110,13 @@ def shuffle_rows(df: DataFrame, keys: Sequence[str], seed: str = "shuffle") -> D
     return df.orderBy(hash_prefix(seed, *[F.col(k) for k in keys]), *keys)
 
 
-def surrogate_id(df: DataFrame, keys: Sequence[str], alias: str = "id") -> DataFrame:
-    """64-bit id from the row's keys; the same after a re-run or a lost executor."""
-    return df.withColumn(alias, F.xxhash64(*keys))
+def surrogate_id(df: DataFrame, keys: Sequence[str], alias: str = "id", seed: str = "id") -> DataFrame:
+    """Dense ids 1 to n in hash order of the row's keys: unique, without gaps, the same after a re-run or a lost executor.
+
+    Rows are numbered inside the buckets of :func:`hash_rank` and bucket totals
+    give what comes before. Rows with equal keys get ids of their own, in any order.
+    """
+    return hash_rank(df, keys, seed, alias=alias)
 
 
 def sample_points(df: DataFrame, limit: int, keys: Sequence[str], seed: str = "points") -> DataFrame:

@@ -211,7 +211,11 @@ def half_split(t: Tables):
     return S.shuffle_rows(S.half_split(t("events").select("event_id"), ["event_id"]), ["event_id"])
 
 
-@query("o9_surrogate_id")
+@query(
+    "o9_surrogate_id",
+    """SELECT event_id, user_id, row_number() OVER (ORDER BY md5(concat('id:', CAST(event_id AS VARCHAR), ':', CAST(user_id AS VARCHAR))), event_id, user_id) AS id
+    FROM events""",
+)
 def surrogate_id(t: Tables):
     return S.surrogate_id(t("events").select("event_id", "user_id"), ["event_id", "user_id"])
 
