@@ -108,6 +108,48 @@ class RangeHash:
         return mix((prefix[ends] - prefix[starts]) * self.inverses[starts] + (ends - starts).astype(U64))
 
 
+class PrimeRangeHash:
+    """Hash of ranges like :class:`RangeHash`, but modulo two primes.
+
+    Modulo 2**64 words such as the Thue-Morse word and its complement have
+    equal hashes for every base; modulo a prime they do not. Each prime is
+    below 2**31, so products of two residues and sums of 2**32 of them fit 64 bits.
+    """
+
+    PRIMES = (2147483647, 2147483629)
+    BASES = (911382323, 972663749)
+
+    def __init__(self) -> None:
+        self.powers = [np.ones(1, U64) for _ in self.PRIMES]
+        self.inverses = [np.ones(1, U64) for _ in self.PRIMES]
+
+    def prefix(self, values: np.ndarray) -> list[np.ndarray]:
+        out = []
+        for k, prime in enumerate(self.PRIMES):
+            if len(self.powers[k]) < len(values) + 1:
+                n = max(len(values) + 1, 1 << 16)
+                self.powers[k], self.inverses[k] = (_powers(base, n, prime) for base in (self.BASES[k], pow(self.BASES[k], -1, prime)))
+            total = np.zeros(len(values) + 1, U64)
+            np.cumsum(values % U64(prime) * self.powers[k][: len(values)] % U64(prime), out=total[1:])
+            out.append(total)
+        return out
+
+    def ranges(self, prefix: list[np.ndarray], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        parts = [(p[ends] - p[starts]) % U64(prime) * self.inverses[k][starts] % U64(prime) for k, (p, prime) in enumerate(zip(prefix, self.PRIMES))]
+        return mix(((parts[0] << U64(32)) | parts[1]) ^ mix((ends - starts).astype(U64)))
+
+
+def _powers(base: int, n: int, prime: int) -> np.ndarray:
+    """base**0 to base**(n - 1) modulo ``prime``, by doubling."""
+    out = np.ones(n, U64)
+    filled = 1
+    while filled < n:
+        step = min(filled, n - filled)
+        out[filled : filled + step] = out[:step] * U64(pow(base, filled, prime)) % U64(prime)
+        filled += step
+    return out
+
+
 # White space of the word rule, bytes 0x20 and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True

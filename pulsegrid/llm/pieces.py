@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pulsegrid.llm.batches import RangeHash, U64, chunks, flat_text, map_batches, mix
+from pulsegrid.llm.batches import PrimeRangeHash, U64, chunks, flat_text, map_batches, mix
 from pulsegrid.llm.store import read_table
 
 MARK = "▁"
@@ -258,7 +258,7 @@ class Encoder:
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
         self.merger = Merger(vocabulary)
-        self.hasher = RangeHash()
+        self.hasher = PrimeRangeHash()
         size = vocabulary.size
         self.digits = np.zeros((size, len(str(size)) + 1), np.uint8)  # each id in decimal and a comma
         for i in range(size):

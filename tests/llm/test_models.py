@@ -141,6 +141,16 @@ def test_pieces_of_odd_texts(library):
         assert encoder.decode(ids) == library.decode(ids)
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_words_whose_polynomial_hashes_collide(library, n):
+    """The Thue-Morse word and its complement have equal hashes modulo 2**64 for every base."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+    other = one.translate({97: 98, 98: 97})
+    encoder = pieces.Encoder(pieces.read_vocabulary(pieces.default_model()))
+    for text in (one, other, f"{one} {other}", f"{other} {one} {other}"):
+        assert encoder.encode(text) == library.encode(text)
+
+
 def test_pieces_round_trip_as_columns(spark, library):
     frame = spark.createDataFrame([(1, "Hello wörld"), (2, None)], "i int, text string")
     rows = pieces.decode_ids(pieces.encode_ids(frame, "text", pieces.default_model()), "ids", pieces.default_model()).collect()
