@@ -6,6 +6,8 @@ base table and ``<agg>`` the one function the two spell differently.
 
 from __future__ import annotations
 
+from pulsegrid.operators.labels import DAY_FEATURE_COLUMNS
+
 SPARK_AGG = "listagg(tok, ' ') WITHIN GROUP (ORDER BY event_id)"
 SQL_AGG = "string_agg(tok, ' ' ORDER BY event_id)"
 
@@ -93,6 +95,15 @@ FIXTURES: dict[str, tuple[str, tuple[str, ...]]] = {
         """,
         ("events",),
     ),
+    # A day table with every column of the regression task: one sum or flag of the event ids for each.
+    "fx_day_features": (
+        "SELECT CAST(user_id AS STRING) AS participant_id, CAST(ts AS DATE) AS date, "
+        + ", ".join(f"CAST(sum(event_id * {i + 3} % {89 + 4 * i}) AS DOUBLE) AS {name}" for i, name in enumerate(DAY_FEATURE_COLUMNS) if "missing" not in name)
+        + ", "
+        + ", ".join(f"max(CASE WHEN event_id % {i} = 0 THEN 1 ELSE 0 END) AS {name}" for i, name in enumerate(DAY_FEATURE_COLUMNS) if "missing" in name)
+        + " FROM [events] GROUP BY user_id, CAST(ts AS DATE)",
+        ("events",),
+    ),
     "fx_activity_raw": (
         """
         SELECT CAST(user_id AS STRING) AS participant_id, event_id, ts AS timestamp,

@@ -167,26 +167,40 @@ def task_dataset(t: Tables):
     )
 
 
+def _scaled_sql(column: str) -> str:
+    """A day column as the task takes it: values z-scored over the whole table, flags as they are."""
+    if "missing" in column:
+        return f"CAST({column} AS DOUBLE)"
+    return f"({column} - (SELECT avg({column}) FROM fx_day_features)) / (SELECT stddev_samp({column}) FROM fx_day_features)"
+
+
+_DAYS, _WIDTH = 7, len(L.DAY_FEATURE_COLUMNS)
+_DEFAULT = [float("missing" in c) for c in L.DAY_FEATURE_COLUMNS] * _DAYS
+
+
 @query(
     "t3_daily_features_task",
     sql(
-        """SELECT w.id, CAST(a.date IS NOT NULL AND b.date IS NOT NULL AS INT) AS found,
-            round(CASE WHEN a.date IS NOT NULL AND b.date IS NOT NULL THEN coalesce((a.nap_count - s.m) / s.sd, 0.0) ELSE 0.0 END, 6) AS nap_before,
-            CASE WHEN a.date IS NOT NULL AND b.date IS NOT NULL THEN CAST(b.missing_hr AS DOUBLE) ELSE 1.0 END AS missing_hr
-        FROM windows w LEFT JOIN fx_day_level a ON w.participant_id = a.participant_id AND w.date - 1 = a.date
-            LEFT JOIN fx_day_level b ON w.participant_id = b.participant_id AND w.date = b.date
-            CROSS JOIN (SELECT avg(nap_count) AS m, stddev_samp(nap_count) AS sd FROM fx_day_level) s""",
-        ["fx_day_level", *RAW], WINDOWS,
+        f"""SELECT w.id, CAST(f.v IS NOT NULL AS INT) AS found, len(coalesce(f.v, d.v)) AS width,
+            round(list_sum([coalesce(f.v, d.v)[i] * i for i in range(1, {_DAYS * _WIDTH + 1})]), 5) AS weighted_sum,
+            round(coalesce(f.v, d.v)[1], 6) AS first, round(coalesce(f.v, d.v)[{(_DAYS - 1) * _WIDTH + 1}], 6) AS last_day_first, coalesce(f.v, d.v)[{_DAYS * _WIDTH}] AS last
+        FROM windows w LEFT JOIN frames f ON w.participant_id = f.participant_id AND w.date = f.date
+            CROSS JOIN (SELECT CAST({_DEFAULT} AS DOUBLE[]) AS v) d""",
+        ["fx_day_features", *RAW],
+        WINDOWS + f""", scaled AS (SELECT participant_id, date, [{", ".join(map(_scaled_sql, L.DAY_FEATURE_COLUMNS))}] AS v FROM fx_day_features),
+        frames AS (SELECT a.participant_id, a.date, flatten(list(b.v ORDER BY b.date)) AS v FROM scaled a
+            JOIN scaled b ON a.participant_id = b.participant_id AND b.date BETWEEN a.date - {_DAYS - 1} AND a.date GROUP BY a.participant_id, a.date HAVING count(*) = {_DAYS})""",
     ),
 )
 def daily_features_task(t: Tables):
-    """The regression task with its own defaults: z-scored two-day vectors, 0 and 1 where the days are not complete."""
-    columns = ("nap_count", "missing_hr")
-    rows = T.task_windows("daily_features", window_keys(t), {"day_level": t("fx_day_level")}, [], columns=columns, days=2)
-    listed = T.task_labels("daily_features", {"day_level": t("fx_day_level")}, columns=columns, days=2)
+    """The regression task with its own defaults: all day columns over seven days, zeros and set flags where the days are not complete."""
+    tables = {"day_level": t("fx_day_features")}
+    rows = T.task_windows("daily_features", window_keys(t), tables, [])
+    listed = T.task_labels("daily_features", tables)
     flagged = J.lookup_labels(rows, listed.withColumn("one", F.lit(1)), label_col="one", alias="found")
-    return flagged.select(
-        "id", "found", F.round(F.coalesce(F.get("label", F.lit(0)), F.lit(0.0)), 6).alias("nap_before"), F.get("label", F.lit(3)).alias("missing_hr")
+    return flagged.selectExpr(
+        "id", "found", "size(label) AS width", "round(aggregate(transform(label, (x, i) -> x * (i + 1)), 0D, (s, x) -> s + x), 5) AS weighted_sum",
+        "round(label[0], 6) AS first", f"round(label[{(_DAYS - 1) * _WIDTH}], 6) AS last_day_first", f"label[{_DAYS * _WIDTH - 1}] AS last",
     )
 
 

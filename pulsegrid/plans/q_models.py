@@ -11,7 +11,8 @@ from pulsegrid.operators import joins as J
 from pulsegrid.operators import labels as L
 from pulsegrid.operators import mljobs as M
 from pulsegrid.plans.registry import Tables, query, sql
-from pulsegrid.plans.shared import week_windows
+from pulsegrid.plans.q_joins import _FLU as FLU
+from pulsegrid.plans.shared import RAW, WINDOWS, week_windows
 
 _SURVEY_FEATURES = ["have_flu", "symptom_severity__cough_q_2", "symptom_severity__cough_q_3"]
 _ACTIVITY_FEATURES = ["resting_heart_rate", "nap_count", "caloriesOut", "missing_hr"]
@@ -27,7 +28,7 @@ def _labelled_surveys(t: Tables):
 
 @query("m1_weak_label_model")
 def weak_label_model(t: Tables):
-    _, held_out = M.fit_label_model(_labelled_surveys(t), [*_SURVEY_FEATURES, *_ACTIVITY_FEATURES], n_trees=20)
+    _, held_out = M.fit_label_model(_labelled_surveys(t), [*_SURVEY_FEATURES, *_ACTIVITY_FEATURES])
     return held_out
 
 
@@ -50,10 +51,25 @@ def boosted_trees(t: Tables):
 def predictions_table(t: Tables):
     rows = _labelled_features(t)
     held_out = hash_below(0.3, "m2", F.col("participant_id"))
-    model = M.fit_boosted_trees(rows.where(~held_out), rounds=3)
+    model = M.fit_boosted_trees(rows.where(~held_out))
     return M.predictions_table(model, rows.where(held_out))
 
 
+@query(
+    "m4_scored_rows",
+    sql(
+        """SELECT w.participant_id, CAST(w.date AS VARCHAR) AS date, CAST(f.date IS NOT NULL AS INT) AS label, 1 AS is_probability
+        FROM windows w LEFT JOIN flu f ON w.participant_id = f.participant_id AND w.date = f.date
+        WHERE substr(md5(concat('m2:', w.participant_id)), 1, 8) < '4ccccccc'""",
+        ["fx_lab_results", *RAW], WINDOWS + ", " + FLU,
+    ),
+)
+def scored_rows(t: Tables):
+    """What can be checked of a scored table without the model: its rows, their labels and that every score is a probability."""
+    scored = predictions_table(t)
+    return scored.select("participant_id", "date", "label", F.col("pred").between(0, 1).cast("int").alias("is_probability"))
+
+
 @query(
     "m3_random_reconstruction",
     sql(
@@ -76,5 +92,5 @@ def random_reconstruction(t: Tables):
 @query("l10_weak_flu_probability")
 def weak_flu_probability(t: Tables):
     return M.weak_flu_probability(
-        t("fx_surveys"), t("fx_lab_results"), t("fx_day_level"), _SURVEY_FEATURES, _ACTIVITY_FEATURES, onset_max=1, n_trees=20
+        t("fx_surveys"), t("fx_lab_results"), t("fx_day_level"), _SURVEY_FEATURES, _ACTIVITY_FEATURES, onset_max=1
     )
