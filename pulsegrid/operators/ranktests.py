@@ -32,8 +32,14 @@ def average_ranks(df: DataFrame) -> DataFrame:
 
 
 def friedman(df: DataFrame) -> DataFrame:
-    """Friedman statistic with tie correction and its chi-square p-value (one row)."""
-    ranked = _ranks(df, descending=False)
+    """Friedman statistic with tie correction and its chi-square p-value (one row).
+
+    The test compares ranks within blocks that hold every model; datasets that
+    some model was not run on are left out.
+    """
+    models = df.agg(F.count_distinct(MODEL)).scalar()
+    whole = df.groupBy(DATASET).agg(F.count_distinct(MODEL).alias("_k")).where(F.col("_k") == models)
+    ranked = _ranks(df.join(whole.select(DATASET), DATASET, "left_semi"), descending=False)
     per_model = ranked.groupBy(MODEL).agg(F.sum("rank").alias("rank_sum"))
     tie_groups = ranked.groupBy(DATASET, VALUE).agg(F.count(F.lit(1)).alias("t"))
     ties = tie_groups.agg(F.sum(F.col("t") * (F.col("t") * F.col("t") - 1)).cast("double")).scalar()

@@ -236,6 +236,8 @@ def test_friedman_known_value(rows):
     df = _benchmark(rows, {"a": [1, 2, 3, 4], "b": [5, 6, 7, 8], "c": [9, 10, 11, 12]})
     row = K.friedman(df).first()
     assert row.statistic == pytest.approx(8.0) and row.p_value == pytest.approx(math.exp(-4))
+    partial = _benchmark(rows, {"a": [1, 2, 3, 4, 9], "b": [5, 6, 7, 8], "c": [9, 10, 11, 12, 1]})
+    assert K.friedman(partial).first() == row  # the fifth dataset lacks a model
 
 
 def test_wilcoxon_pratt_and_holm(rows):
