@@ -12,9 +12,10 @@ from pulsegrid.functions.columns import (
 from pulsegrid.operators import filters as P
 from pulsegrid.operators.labels import read_labs
 from pulsegrid.operators.ordered import keep_last
-from pulsegrid.operators.reshape import flatten_sleep_levels
+from pulsegrid.operators.reshape import flatten_matrix, flatten_sleep_levels, stack_channels
 from pulsegrid.plans.registry import Tables, query, sql
-from pulsegrid.plans.shared import FLAGS, RAW, WINDOWS, hourly_flags, hourly_observations, window_keys
+from pulsegrid.plans.shared import FLAGS, RAW, WINDOWS, hourly_flags, hourly_observations, week_windows, window_keys
+from pulsegrid.sources.readers import with_types
 
 
 @query("s1_parquet_scan", "SELECT event_id, user_id, event_type, value FROM events")
@@ -22,6 +23,54 @@ def parquet_scan(t: Tables):
     return t("events").select("event_id", "user_id", "event_type", "value")
 
 
+@query(
+    "s4_typed_text",
+    """SELECT CAST(o_custkey AS VARCHAR) AS participant_id, CAST(o_orderkey AS INTEGER) AS o_orderkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice,
+        CAST(CAST(o_orderdate AS TIMESTAMP) AS VARCHAR) AS o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN 'open' ELSE CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS date_seen,
+        'participant_id string, o_orderkey int, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, date_seen string' AS types
+    FROM orders""",
+)
+def typed_text(t: Tables):
+    """Orders as a CSV reader sees them, all text, given their types again."""
+    seen = F.when(F.col("o_orderkey") % 3 == 0, "open").otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    text = t("orders").select(
+        F.col("o_custkey").cast("string").alias("participant_id"), *[F.col(c).cast("string") for c in ("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")],
+        seen.alias("date_seen"),
+    )
+    typed = with_types(text)
+    return typed.withColumn("types", F.lit(", ".join(f"{c} {kind}" for c, kind in typed.dtypes)))
+
+
+@query(
+    "p1_rename_columns",
+    "SELECT user_id AS participant_id, value AS reading, event_type AS kind, event_id FROM events",
+)
+def rename_columns(t: Tables):
+    mapping = P.parse_rename_list(["user_id:participant_id", "value:reading", "event_type:kind"])
+    return P.rename_columns(t("events").select("event_id", "user_id", "value", "event_type"), mapping)
+
+
+@query(
+    "r10_flatten_windows",
+    sql(
+        """SELECT w.id, count(*) * 2 AS width, CAST(sum(s.heart_rate * (2 * slot + 1) + s.steps * (2 * slot + 2)) AS BIGINT) AS weighted_sum FROM windows w
+            JOIN (SELECT *, CAST(date_diff('hour', TIMESTAMP '2000-01-01', timestamp) AS BIGINT) AS h FROM series) s
+                ON w.participant_id = s.participant_id AND s.date BETWEEN w.date - 6 AND w.date
+            JOIN LATERAL (SELECT s.h - CAST(date_diff('hour', TIMESTAMP '2000-01-01', w.start) AS BIGINT) AS slot) ON true
+        GROUP BY w.id""",
+        RAW, WINDOWS,
+    ),
+)
+def flatten_windows(t: Tables):
+    windows = week_windows(t, ["heart_rate", "steps"])
+    flat = flatten_matrix(stack_channels(windows, ["heart_rate", "steps"]))
+    name = F.concat("participant_id", F.lit(":"), F.date_sub(F.col("end").cast("date"), 1).cast("string"))
+    return flat.select(
+        name.alias("id"), F.size("features").cast("bigint").alias("width"),
+        F.expr("cast(aggregate(transform(features, (x, i) -> x * (i + 1)), 0D, (s, x) -> s + x) AS bigint)").alias("weighted_sum"),
+    )
+
+
 @query(
     "p2_inclusive_date_range",
     sql(

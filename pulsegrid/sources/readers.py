@@ -22,22 +22,47 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], merge_schema: b
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """CSV with a header. Ids stay text; columns named like dates or times are parsed.
 
-    A date-like column is parsed only when all of its values parse, otherwise
-    it stays as it is: one aggregate over the text decides for all such columns.
+    Without a schema the cells are read as text, and one pass over them finds
+    the types of all columns (:func:`with_types`).
     """
     if schema is not None:
         return spark.read.csv(path, header=True, schema=schema)
-    text = spark.read.csv(path, header=True)
-    typed = spark.read.csv(path, header=True, inferSchema=True, samplingRatio=1.0)
-    sniffed = [c for c in text.columns if "date" in c or "time" in c]
-    kept = set(sniffed) | set(ID_COLUMNS)
-    columns = [F.col(c) if c in kept else F.col(c).cast(typed.schema[c].dataType) for c in text.columns]
-    df = text.select(*columns)
-    if not sniffed:
-        return df
-    parsed = {c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz") for c in sniffed}
-    bad = df.agg(*[F.count_if(F.col(c).isNotNull() & parsed[c].isNull()).alias(c) for c in sniffed]).first()
-    return df.withColumns({c: parsed[c] for c in sniffed if bad[c] == 0})
+    return with_types(spark.read.csv(path, header=True))
+
+
+#: Types a column of text may have, the narrowest first, and what a cell must be to fit.
+_CELL_TYPES = {
+    "int": "try_cast({c} AS int) IS NOT NULL",
+    "bigint": "try_cast({c} AS bigint) IS NOT NULL",
+    "double": "try_cast({c} AS double) IS NOT NULL",
+    "boolean": "lower({c}) IN ('true', 'false')",
+}
+
+
+def with_types(text: DataFrame) -> DataFrame:
+    """``text``, whose columns are text, with the narrowest types that hold all cells.
+
+    A column whose name contains "date" or "time" becomes a timestamp if every
+    cell parses and stays text otherwise; ids stay text; other columns become
+    int, bigint, double or boolean if every cell fits. A column of nulls stays
+    text. One aggregate of one row decides for all columns: flags per column
+    that merge with "and", so the rows are read once and nothing is shuffled.
+    """
+    names = {c: f"`{c}`" for c in text.columns if c not in ID_COLUMNS}
+    tests = {c: {"timestamp_ntz": "try_to_timestamp({c}) IS NOT NULL"} if "date" in c or "time" in c else _CELL_TYPES for c in names}
+    fits = [f"bool_and({test.format(c=q)}) FILTER (WHERE {q} IS NOT NULL)" for c, q in names.items() for test in tests[c].values()]
+    if not fits:
+        return text
+    found = iter(text.selectExpr(f"array({', '.join(fits)}) AS fits").first().fits)
+    kinds = {c: [kind for kind in tests[c] if next(found)] for c in names}
+
+    def typed(c: str) -> str:
+        if not kinds.get(c):
+            return f"`{c}`"
+        kind = kinds[c][0]
+        return f"cast({f'try_to_timestamp(`{c}`)' if kind == 'timestamp_ntz' else f'`{c}`'} AS {kind}) AS `{c}`"
+
+    return text.selectExpr(*map(typed, text.columns))
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

@@ -146,6 +146,21 @@ def test_csv_date_sniffing(spark, tmp_path):
     assert df.first().participant_id == "007"
 
 
+def test_csv_types_from_one_pass(spark, tmp_path):
+    header = "participant_id,i,l,d,b,t,none,mixed,some_time,odd x"
+    (tmp_path / "t.csv").write_text(header + "\n1,1,1,1,true,a,,1,2024-01-01 10:00:00,5\n2,-5,3000000000,1.5,FALSE,1,,x,,6\n3,,,NaN,,,,2.5,2024-01-01,7\n")
+    df = readers.read_csv(spark, str(tmp_path / "t.csv"))
+    assert dict(df.dtypes) == {
+        "participant_id": "string", "i": "int", "l": "bigint", "d": "double", "b": "boolean", "t": "string", "none": "string",
+        "mixed": "string", "some_time": "timestamp_ntz", "odd x": "int",
+    }
+    assert [r.l for r in df.collect()] == [1, 3000000000, None] and df.first().some_time == dt.datetime(2024, 1, 1, 10)
+    (tmp_path / "empty.csv").write_text("participant_id,a_date,n\n")
+    assert readers.read_csv(spark, str(tmp_path / "empty.csv")).collect() == []
+    (tmp_path / "ids.csv").write_text("participant_id\n007\n")
+    assert readers.read_csv(spark, str(tmp_path / "ids.csv")).first()[0] == "007"
+
+
 def test_round_trips(spark, tmp_path, rows):
     df = rows([("1", dt.date(2024, 1, 1), 1.5), ("2", dt.date(2024, 1, 2), None)], "participant_id string, date date, x double")
     sinks.write_parquet(df, str(tmp_path / "p"), ["date"], files_per_partition=2, spread_by=["participant_id"])
