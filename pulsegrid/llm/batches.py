@@ -7,6 +7,7 @@ about ``CHUNK_BYTES`` unless a single text is longer.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -49,6 +50,14 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
     return simple[type(kind)]
 
 
+def trim() -> None:
+    """Gives memory back to the system that this worker's earlier tasks freed but still hold."""
+    pa.default_memory_pool().release_unused()
+    release = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if release is not None:
+        release(0)
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a text column; null counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from pulsegrid.llm.batches import PrimeRangeHash, U64, chunks, flat_text, map_batches, mix
+from pulsegrid.llm.batches import PrimeRangeHash, U64, chunks, flat_text, map_batches, mix, trim
 from pulsegrid.llm.store import read_table
 
 MARK = "▁"
@@ -374,7 +374,10 @@ def encode_digests(docs: DataFrame, text: str, model_path: str) -> DataFrame:
     state: dict = {}
 
     def digests(batch: pa.RecordBatch) -> dict:
-        encoder = state.get("encoder") or state.setdefault("encoder", Encoder(Vocabulary(*shared.value)))
+        if "encoder" not in state:
+            trim()
+            state["encoder"] = Encoder(Vocabulary(*shared.value))
+        encoder = state["encoder"]
         column = batch.column(batch.schema.get_field_index(text))
         _, offsets = flat_text(column)
         column = pc.fill_null(column, "")
