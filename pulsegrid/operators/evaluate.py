@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.tails import normal_log10_two_sided
-from pulsegrid.operators.ordered import midranks, prefix_sums
+from pulsegrid.operators.ordered import prefix_sums
 
 
 def score_counts(
@@ -166,15 +166,37 @@ def binned_pr_curve(preds: DataFrame, n_thresholds: int = 50, *, label: str = "l
     return rates.unionByName(end)
 
 
+def _centred_midranks(cells: DataFrame, value: str, alias: str) -> DataFrame:
+    """(value, n, alias): midranks less their mean of the distinct values of a table counted by ``_n``."""
+    counts = cells.groupBy(value).agg(F.sum("_n").alias("_n"))
+    return prefix_sums(counts, value, ["_n"]).select(
+        value, F.col("_n").alias(f"n_{value}"), (F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / F.lit(2.0)).alias(alias)
+    )
+
+
 def regression_metrics(preds: DataFrame, *, target: str = "label", pred: str = "pred") -> DataFrame:
-    """Pearson, Spearman (Pearson of midranks) and mean absolute error."""
+    """Pearson, Spearman (Pearson of midranks) and mean absolute error.
+
+    Ranks never meet the rows: equal (target, prediction) pairs are counted before
+    the shuffle, the counted pairs get the rank of the prediction, and their sums by target the
+    rank of the target. The mean of midranks is known, so sums are of centred ranks.
+    """
     pairs = preds.where(F.col(target).isNotNull() & F.col(pred).isNotNull()).select(
         F.col(target).cast("double").alias("y"), F.col(pred).cast("double").alias("p")
     )
-    ranked = midranks(pairs, {"ry": ("y", ()), "rp": ("p", ())})
-    return ranked.agg(
-        F.corr("y", "p").alias("pearson"), F.corr("ry", "rp").alias("spearman"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae")
+    cells = pairs.groupBy("y", "p").agg(F.count(F.lit(1)).alias("_n"))
+    n, rp = F.col("_n"), F.col("rp")
+    by_target = cells.join(_centred_midranks(cells, "p", "rp"), "p").groupBy("y").agg(
+        F.sum(n * rp).alias("s"), F.sum(n * rp * rp).alias("pp")
+    )
+    ranked = by_target.join(_centred_midranks(cells, "y", "ry"), "y")
+    sums = ranked.agg(
+        F.sum(F.col("s") * F.col("ry")).alias("yp"), F.sum(F.col("n_y") * F.col("ry") * F.col("ry")).alias("yy"),
+        F.sum("pp").alias("pp"), F.sum("n_y").alias("n"),
     )
+    spearman = sums.select(F.when(F.col("n") > 1, F.col("yp") / F.sqrt(F.col("yy") * F.col("pp"))).alias("spearman"))
+    direct = pairs.agg(F.corr("y", "p").alias("pearson"), F.avg(F.abs(F.col("y") - F.col("p"))).alias("mae"))
+    return direct.crossJoin(spearman).select("pearson", "spearman", "mae")
 
 
 def cosine_similarity(target: Column, pred: Column) -> Column:
