@@ -39,20 +39,28 @@ def _labelled_features(t: Tables):
     return labelled.select("participant_id", "date", "id", "label", vector.alias("features"))
 
 
-@query("m2_boosted_trees")
-def boosted_trees(t: Tables):
+def _calendar_days(t: Tables) -> int:
+    """Days from each participant's first to last observation; no more windows end on them."""
+    days = t("fx_activity_raw").groupBy("participant_id").agg((F.datediff(F.max("timestamp"), F.min("timestamp")) + 1).alias("days"))
+    return days.agg(F.coalesce(F.sum("days"), F.lit(0)).alias("days")).first().days
+
+
+def _scored_windows(t: Tables):
+    """Predictions for the held-out participants' windows by trees fitted on the others'."""
     rows = _labelled_features(t)
     held_out = hash_below(0.3, "m2", F.col("participant_id"))
-    model = M.fit_boosted_trees(rows.where(~held_out))
-    return E.rank_metrics(M.predictions_table(model, rows.where(held_out)))
+    model = M.fit_boosted_trees(rows.where(~held_out), rows=_calendar_days(t))
+    return M.predictions_table(model, rows.where(held_out))
+
+
+@query("m2_boosted_trees")
+def boosted_trees(t: Tables):
+    return E.rank_metrics(_scored_windows(t))
 
 
 @query("m4_predictions_table")
 def predictions_table(t: Tables):
-    rows = _labelled_features(t)
-    held_out = hash_below(0.3, "m2", F.col("participant_id"))
-    model = M.fit_boosted_trees(rows.where(~held_out))
-    return M.predictions_table(model, rows.where(held_out))
+    return _scored_windows(t)
 
 
 @query(
