@@ -11,6 +11,11 @@ equal leads on one side of every boundary, and each bucket is sorted by its lead
 eight bytes at a time. For each place of a window around the lead, equal windows
 among the neighbours are found by a second sort. A window repeats exactly if
 that happens, so the union of such windows is what has to go.
+
+A lead that occurs more than ``HOT`` times (a period of a repeating text, a passage
+of very many texts) would be one group however many buckets there are. Its suffixes send the hash
+of each window that sampled them instead of contexts, dealt by that hash. Windows that
+repeat within a task are settled there and sent once.
 """
 
 from __future__ import annotations
@@ -30,6 +35,9 @@ LEFT = LENGTH - LEAD  # bytes before the lead that a window can hold
 SPAN = LEFT + LENGTH
 _FLUSH_HASHES = 2_000_000
 _FLUSH_CONTEXTS = 40_000
+_FLUSH_WINDOWS = 1_000_000
+#: A lead with more suffixes than this is judged by the hashes of its windows.
+HOT = 4_000
 _SAMPLE = 20_000
 _VALUES = numbers(256, 21)
 
@@ -42,9 +50,15 @@ class Sampler:
 
     def __call__(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places, hashes of the leads) of the suffixes that the windows of one text sample."""
-        windows = len(data) - LENGTH + 1
-        if windows <= 0:
+        if len(data) < LENGTH:
             return np.zeros(0, np.int64), np.zeros(0, U64)
+        sampled, hashes, _ = self.windows(data)
+        places = np.unique(sampled)
+        return places, hashes[places]
+
+    def windows(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place that each window samples, hash of the lead at each place, prefix sums) of a text of ``LENGTH`` bytes or more."""
+        windows = len(data) - LENGTH + 1
         prefix = self.hasher.prefix(_VALUES[data])
         n = len(data) - LEAD + 1
         hashes = mix((prefix[LEAD:] - prefix[:-LEAD]) * self.hasher.inverses[:n])
@@ -57,8 +71,7 @@ class Sampler:
         ahead = np.minimum.accumulate(grid, axis=1).ravel()
         behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(behind[:windows], ahead[width - 1 : width - 1 + windows])
-        places = np.unique((least & U64(0xFFFFFFFF)).astype(np.int64))
-        return places, hashes[places]
+        return (least & U64(0xFFFFFFFF)).astype(np.int64), hashes, prefix
 
 
 def _text_name(data: np.ndarray, hasher: RangeHash) -> int:
@@ -118,7 +131,7 @@ def _lead_hashes(buckets: int):
 
 
 def _repeated_hashes(batches):
-    """mapInArrow function over one bucket: the hashes that occur more than once; sampled leads pass."""
+    """mapInArrow function over one bucket: the hashes that occur more than once, with their number as rank; sampled leads pass."""
     held = []
     for batch in batches:
         is_lead = batch.column("lead").is_valid()
@@ -128,8 +141,10 @@ def _repeated_hashes(batches):
         held += [np.frombuffer(x, U64) for x in batch.column("hashes").to_pylist() if x is not None]
     if held:
         hashes = np.sort(np.concatenate(held))
-        again = np.unique(hashes[1:][hashes[1:] == hashes[:-1]])
-        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.nulls(len(again), pa.binary()), pa.nulls(len(again), pa.int64())], names=["hash", "lead", "rank"])
+        starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        times = np.diff(np.append(starts, len(hashes)))
+        again, times = hashes[starts[times > 1]], times[times > 1]
+        yield pa.RecordBatch.from_arrays([pa.array(again.view(np.int64)), pa.nulls(len(again), pa.binary()), pa.array(times)], names=["hash", "lead", "rank"])
 
 
 def _bits(repeated: DataFrame) -> tuple[np.ndarray, int]:
@@ -138,8 +153,15 @@ def _bits(repeated: DataFrame) -> tuple[np.ndarray, int]:
     return bitmap(repeated, F.shiftrightunsigned("hash", 64 - size), size), size
 
 
+def _hot(repeated: DataFrame) -> np.ndarray:
+    """Sorted hashes of the leads with more than ``HOT`` suffixes; there is at most one for that many suffixes."""
+    return np.sort(repeated.where(F.col("rank") > HOT).select("hash").toArrow().column("hash").to_numpy().view(U64))
+
+
 #: A blob holds, compressed, the text keys, places, bytes to the left and to the right, and contexts of ``n`` suffixes.
-_CONTEXT = "bucket int, n int, blob binary"
+#: Instead, ``windows`` holds hash, text key and start of ``n`` windows (start -1: repeated, reported by its task), and
+#: ``ranges`` text key, start and end of ``n`` ranges to report.
+_CONTEXT = "bucket int, n int, blob binary, windows binary, ranges binary"
 _CODEC = "zstd"
 
 
@@ -154,11 +176,60 @@ def _unpack(blob: bytes, n: int) -> list[np.ndarray]:
     return [keys.view(np.int64), places.view(np.int64), lefts.astype(np.int32), rights.astype(np.int32), body.reshape(n, SPAN)]
 
 
-def _contexts(shared, splitters):
-    """mapInArrow function: suffixes whose lead occurs again, with context, by bucket of the lead."""
+def _shipped(buckets: np.ndarray, sizes: np.ndarray, kind: str, blobs: list[bytes]) -> pa.RecordBatch:
+    """A batch of ``_CONTEXT`` rows of one kind."""
+    packed = [pa.array(blobs, pa.binary()) if name == kind else pa.nulls(len(blobs), pa.binary()) for name in ("blob", "windows", "ranges")]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(buckets.astype(np.int32)), pa.array(sizes.astype(np.int32)), *packed], names=["bucket", "n", "blob", "windows", "ranges"]
+    )
+
+
+def _columns(blobs: list[tuple[bytes, int]], width: int) -> np.ndarray:
+    """The ``width`` columns of 64-bit words that compressed blobs of ``n`` rows each hold."""
+    parts = [np.frombuffer(pa.decompress(x, decompressed_size=8 * width * n, codec=_CODEC, asbytes=True), np.int64).reshape(width, n) for x, n in blobs]
+    return np.concatenate(parts, axis=1) if parts else np.zeros((width, 0), np.int64)
+
+
+def _joined(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text_key, start, end) of the unions of windows that overlap or touch, of rows in order of (key, start)."""
+    first = np.ones(len(keys), bool)
+    first[1:] = (keys[1:] != keys[:-1]) | (starts[1:] - starts[:-1] > LENGTH)
+    at = np.flatnonzero(first)
+    last = np.append(at[1:], len(keys))[: len(at)] - 1
+    return keys[at], starts[at], starts[last] + LENGTH
+
+
+def _split_windows(hashes: np.ndarray, keys: np.ndarray, starts: np.ndarray, buckets: int):
+    """``_CONTEXT`` rows of a task's windows: each hash once by its bucket, and the ranges of windows that repeat in the task."""
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    first = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    at = np.flatnonzero(first)
+    again = np.diff(np.append(at, len(ranked))) > 1
+    repeated = np.zeros(len(hashes), bool)
+    repeated[order] = np.repeat(again, np.diff(np.append(at, len(ranked))))
+    if repeated.any():
+        place = np.flatnonzero(repeated)
+        place = place[np.lexsort((starts[place], keys[place]))]
+        found = np.stack(_joined(keys[place], starts[place]))
+        owner = found[0].view(U64) % U64(buckets)
+        found = found[:, np.argsort(owner, kind="stable")]
+        owner = np.sort(owner).astype(np.int64)
+        used, low = np.unique(owner, return_index=True)
+        high = np.append(low[1:], len(owner))
+        yield _shipped(used, high - low, "ranges", [pa.compress(found[:, a:b].tobytes(), codec=_CODEC, asbytes=True) for a, b in zip(low.tolist(), high.tolist())])
+    sent = np.stack([ranked[at].view(np.int64), np.where(again, 0, keys[order[at]]), np.where(again, -1, starts[order[at]])])
+    bucket = ((ranked[at] >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+    used, low = np.unique(bucket, return_index=True)
+    high = np.append(low[1:], len(bucket))
+    yield _shipped(used, high - low, "windows", [pa.compress(sent[:, a:b].tobytes(), codec=_CODEC, asbytes=True) for a, b in zip(low.tolist(), high.tolist())])
+
+
+def _contexts(shared, splitters, buckets: int):
+    """mapInArrow function: suffixes whose lead occurs again, with context, by bucket of the lead; of hot leads the windows."""
 
     def run(batches):
-        bits, size = shared.value
+        bits, size, hot = shared.value
         cuts, sampler = np.array(splitters.value, f"S{LEAD}"), Sampler()
         keys, places, lefts, rights, bodies = [], [], [], [], []
 
@@ -171,13 +242,23 @@ def _contexts(shared, splitters):
             used, starts = np.unique(bucket, return_index=True)
             stops = np.append(starts[1:], len(bucket))
             blobs = [_pack(*(c[a:b] for c in columns)) for a, b in zip(starts.tolist(), stops.tolist())]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(used.astype(np.int32)), pa.array((stops - starts).astype(np.int32)), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"]
-            )
+            return _shipped(used, stops - starts, "blob", blobs)
 
-        count = 0
+        count = pending = 0
+        windows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for key, data in _texts(batches):
             at, hashes = sampler(data)
+            if len(hot):
+                known = hot[np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)] == hashes
+                if known.any():
+                    sampled, _, prefix = sampler.windows(data)
+                    begin = np.flatnonzero(np.isin(sampled, at[known]))
+                    windows.append((sampler.hasher.ranges(prefix, begin, begin + LENGTH), np.full(len(begin), key, np.int64), begin))
+                    pending += len(begin)
+                    if pending >= _FLUSH_WINDOWS:
+                        yield from _split_windows(*(np.concatenate(x) for x in zip(*windows)), buckets)
+                        windows, pending = [], 0
+                    at, hashes = at[~known], hashes[~known]
             slot = hashes >> U64(64 - size)
             at = at[(bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1]
             for low in range(0, len(at), _FLUSH_CONTEXTS):
@@ -195,6 +276,8 @@ def _contexts(shared, splitters):
                     count = 0
         if count:
             yield flush()
+        if pending:
+            yield from _split_windows(*(np.concatenate(x) for x in zip(*windows)), buckets)
 
     return run
 
@@ -230,9 +313,33 @@ def repeated_windows(body: np.ndarray, left: np.ndarray, right: np.ndarray) -> n
     return out
 
 
+def _range_rows(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (keys, starts, ends)], names=["text_key", "start", "end"])
+
+
 def _repeats(batches):
     """mapInArrow function over one bucket: (text_key, start, end) of the bytes that repeated windows cover."""
-    parts = [_unpack(blob, n) for batch in batches for blob, n in zip(batch.column("blob").to_pylist(), batch.column("n").to_pylist())]
+    parts, windows = [], []
+    for batch in batches:
+        for n, blob, packed, ranges in zip(*(batch.column(c).to_pylist() for c in ("n", "blob", "windows", "ranges"))):
+            if blob is not None:
+                parts.append(_unpack(blob, n))
+            elif packed is not None:
+                windows.append((packed, n))
+            else:
+                yield _range_rows(*_columns([(ranges, n)], 3))
+    if windows:
+        hashes, keys, starts = _columns(windows, 3)
+        del windows
+        order = np.argsort(hashes)
+        same = np.diff(hashes[order]) == 0
+        again = np.zeros(len(order), bool)
+        again[1:] = same
+        again[:-1] |= same
+        place = order[again]
+        place = place[starts[place] >= 0]
+        place = place[np.lexsort((starts[place], keys[place]))]
+        yield _range_rows(*_joined(keys[place], starts[place]))
     if not parts:
         return
     keys, places, left, right, body = (np.concatenate(x) for x in zip(*parts))
@@ -256,7 +363,7 @@ def _repeats(batches):
         who, first = np.nonzero(step == 1)  # runs of o from first to last - 1
         _, last = np.nonzero(step == -1)
         start, end = places[rows[who]] - (last - 1), places[rows[who]] - first + LENGTH
-        yield pa.RecordBatch.from_arrays([pa.array(keys[rows[who]], pa.int64()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["text_key", "start", "end"])
+        yield _range_rows(keys[rows[who]], start, end)
         at = to
 
 
@@ -303,8 +410,9 @@ def repeated_ranges(texts: DataFrame) -> DataFrame:
     leads = np.unique(np.array([bytes(r["lead"]) for r in sample], f"S{LEAD}"))
     splitters = leads[np.unique(np.linspace(0, len(leads) - 1, buckets + 1).astype(int)[1:-1])].tolist() if len(leads) else []
     context = spark.sparkContext
-    shared = context.broadcast(_bits(hashed.where(F.col("hash").isNotNull()).select("hash")))
-    found = texts.mapInArrow(_contexts(shared, context.broadcast(splitters)), _CONTEXT)
+    repeated = hashed.where(F.col("hash").isNotNull())
+    shared = context.broadcast((*_bits(repeated.select("hash")), _hot(repeated)))
+    found = texts.mapInArrow(_contexts(shared, context.broadcast(splitters), buckets), _CONTEXT)
     found = found.repartitionById(buckets, F.col("bucket")).mapInArrow(_repeats, "text_key long, start long, end long")
     sizes = texts.where(F.octet_length("text") >= LENGTH).groupBy("text_key").agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("text")).cast("long").alias("end"))
     copies = sizes.where("n > 1").select("text_key", F.lit(0).cast("long").alias("start"), "end")

@@ -181,6 +181,28 @@ def test_suffix_dedup_against_brute_force(spark):
     assert [rows[i] for i in range(len(docs))] == brute_cut([d.encode() for d in docs])
 
 
+def test_suffix_dedup_of_hot_leads(spark, monkeypatch):
+    """Texts that repeat a word pair and a passage that most of them hold: no bucket gets all contexts of a lead."""
+    monkeypatch.setattr(suffixes, "HOT", 50, raising=False)
+    judge = suffixes._repeats
+
+    def bounded(batches):
+        held = list(batches)
+        assert sum(n for b in held for n, blob in zip(b.column("n").to_pylist(), b.column("blob").to_pylist()) if blob) <= 1500
+        yield from judge(held)
+
+    monkeypatch.setattr(suffixes, "_repeats", bounded)
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choices("cdefgh", k=rng.randrange(90, 260)))
+    passage = "".join(rng.choices("ijkl", k=420))
+    docs = [noise() + "Is onhe. " * rng.randrange(10, 90) + noise() for _ in range(90)]
+    docs += [noise() + passage[: rng.randrange(190, 421)] + noise() for _ in range(120)]
+    docs += [docs[0], docs[100], "Is onhe. " * 30, passage[100:299]]
+    frame = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(5)
+    rows = {r.doc_id: tuple(r)[1:] for r in suffixes.remove_repeats(frame, "doc_id", "text").collect()}
+    assert [rows[i] for i in range(len(docs))] == brute_cut([d.encode() for d in docs])
+
+
 def test_suffix_dedup_of_the_table(spark, texts):
     rows = {r.doc_id: tuple(r)[1:] for r in QUERIES["op8_suffix_dedup"](spark, FOLDER).collect()}
     ids = sorted(texts)
