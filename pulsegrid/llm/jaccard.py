@@ -18,7 +18,11 @@ agrees with any similar one in m - d ranges or more, so one with fewer ranges in
 meets all of its partners elsewhere. Sets with more (families of near copies, texts
 that are mostly a common passage) are joined in blocks of some of their groups first.
 What that links becomes one component, and all pairs of different
-components that still share enough signatures are verified exactly.
+components that still share enough other signatures are verified exactly. Sets that may
+meet in hot groups alone get a second level of signatures: single elements of their
+beginnings in an order that puts what many of them have last, for each size of partner.
+Of two sets of s and t elements that have c or more in common, the first s - c + 1 and t - c + 1
+in any order share one, and a passage too short to link its sets lies behind them.
 """
 
 from __future__ import annotations
@@ -45,6 +49,11 @@ _CUTS = 24
 _FLUSH = 1_000_000
 _BLOOM_BITS = 23
 _TAGS = numbers(1 << 12, 7)
+_SLOT_BITS, _SLOT_BLOCKS = 20, 64
+#: Least sizes of the second level's bands, each about a tenth above the one before.
+_EDGES = [1]
+while _EDGES[-1] < 2**40:
+    _EDGES.append(max(_EDGES[-1] + 1, _EDGES[-1] * 11 // 10))
 
 _SCHEMA = "bucket int, doc_id long, carry long, n long, key long, own int, across int, gid long, size int, times int, sigs binary, owner binary, keys binary, members array<long>"
 
@@ -303,8 +312,8 @@ def _open(member: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _family_links(
     member: DataFrame, bounds: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int
-) -> tuple[DataFrame, DataFrame]:
-    """(key, homes) of the unsafe sets in hot groups and the links (a, b) inside the homes.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, homes) of the unsafe sets in hot groups, the links (a, b) inside the homes and (key, elements) of these sets.
 
     A set's homes are blocks of the largest group it is in and of those that come first in a few random
     orders, so sets with many groups in common share a home almost surely. Groups are cut at random
@@ -319,7 +328,7 @@ def _family_links(
     sizes = sizes.select("gid", F.ceil(F.col("elements") / BLOCK_ELEMENTS).alias("blocks"))
     chosen = chosen.join(sizes, "gid").withColumn("block", F.pmod(F.xxhash64("key"), "blocks"))
     chosen = stored(chosen.select("key", F.xxhash64("gid", "block").alias("home")), "families")
-    sets = _sets_of(docs, classes, chosen.select(F.col("key").alias("a"), F.col("key").alias("b")), width)
+    sets = _sets_of(docs, classes, rows.select(F.col("key").alias("a"), F.col("key").alias("b")), width)
 
     def join(table: pa.Table) -> pa.Table:
         keys, label = table.column("key").to_numpy(), np.arange(len(table))
@@ -343,7 +352,108 @@ def _family_links(
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     links = stored(chosen.join(sets, "key").groupBy("home").applyInArrow(join, "a long, b long"), "links")
-    return chosen.groupBy("key").agg(F.collect_set("home").alias("homes")), links
+    return chosen.groupBy("key").agg(F.collect_set("home").alias("homes")), links, sets
+
+
+def _slots(elements: np.ndarray) -> np.ndarray:
+    return (mix(elements ^ _TAGS[66]) >> U64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def _levels(sets: DataFrame) -> np.ndarray:
+    """How many of sets(elements) have an element of each of 2**20 slots, as the number's length in bits.
+
+    Tasks send packed counts of blocks of slots; only the lengths, a byte each, reach the driver.
+    """
+    width = (1 << _SLOT_BITS) // _SLOT_BLOCKS
+
+    def count(batches):
+        total = np.zeros(1 << _SLOT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column("elements"):
+                np.add.at(total, _slots(np.frombuffer(x.as_buffer(), U64)), 1)
+        grid = total.reshape(_SLOT_BLOCKS, width)
+        used = np.flatnonzero(grid.any(axis=1)).tolist()
+        slots = [np.flatnonzero(grid[b]) for b in used]
+        packed = [np.stack([at, grid[b, at]]).tobytes() for b, at in zip(used, slots)]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=["block", "counts"])
+
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
+                at, n = np.frombuffer(packed, np.int64).reshape(2, -1)
+                totals.setdefault(block, np.zeros(width, np.int64))[at] += n
+        lengths = [np.frexp(x.astype(float))[1].astype(np.uint8).tobytes() for x in totals.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array(lengths, pa.binary())], names=["block", "counts"])
+
+    kind = "block int, counts binary"
+    table = sets.select("elements").mapInArrow(count, kind).repartition("block").mapInArrow(add, kind).toArrow()
+    out = np.zeros((_SLOT_BLOCKS, width), np.uint8)
+    for block, lengths in zip(table.column("block").to_pylist(), table.column("counts").to_pylist()):
+        out[block] = np.frombuffer(lengths, np.uint8)
+    return out.ravel()
+
+
+def beginnings(elements: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, places) of a set: its first elements with the pair of bands, for each band of sizes similar sets can have.
+
+    A place is twice the rank of the element, and one more where the set is the larger of a pair. In its own band a set is both.
+    """
+    n = len(elements)
+    order = elements[np.lexsort((elements, levels[_slots(elements)]))]
+    least, most = -(-3 * n // 4), 4 * n // 3
+    own, low, high = (int(x) for x in np.searchsorted(_EDGES, [n, least, most], "right"))
+    sigs, places = [], []
+    for band, larger in [(b, True) for b in range(low, own + 1)] + [(b, False) for b in range(own, high + 1)]:
+        partner = max(_EDGES[band - 1], least if larger else n)  # the smallest
+        first = n - -(-3 * (n + partner) // 7) + 1
+        tag = mix(np.array([min(own, band) << 16 | max(own, band)], U64) ^ _TAGS[67])
+        sigs.append(mix(mix(order[:first]) ^ tag))
+        places.append(2 * np.arange(first) + larger)
+    return np.concatenate(sigs), np.concatenate(places)
+
+
+def _second_level(sets: DataFrame, buckets: int) -> DataFrame:
+    """(sig, key, place) of the second-level signatures that several components of sets(key, component, elements) share."""
+    levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
+
+    def sign(batches):
+        held, count = [], 0
+
+        def flush():
+            sigs, keys, components, places = (np.concatenate(x) for x in zip(*held))
+            bucket = ((sigs >> U64(32)) * U64(buckets) >> U64(32)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            used, low = np.unique(bucket[order], return_index=True)
+            rows = np.stack([sigs.view(np.int64), keys, components, places])[:, order]
+            packed = [rows[:, a:b].tobytes() for a, b in zip(low.tolist(), [*low[1:].tolist(), len(order)])]
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(packed, pa.binary())], names=["bucket", "rows"])
+
+        for batch in batches:
+            for key, component, x in zip(batch.column("key").to_pylist(), batch.column("component").to_pylist(), batch.column("elements")):
+                sigs, places = beginnings(np.frombuffer(x.as_buffer(), U64), levels.value)
+                held.append((sigs, np.full(len(sigs), key), np.full(len(sigs), component), places))
+                count += len(sigs)
+                if count > _FLUSH:
+                    yield flush()
+                    held, count = [], 0
+        if held:
+            yield flush()
+
+    def shared(batches):
+        parts = [np.frombuffer(x, np.int64).reshape(4, -1) for batch in batches for x in batch.column("rows").to_pylist()]
+        if not parts:
+            return
+        rows = np.concatenate(parts, axis=1)
+        rows = rows[:, np.argsort(rows[0], kind="stable")]
+        sigs, _, components, places = rows
+        starts = np.flatnonzero(np.concatenate([[True], sigs[1:] != sigs[:-1]]))
+        several, mixed = (np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts) for x in (components, places & 1))
+        rows = rows[:, np.repeat(several & mixed, np.diff(np.append(starts, len(sigs))))]
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1]), pa.array(rows[3])], names=["sig", "key", "place"])
+
+    signed = sets.mapInArrow(sign, "bucket int, rows binary").repartitionById(buckets, F.col("bucket"))
+    return signed.mapInArrow(shared, "sig long, key long, place long")
 
 
 def jaccard_components(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: int = 75) -> DataFrame:
@@ -388,7 +498,7 @@ def _linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: i
     bounds = stored(bounds, "bounds")
 
     # Families: sets of hot groups meet in blocks of the largest group they are in.
-    homes, links = _family_links(member, bounds, docs, classes, width, percent)
+    homes, links, sets = _family_links(member, bounds, docs, classes, width, percent)
     labels = components(links)
 
     # One partner of another component for each set: the first member of the groups it shares most often.
@@ -403,25 +513,37 @@ def _linked(docs: DataFrame, key: str, text: str, width: int = WIDTH, percent: i
     links = links.union(stored(_verified(partner, _sets_of(docs, classes, partner, width), percent), "links"))
     labels = components(links)
 
-    # All pairs of different components that still share a signature, in hot groups those of two unsafe sets.
-    # Similar sets agree in as many ranges as their bounds say, all of which are counted but for dropped hot ones.
-    left = _open(member, labels).join(bounds, "key").join(homes, "key", "left")
+    # All pairs of different components that still share a signature outside hot groups. Similar sets
+    # agree in as many ranges as their bounds say, at most as many of them dropped as either has hot ones.
+    left = _open(member, labels).join(bounds.drop("unsafe"), "key").join(homes, "key", "left")
     left = left.select(
         "gid", "size", "times", "key", "component", "n", "homes", F.when(two_bands, F.col("across")).otherwise(F.col("own")).alias("bound"),
         F.when(two_bands, F.col("hot_across")).otherwise(F.col("hot_own")).alias("hot"),
     )
-    left = left.withColumn("unsafe", F.col("hot") >= F.col("bound")).where((F.col("size") <= HOT) | F.col("unsafe"))
-    left = stored(left.drop("size"), "members")
-    one, two = left.alias("one"), left.alias("two")
+    left = stored(left.where((F.col("size") <= HOT) | (F.col("hot") >= F.col("bound"))), "members")
+    one, two = (left.where(F.col("size") <= HOT).alias(side) for side in ("one", "two"))
     same_band = F.col("one.key").bitwiseAND(1) == F.col("two.key").bitwiseAND(1)
-    pair = (
-        (F.col("one.gid") == F.col("two.gid")) & (F.col("one.key") < F.col("two.key")) & (F.col("one.component") != F.col("two.component"))
-        & F.coalesce(~F.arrays_overlap("one.homes", "two.homes"), F.lit(True)) & ((F.col("one.gid") % 2 == 0) == same_band) & (4 * F.col("one.n") >= 3 * F.col("two.n")) & (4 * F.col("two.n") >= 3 * F.col("one.n"))
+    apart = (
+        (F.col("one.component") != F.col("two.component")) & F.coalesce(~F.arrays_overlap("one.homes", "two.homes"), F.lit(True))
+        & (4 * F.col("one.n") >= 3 * F.col("two.n")) & (4 * F.col("two.n") >= 3 * F.col("one.n"))
     )
-    dropped = F.when(F.col("one.unsafe") & F.col("two.unsafe"), F.lit(0).cast("long")).otherwise(F.least("one.hot", "two.hot"))
-    least = F.greatest("one.bound", "two.bound") - dropped
+    pair = (F.col("one.gid") == F.col("two.gid")) & (F.col("one.key") < F.col("two.key")) & apart & ((F.col("one.gid") % 2 == 0) == same_band)
+    least = F.greatest("one.bound", "two.bound") - F.least("one.hot", "two.hot")
     cross = one.join(two, pair).groupBy(F.col("one.key").alias("a"), F.col("two.key").alias("b"))
-    cross = stored(cross.agg(F.sum("one.times").alias("times"), F.max(least).alias("least")).where("times >= least").select("a", "b"), "cross")
+    cross = cross.agg(F.sum("one.times").alias("times"), F.max(least).alias("least")).where("times >= least").select("a", "b")
+
+    # Pairs that may share hot groups alone, of two sets without enough other ranges, share a second-level signature.
+    hot_sets = left.where(F.col("size") > HOT).groupBy("key").agg(*[F.first(c).alias(c) for c in ("component", "n", "homes")])
+    second = _second_level(stored(hot_sets.join(sets, "key").select("key", "component", "elements"), "hot_sets"), buckets)
+    second = stored(second.join(hot_sets, "key").withColumn("rank", F.shiftright("place", 1)), "second")
+    one, two = (second.where(F.col("place") % 2 == larger).alias(side) for side, larger in (("one", 0), ("two", 1)))
+    in_common = 3 * (F.col("one.n") + F.col("two.n"))  # a seventh of it, at least
+    met = (
+        (F.col("one.sig") == F.col("two.sig")) & (F.struct("one.n", "one.key") < F.struct("two.n", "two.key")) & apart
+        & (7 * (F.col("one.n") - F.col("one.rank")) >= in_common) & (7 * (F.col("two.n") - F.col("two.rank")) >= in_common)
+    )
+    ends = [f("one.key", "two.key").alias(name) for f, name in ((F.least, "a"), (F.greatest, "b"))]
+    cross = stored(cross.union(one.join(two, met).select(*ends)).distinct(), "cross")
     links = stored(links.union(_verified(cross, _sets_of(docs, classes, cross, width), percent)), "links")
     labels = components(links)
 

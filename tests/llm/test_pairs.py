@@ -71,6 +71,47 @@ def test_jaccard_components_of_a_family_with_a_common_passage(spark, monkeypatch
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components({i: shingle_set(t) for i, t in docs})
 
 
+def test_jaccard_pairs_around_a_passage_grow_with_the_texts(spark, monkeypatch):
+    """Texts around one passage, a little too short to link them, meet by what else they share, not all with all."""
+    monkeypatch.setattr(jaccard, "BLOCK_ELEMENTS", 1500)
+    candidates = []
+    verify = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, sets, percent: candidates.append(pairs.count()) or verify(pairs, sets, percent))
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(85)]
+    made = {}
+    for size in (120, 360):
+        docs = []
+        for i in range(size):
+            own = [f"y{rng.randrange(10**6)}" for _ in range(30)]
+            if i % 6 == 1:  # its neighbour but for some words
+                own = docs[-1][1].split()[:30]
+                own[:3] = ["z", f"z{i}", f"u{i}"]
+            docs.append((i, " ".join(own + passage)))
+        frame = spark.createDataFrame(docs, "doc_id long, text string")
+        candidates.clear()
+        rows = jaccard.jaccard_components(frame, "doc_id", "text").collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == components({i: shingle_set(t) for i, t in docs})
+        made[size] = candidates[-1]
+    assert made[360] <= max(360, 4 * made[120]), made
+
+
+def test_second_level_signatures_meet(spark):
+    """Random sets of 75 percent similarity share an element of their beginnings that both count."""
+    rng = np.random.default_rng(4)
+    levels = rng.integers(0, 6, 1 << jaccard._SLOT_BITS).astype(np.uint8)
+    for n in [1, 2, 3, 4, 7, 8, 20, 61, 146, 400] * 6:
+        a = np.unique(rng.integers(0, 2**63, n, np.uint64))
+        keep = len(a) - rng.integers(0, len(a) // 4 + 1)
+        room = (4 * keep - 3 * len(a)) // 3  # elements of its own
+        b = np.unique(np.concatenate([rng.permutation(a)[:keep], rng.integers(0, 2**63, rng.integers(0, room + 1), np.uint64)]))
+        assert 100 * keep >= 75 * (len(a) + len(b) - keep)
+        small, large = sorted((a, b), key=len)
+        found = [dict(zip(*(x[p & 1 == larger] for x in (s, p)))) for larger, (s, p) in ((0, jaccard.beginnings(small, levels)), (1, jaccard.beginnings(large, levels)))]
+        shared = [(len(small) - found[0][s] // 2, len(large) - found[1][s] // 2) for s in found[0].keys() & found[1].keys()]
+        assert any(7 * min(pair) >= 3 * (len(a) + len(b)) for pair in shared), (n, len(a), len(b))
+
+
 def test_near_copies_without_an_id_are_linked(spark):
     """Two different near copies with null ids are one group; one with a null id links two rows that are not similar themselves."""
     w = {c: [f"{c}{i}" for i in range(105)] for c in "abc"}
