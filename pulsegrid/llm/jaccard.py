@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pulsegrid.llm.batches import U64, Words, chunks, flat_text, mix, numbers, shingles
+from pulsegrid.llm.batches import U64, Words, chunks, flat_text, mix, numbers, shingles, trim
 from pulsegrid.llm.components import components
 from pulsegrid.llm.store import bitmap, partitions, read_table, stored
 
@@ -47,6 +47,7 @@ HOMES = 12
 BLOCK_ELEMENTS = 2_000_000
 _CUTS = 24
 _FLUSH = 1_000_000
+_FLUSH_SECOND = 100_000
 _BLOOM_BITS = 23
 _TAGS = numbers(1 << 12, 7)
 _SLOT_BITS, _SLOT_BLOCKS = 20, 64
@@ -126,6 +127,7 @@ def _signed_documents(buckets: int, width: int):
     """mapInArrow function: (doc_id, text) to document rows and packed signature rows."""
 
     def run(batches):
+        trim()
         words, plans = Words(), {}
         pending: list[np.ndarray] = []
         owners: list[int] = []
@@ -193,6 +195,7 @@ def _signed_documents(buckets: int, width: int):
 
 def _shared_signatures(batches):
     """mapInArrow function over one bucket: document rows pass, signatures become rows of the sets that share them."""
+    trim()
     sigs, owners = [], []
     for batch in batches:
         is_doc = batch.column("sigs").is_null()
@@ -259,6 +262,7 @@ def _sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame, width: int)
     placed = docs.withColumn("slot", _bloom_slot())
 
     def sets(batches):
+        trim()
         words, seen = Words(), set()
         for batch in batches:
             slot = batch.column("slot").to_numpy()
@@ -290,6 +294,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     joined = joined.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("ea")), "a").select("a", "b", "ea", "eb")
 
     def check(batches):
+        trim()
         for batch in batches:
             keep = []
             for ea, eb in zip(batch.column("ea"), batch.column("eb")):
@@ -367,6 +372,7 @@ def _levels(sets: DataFrame) -> np.ndarray:
     width = (1 << _SLOT_BITS) // _SLOT_BLOCKS
 
     def count(batches):
+        trim()
         total = np.zeros(1 << _SLOT_BITS, np.int64)
         for batch in batches:
             for x in batch.column("elements"):
@@ -418,6 +424,7 @@ def _second_level(sets: DataFrame, buckets: int) -> DataFrame:
     levels = sets.sparkSession.sparkContext.broadcast(_levels(sets))
 
     def sign(batches):
+        trim()
         held, count = [], 0
 
         def flush():
@@ -434,13 +441,14 @@ def _second_level(sets: DataFrame, buckets: int) -> DataFrame:
                 sigs, places = beginnings(np.frombuffer(x.as_buffer(), U64), levels.value)
                 held.append((sigs, np.full(len(sigs), key), np.full(len(sigs), component), places))
                 count += len(sigs)
-                if count > _FLUSH:
+                if count > _FLUSH_SECOND:
                     yield flush()
                     held, count = [], 0
         if held:
             yield flush()
 
     def shared(batches):
+        trim()
         parts = [np.frombuffer(x, np.int64).reshape(4, -1) for batch in batches for x in batch.column("rows").to_pylist()]
         if not parts:
             return
