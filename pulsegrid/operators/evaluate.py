@@ -166,9 +166,8 @@ def binned_pr_curve(preds: DataFrame, n_thresholds: int = 50, *, label: str = "l
     return rates.unionByName(end)
 
 
-def _centred_midranks(cells: DataFrame, value: str, alias: str) -> DataFrame:
-    """(value, n, alias): midranks less their mean of the distinct values of a table counted by ``_n``."""
-    counts = cells.groupBy(value).agg(F.sum("_n").alias("_n"))
+def _centred_midranks(counts: DataFrame, value: str, alias: str) -> DataFrame:
+    """(value, n, alias): midranks less their mean of distinct values counted by ``_n``."""
     return prefix_sums(counts, value, ["_n"]).select(
         value, F.col("_n").alias(f"n_{value}"), (F.col("_n_before") + (F.col("_n") - F.col("_n_total")) / F.lit(2.0)).alias(alias)
     )
@@ -180,16 +179,20 @@ def regression_metrics(preds: DataFrame, *, target: str = "label", pred: str = "
     Ranks never meet the rows: equal (target, prediction) pairs are counted before
     the shuffle, the counted pairs get the rank of the prediction, and their sums by target the
     rank of the target. The mean of midranks is known, so sums are of centred ranks.
+    Predictions are counted from the rows and targets from the pairs, so the pairs
+    are merged twice.
     """
     pairs = preds.where(F.col(target).isNotNull() & F.col(pred).isNotNull()).select(
         F.col(target).cast("double").alias("y"), F.col(pred).cast("double").alias("p")
     )
-    cells = pairs.groupBy("y", "p").agg(F.count(F.lit(1)).alias("_n"))
+    rows = F.count(F.lit(1)).alias("_n")
+    cells = pairs.groupBy("y", "p").agg(rows)
     n, rp = F.col("_n"), F.col("rp")
-    by_target = cells.join(_centred_midranks(cells, "p", "rp"), "p").groupBy("y").agg(
+    by_target = cells.join(_centred_midranks(pairs.groupBy("p").agg(rows), "p", "rp"), "p").groupBy("y").agg(
         F.sum(n * rp).alias("s"), F.sum(n * rp * rp).alias("pp")
     )
-    ranked = by_target.join(_centred_midranks(cells, "y", "ry"), "y")
+    targets = cells.groupBy("y").agg(F.sum("_n").alias("_n"))
+    ranked = by_target.join(_centred_midranks(targets, "y", "ry"), "y")
     sums = ranked.agg(
         F.sum(F.col("s") * F.col("ry")).alias("yp"), F.sum(F.col("n_y") * F.col("ry") * F.col("ry")).alias("yy"),
         F.sum("pp").alias("pp"), F.sum("n_y").alias("n"),

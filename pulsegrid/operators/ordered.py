@@ -41,6 +41,17 @@ def _bucket(value: Column, splitters: Column) -> Column:
     return F.when(splitters.isNull() | (F.size(splitters) == 0), 0).otherwise(first + inside).cast("int")
 
 
+def _placed(df: DataFrame, value: Column, cuts: Column, columns: Sequence[str]) -> DataFrame:
+    """``columns`` and ``_b``: :func:`_bucket` as a binary search, one projection a step, so that it runs as compiled code."""
+    placed = df.select(*columns, cuts.alias("_c"), F.lit(0).alias("_b"))
+    step = MAX_BUCKETS // 2
+    while step:
+        beyond = F.when(F.get("_c", F.col("_b") + (step - 1)) <= value, step).otherwise(0)
+        placed = placed.select(*columns, "_c", (F.col("_b") + beyond).alias("_b"))
+        step //= 2
+    return placed.select(*columns, "_b")
+
+
 def prefix_sums(
     df: DataFrame,
     order_col: str,
@@ -88,22 +99,22 @@ def _bucketed(df: DataFrame, order_col: str, totals: Sequence[Column], by: Seque
     size = F.struct(F.count(F.lit(1)).alias("n"), *totals)
     draw = F.pmod(F.xxhash64(value), F.lit(1 << 32))
 
-    def sampled(rows: DataFrame) -> DataFrame:
-        large = F.col("_g.n") > rows_per_bucket
-        return rows.where(large & (draw * F.col("_g.n") < F.lit(SAMPLE_ROWS << 32).cast("double")))
-
-    taken = F.struct(F.sort_array(F.collect_list(value)).alias("v"), *totals)
+    large = F.col("_g.n") > rows_per_bucket
+    drawn = large & (draw * F.col("_g.n") < F.lit(SAMPLE_ROWS << 32).cast("double"))
     parts = F.least(F.ceil(F.col("_g.n") / F.lit(rows_per_bucket)), F.lit(MAX_BUCKETS)).cast("int")
     if by:
+        taken = F.struct(F.sort_array(F.collect_list(value)).alias("v"), *totals)
         sized = df.groupBy(*by).agg(size.alias("_g"))
-        sample = sampled(df.join(small(sized), by)).groupBy(*by).agg(taken.alias("_v"))
+        sample = df.join(small(sized), by).where(drawn).groupBy(*by).agg(taken.alias("_v"))
         cuts = sized.join(small(sample), by, "left").select(*by, _splitters(F.col("_v.v"), parts).alias("_c"))
         located = df.join(small(cuts), by)
-    else:
-        with_size = df.withColumn("_g", df.agg(size).scalar())
-        located = with_size.withColumn("_v", sampled(with_size).agg(taken).scalar())
-        located = located.withColumn("_c", _splitters(F.col("_v.v"), parts))
-    return located.select(*df.columns, _bucket(value, F.col("_c")).alias("_b"))
+        return located.select(*df.columns, _bucket(value, F.col("_c")).alias("_b"))
+    # Rows meet the few cuts, which the subquery makes, and never the sample. The sample is no
+    # filter: one on the value alone would go below the aggregate of ``df`` and have it computed again.
+    sample = F.sort_array(F.collect_list(F.when(drawn, value)))
+    taken = F.struct(_splitters(sample, F.max(parts)).alias("c"), *totals)
+    cuts = df.withColumn("_g", df.agg(size).scalar()).agg(taken).scalar()
+    return _placed(df, value, cuts["c"], df.columns)
 
 
 def vector_sum(counters: Column, over: WindowSpec | None = None) -> Column:
